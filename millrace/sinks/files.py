@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from millrace.operators.columns import quoted
 from millrace.sources.jdbc import write_jdbc
 from millrace.sources.spec import DatasetSpec
 
@@ -41,5 +42,5 @@ def rebalanced(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     input already lies in partition order.
     """
     if spec.partition_by and spec.rebalance:
-        return df.hint("rebalance", *spec.partition_by)
+        return df.hint("rebalance", *(F.col(quoted(name)) for name in spec.partition_by))
     return df
