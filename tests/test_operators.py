@@ -1,0 +1,160 @@
+import datetime as dt
+import logging
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace import (
+    count_rows,
+    filter_processing_date,
+    filter_threshold,
+    preview,
+    required_field_violations,
+    resolve_run_date,
+    rows_frame,
+    show_sample,
+    sort_rows,
+    upper_column,
+)
+
+DAY = dt.date(2024, 1, 15)
+
+
+def test_upper(spark):
+    df = rows_frame(spark, [("TestName1",), (None,), ("",), ("çé",)], "name STRING")
+    rows = df.transform(upper_column("name")).collect()
+    assert [tuple(r) for r in rows] == [("TestName1", "TESTNAME1"), (None, None), ("", ""), ("çé", "ÇÉ")]
+
+
+def test_upper_replaces_an_existing_target(spark):
+    df = rows_frame(spark, [("a", "old")], ["name", "name_upper"]).transform(upper_column())
+    assert df.columns == ["name", "name_upper"] and df.first().name_upper == "A"
+
+
+def test_upper_of_a_missing_column_warns(spark, caplog):
+    df = rows_frame(spark, [("a",)], ["Name"])
+    with caplog.at_level(logging.WARNING):
+        assert df.transform(upper_column("name")) is df
+    assert "name" in caplog.text
+
+
+def test_upper_takes_names_as_they_are(spark):
+    df = rows_frame(spark, [("a",)], ["x.y`z"]).transform(upper_column("x.y`z", "up"))
+    assert df.first().up == "A"
+
+
+def test_threshold_keeps_the_boundary_and_drops_nulls(spark):
+    df = rows_frame(spark, [(0.49,), (0.5,), (0.51,), (None,)], "value DOUBLE")
+    assert [r.value for r in df.transform(filter_threshold("value", 0.5)).collect()] == [0.5, 0.51]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_date_filter_on_timestamps(spark, kind):
+    texts = ["2024-01-14 23:59:59.999999", "2024-01-15 00:00:00", "2024-01-15 23:59:59.999999", "2024-01-16 00:00:00"]
+    df = rows_frame(spark, [(i, t) for i, t in enumerate([*texts, None])], "i INT, ts STRING")
+    df = df.withColumn("ts", F.col("ts").cast(kind))
+    assert [r.i for r in df.transform(filter_processing_date("ts", DAY)).collect()] == [1, 2]
+
+
+def test_date_filter_follows_the_session_zone_over_a_clock_change(spark, conf):
+    conf("spark.sql.session.timeZone", "Europe/Berlin")
+    hours = spark.range(0, 72).select(F.expr("timestamp'2024-03-30 00:00:00' + make_interval(0,0,0,0,id) AS ts"))
+    # The clock goes forward that day, so it has 23 hours.
+    assert hours.transform(filter_processing_date("ts", dt.date(2024, 3, 31))).count() == 23
+
+
+def test_date_filter_on_dates_and_text(spark):
+    df = rows_frame(spark, [("2024-01-15",), ("2024-01-16",)], "day STRING")
+    assert df.transform(filter_processing_date("day", DAY)).count() == 1
+    assert df.withColumn("day", F.to_date("day")).transform(filter_processing_date("day", DAY)).count() == 1
+
+
+def test_date_filter_prunes_partitions(spark, folder):
+    spark.range(4).select("id", F.expr("date_add(date'2024-01-14', CAST(id AS INT)) AS day")).write.partitionBy(
+        "day"
+    ).parquet(folder)
+    df = spark.read.parquet(folder).transform(filter_processing_date("day", DAY))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and [r.id for r in df.collect()] == [1]
+
+
+def test_run_date(spark):
+    assert resolve_run_date(spark, "2024-01-15") == DAY
+    assert resolve_run_date(spark, DAY) == DAY
+    assert resolve_run_date(spark, dt.datetime(2024, 1, 15, 13)) == DAY
+    with pytest.raises(ValueError):
+        resolve_run_date(spark, "yesterday")
+
+
+@pytest.mark.parametrize("zone", ["Pacific/Kiritimati", "Pacific/Pago_Pago"])
+def test_today_is_in_the_session_zone(spark, conf, zone):
+    from zoneinfo import ZoneInfo
+
+    conf("spark.sql.session.timeZone", zone)
+    before = dt.datetime.now(ZoneInfo(zone)).date()
+    today = resolve_run_date(spark, "today")
+    assert before <= today <= dt.datetime.now(ZoneInfo(zone)).date()
+
+
+def test_count(spark):
+    assert [tuple(r) for r in count_rows(spark.range(7)).collect()] == [(7,)]
+    assert [tuple(r) for r in count_rows(spark.range(0)).collect()] == [(0,)]
+
+
+def partition_sizes(df):
+    return [len(p) for p in df.rdd.glom().collect()]
+
+
+@pytest.mark.parametrize("copies", [False, True], ids=["one key", "copies of one row"])
+def test_sort_splits_a_hot_key(spark, conf, copies):
+    """Half of the rows hold one key; no task gets all of them."""
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.shuffle.partitions", "8")
+    df = spark.range(0, 40000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, F.lit(20000)).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") % 2 == 0, F.lit(0) if copies else F.col("id")).otherwise(F.col("id")).alias("v"),
+    )
+    ordered = sort_rows(df, "k")
+    assert ordered.columns == ["k", "v"]
+    sizes = partition_sizes(ordered)
+    assert sum(sizes) == 40000 and max(sizes) < 10000
+    assert max(partition_sizes(df.orderBy("k"))) >= 20000
+    keys = [r.k for r in ordered.collect()]
+    assert keys == sorted(keys)
+    assert ordered.exceptAll(df).isEmpty() and df.exceptAll(ordered).isEmpty()
+
+
+def test_sort_variants(spark):
+    df = rows_frame(spark, [(2, {"a": 1}), (1, {"b": 2}), (2, {"c": 3})], "k INT, m MAP<STRING,INT>")
+    assert [r.k for r in sort_rows(df, F.col("k").desc()).collect()] == [2, 2, 1]
+    assert [r.k for r in sort_rows(df.select("k"), "k", unique=True).collect()] == [1, 2, 2]
+    assert sort_rows(df.select("m"), F.size("m")).count() == 3
+
+
+def test_preview(spark):
+    df = spark.range(100).select((99 - F.col("id")).alias("id"))
+    assert [r.id for r in preview(df, by="id").collect()] == [0, 1, 2, 3, 4]
+    assert preview(df, 3).count() == 3
+
+
+def test_show_sample(spark, capfd):
+    show_sample(rows_frame(spark, [("Alice", 1)], ["name", "id"]))
+    out = capfd.readouterr().out
+    assert "name: string" in out and "Alice" in out
+
+
+def test_required_fields(spark):
+    schema = [
+        {"name": "a", "type": "int", "nullable": False},
+        {"name": "b.c", "type": "string", "nullable": False},
+        {"name": "d", "type": "string"},
+    ]
+    df = rows_frame(spark, [(1, None, None), (None, "x", None), (None, None, "y")], ["a", "b.c", "d"])
+    result = required_field_violations(df, schema)
+    assert result.columns == ["a", "b.c"] and [tuple(r) for r in result.collect()] == [(2, 2)]
+    assert [tuple(r) for r in required_field_violations(df.limit(0), schema).collect()] == [(0, 0)]
+
+
+def test_nothing_required(spark):
+    with pytest.raises(ValueError, match="no required field"):
+        required_field_violations(spark.range(1), "id BIGINT")
