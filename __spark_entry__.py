@@ -131,10 +131,11 @@ def stream_file_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = {
         "job_name": "stream_file_to_parquet",
         "source_data": {
-            "path": sf_dir,
+            # A glob, because a file stream takes a plain path for a folder and this may be one file.
+            "path": f"{sf_dir}/{{events}}.parquet",
             "format": "parquet",
             "schema": EVENTS_DDL,
-            "options": {"pathGlobFilter": "events.parquet", "maxFilesPerTrigger": "1000"},
+            "options": {"maxFilesPerTrigger": "1000"},
         },
         "destination_data": {
             "path": f"{base}/out",

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.operators.columns import quoted
-
-# Types that Spark cannot hash.
-_UNHASHABLE = ("map<", "variant")
-
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:
     """One row with the number of rows; parquet and orc read no column for it."""
@@ -19,16 +14,13 @@ def sort_rows(df: DataFrame, *by: str | Column, unique: bool = False) -> DataFra
     """Sort the whole table.
 
     Spark sorts by ranges of the key, and equal keys share a range, so one hot
-    key would be one task. Ties are therefore broken by a hash of the row and
-    then by the input partition, which lets the ranges cut through a hot key and
-    even through copies of one row. Both are the same in a repeated task. Say
-    ``unique=True`` where the key has no ties, to sort by the key alone.
+    key would be one task. Ties are therefore broken by the input partition: the
+    ranges can then cut through a hot key, and through copies of one row, down to
+    what one input task held. A repeated task has the same partition number and
+    so sends its rows to the same places. Say ``unique=True`` where the key has
+    no ties, to sort by the key alone.
     """
-    if unique:
-        return df.orderBy(*by)
-    hashable = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in _UNHASHABLE)]
-    ties = [F.xxhash64(*map(quoted, hashable))] if hashable else []
-    return df.orderBy(*by, *ties, F.spark_partition_id())
+    return df.orderBy(*by) if unique else df.orderBy(*by, F.spark_partition_id())
 
 
 def preview(df: DataFrame, n: int = 5, by: str | Column | None = None) -> DataFrame:

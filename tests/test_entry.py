@@ -9,7 +9,7 @@ from conftest import TESTDATA
 
 import __spark_entry__ as entry_module
 
-SF_DIR = f"{TESTDATA}/sf0.001"
+SF_DIR = f"{TESTDATA}/{os.environ.get('TEST_SF', 'sf0.001')}"
 TABLES = [name.removesuffix(".parquet") for name in sorted(os.listdir(SF_DIR))]
 
 # DuckDB's names for the types the queries return.
@@ -60,6 +60,17 @@ def test_entry(spark):
     assert result.count() == 1000
 
 
+def test_tables_may_be_folders_of_files(spark, folder):
+    """On a cluster a table is a folder with many files."""
+    for name in ("events", "lineitem"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").repartition(5).write.parquet(f"{folder}/{name}.parquet")
+    queries = entry_module.queries()
+    for key in ("stream_file_to_parquet", "job_csv_to_parquet", "sink_partitioned", "sort_rows"):
+        split, whole = queries[key](spark, folder), queries[key](spark, SF_DIR)
+        assert split.schema == whole.schema
+        assert split.exceptAll(whole).isEmpty() and whole.exceptAll(split).isEmpty()
+
+
 def test_pushed_filters_and_pruned_partitions(spark):
     queries = entry_module.queries()
     assert "GreaterThanOrEqual(l_discount,0.05)" in _plan(queries["filter_threshold"](spark, SF_DIR))
