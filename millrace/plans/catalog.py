@@ -8,9 +8,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from millrace.functions.schema import to_struct
 from millrace.operators.checks import required_field_violations
 from millrace.sources.files import read_dataset
+from millrace.sources.spec import declared_schema
 
 
 class DatasetCatalog:
@@ -32,14 +32,14 @@ class DatasetCatalog:
     def load(self, datasets: Mapping[str, Mapping[str, Any]]) -> None:
         """Replace all entries by ``datasets``."""
         for entry in datasets.values():
-            to_struct(entry.get("schema"))
+            declared_schema(entry)
         self.clear()
         for dataset_id, entry in datasets.items():
             self.register(dataset_id, entry)
 
     def register(self, dataset_id: str, metadata: Mapping[str, Any]) -> None:
         """Add an entry, or replace the one of that name."""
-        to_struct(metadata.get("schema"))
+        declared_schema(metadata)
         self._drop_view(dataset_id)
         self._entries[dataset_id] = dict(metadata)
 
@@ -51,7 +51,7 @@ class DatasetCatalog:
     def schema(self, dataset_id: str) -> StructType | None:
         """The declared schema, or ``None`` if there is no such entry or none is declared."""
         entry = self._entries.get(dataset_id)
-        return to_struct(entry.get("schema")) if entry else None
+        return declared_schema(entry) if entry else None
 
     def ids(self) -> list[str]:
         """The names in the order they were registered."""

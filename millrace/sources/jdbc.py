@@ -22,10 +22,10 @@ def read_jdbc(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     """
     url, table = _location(spec)
     if spec.predicates:
-        properties = {k: str(v) for k, v in spec.options.items() if k not in ("url", "dbtable")}
+        properties = {k: str(v) for k, v in spec.options.items() if k.lower() not in ("url", "dbtable")}
         return spark.read.jdbc(url, table, predicates=list(spec.predicates), properties=properties)
-    missing = [name for name in _RANGE_OPTIONS if name not in spec.options]
-    if missing and str(spec.options.get("numPartitions")) != "1":
+    missing = [name for name in _RANGE_OPTIONS if spec.option(name) is None]
+    if missing and str(spec.option("numPartitions")) != "1":
         raise ValueError(
             f"a jdbc scan needs 'predicates' or {', '.join(_RANGE_OPTIONS)}; missing: {', '.join(missing)}"
         )
@@ -44,7 +44,7 @@ def write_jdbc(df: DataFrame, spec: DatasetSpec) -> None:
 
 
 def _location(spec: DatasetSpec) -> tuple[str, str]:
-    url, table = spec.options.get("url"), spec.options.get("dbtable")
+    url, table = spec.option("url"), spec.option("dbtable")
     if not url or not table:
         raise ValueError("a jdbc dataset needs the options 'url' and 'dbtable'")
     return url, table

@@ -24,7 +24,7 @@ def overlap(source: DatasetSpec, target: DatasetSpec) -> bool:
 
 
 def _table(spec: DatasetSpec) -> tuple[str, str]:
-    return str(spec.options.get("url")), str(spec.options.get("dbtable")).strip().lower()
+    return str(spec.option("url")), str(spec.option("dbtable")).strip().lower()
 
 
 def _paths_overlap(a: str, b: str) -> bool:

@@ -44,7 +44,7 @@ class DatasetSpec:
         return cls(
             format=kind,
             path=path,
-            schema=to_struct(entry.get("schema") or entry.get("schema_definition")),
+            schema=declared_schema(entry),
             options=dict(entry.get("options") or {}),
             mode=entry.get("mode") or cls.mode,
             partition_by=_names(entry.get("partition_by")),
@@ -52,6 +52,10 @@ class DatasetSpec:
             predicates=_names(entry.get("predicates")),
         )
 
+    def option(self, name: str) -> Any:
+        """The value of an option, whatever the case of its name, or ``None``."""
+        return next((value for key, value in self.options.items() if key.lower() == name.lower()), None)
+
     @property
     def paths(self) -> list[str]:
         if not self.path:
@@ -59,6 +63,11 @@ class DatasetSpec:
         return [self.path] if isinstance(self.path, str) else list(self.path)
 
 
+def declared_schema(entry: Mapping[str, Any]) -> StructType | None:
+    """The schema a description declares under either of its keys, or ``None``."""
+    return to_struct(entry.get("schema") or entry.get("schema_definition"))
+
+
 def _names(value: Any) -> tuple[str, ...]:
     if not value:
         return ()

@@ -49,7 +49,7 @@ def write_stream(
     default handles all that is there and then stops.
     """
     spec = DatasetSpec.of(spec)
-    if not spec.options.get("checkpointLocation"):
+    if not spec.option("checkpointLocation"):
         raise ValueError("a stream needs the option 'checkpointLocation'")
     if spec.mode.lower() not in ("append", "errorifexists"):
         raise ValueError(f"a stream can only append, not {spec.mode}")

@@ -32,6 +32,13 @@ def test_range_scan():
     assert "load" in spark.calls
 
 
+def test_option_names_in_any_case():
+    spark = Recorder()
+    options = {key.upper(): value for key, value in {**LOCATION, **RANGE}.items()}
+    read_dataset(spark, {"format": "JDBC", "options": options})
+    assert spark.calls["options"] == ((), options)
+
+
 def test_predicate_scan():
     spark = Recorder()
     spec = {"format": "jdbc", "options": {**LOCATION, "fetchsize": 1000}, "predicates": ["k < 5", "k >= 5"]}

@@ -72,6 +72,19 @@ def test_several_paths(spark, folder):
     assert sorted(r.id for r in df.collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_schema_evolution(spark, folder, fmt):
+    """Files of two generations read as one table, merged or as declared."""
+    spec = {"path": folder, "format": fmt, "mode": "append"}
+    write_dataset(rows_frame(spark, [(1, "a")], ["id", "old"]), spec)
+    write_dataset(rows_frame(spark, [(2, "b")], ["id", "new"]), spec)
+    expected = [(1, "a", None), (2, None, "b")]
+    merged = read_dataset(spark, {**spec, "options": {"mergeSchema": "true"}})
+    assert sorted(map(tuple, merged.select("id", "old", "new").collect())) == expected
+    declared = read_dataset(spark, {**spec, "schema": "id BIGINT, old STRING, new STRING"})
+    assert sorted(map(tuple, declared.collect())) == expected
+
+
 @pytest.mark.parametrize("spec", [{}, {"format": "csv"}, {"path": "/x"}, {"path": "", "format": "csv"}])
 def test_path_and_format_are_required(spark, spec):
     with pytest.raises(ValueError):
