@@ -16,6 +16,7 @@ def rows_frame(spark: SparkSession, rows: Sequence[Sequence[Any]], columns: Any)
     ``columns`` is a list of names, with the types taken from the values, or a
     declared schema in any form ``to_struct`` accepts.
     """
-    if isinstance(columns, Sequence) and columns and all(isinstance(c, str) for c in columns) and not isinstance(columns, str):
+    names = not isinstance(columns, str) and all(isinstance(column, str) for column in columns)
+    if names and isinstance(columns, Sequence):
         return spark.createDataFrame(rows, list(columns))
     return spark.createDataFrame(rows, to_struct(columns))
