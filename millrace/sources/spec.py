@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -43,7 +44,7 @@ class DatasetSpec:
             raise ValueError(f"a {kind} dataset needs 'path'")
         return cls(
             format=kind,
-            path=path,
+            path=_path(path),
             schema=declared_schema(entry),
             options=dict(entry.get("options") or {}),
             mode=entry.get("mode") or cls.mode,
@@ -68,6 +69,14 @@ def declared_schema(entry: Mapping[str, Any]) -> StructType | None:
     return to_struct(entry.get("schema") or entry.get("schema_definition"))
 
 
+def _path(value: Any) -> str | list[str] | None:
+    if not value:
+        return None
+    if isinstance(value, (str, os.PathLike)):
+        return os.fspath(value)
+    return [os.fspath(part) for part in value]
+
+
 def _names(value: Any) -> tuple[str, ...]:
     if not value:
         return ()

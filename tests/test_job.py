@@ -135,6 +135,21 @@ def test_processing_date(spark, job):
     assert build_job(spark, job, parameters={"processing_date": dt.date(2023, 1, 1)}).count() == 1
 
 
+def test_a_daily_run_can_be_repeated(spark, job):
+    job["source_data"]["schema"] = "id INT, name STRING, value DOUBLE, event_date DATE"
+    job["parameters"] = {"processing_date": "today", "date_column": "event_date"}
+    job["destination_data"] |= {"partition_by": "event_date", "options": {"partitionOverwriteMode": "dynamic"}}
+    for date in ("2023-01-01", "2023-01-02", "2023-01-02", "2023-01-01"):
+        assert run_job(spark, job, parameters={"processing_date": date})
+    assert [r.id for r in output(spark, job).collect()] == [1, 2]
+
+
+def test_the_plan_shuffles_nothing(spark, job):
+    job["source_data"]["schema"] = "id INT, name STRING, value DOUBLE, event_date DATE"
+    plan = build_job(spark, job)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
 def test_filters_reach_the_scan(spark, job):
     job["source_data"]["schema"] = "id INT, name STRING, value DOUBLE, event_date DATE"
     job["parameters"] = {"filter_threshold": 150, "threshold_column": "value"}

@@ -54,6 +54,17 @@ def test_partitioned(spark, folder, partition_by):
     assert back.count() == 100
 
 
+def test_overwriting_single_partitions(spark, folder):
+    """With Spark's dynamic mode a run replaces the partitions it writes and no others."""
+    spec = {"path": folder, "format": "parquet", "mode": "overwrite", "partition_by": "day"}
+    write_dataset(spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b') AS t(id, day)"), spec)
+    rerun = {**spec, "options": {"partitionOverwriteMode": "dynamic"}}
+    write_dataset(spark.sql("SELECT 3 AS id, 'b' AS day"), rerun)
+    assert sorted(map(tuple, read_dataset(spark, spec).collect())) == [(1, "a"), (3, "b")]
+    write_dataset(spark.sql("SELECT 4 AS id, 'c' AS day"), spec)
+    assert [tuple(r) for r in read_dataset(spark, spec).collect()] == [(4, "c")]
+
+
 def test_unknown_partition_column(spark, folder):
     with pytest.raises(AnalysisException):
         write_dataset(spark.range(1), {"path": folder, "format": "parquet", "partition_by": "nope"})

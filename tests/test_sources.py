@@ -1,6 +1,7 @@
 import datetime as dt
 import glob
 import os
+import pathlib
 import random
 import uuid
 from decimal import Decimal
@@ -113,8 +114,10 @@ def test_a_schema_is_not_checked_by_reading(spark, folder):
 def test_several_paths(spark, folder):
     for i, row in enumerate(ROWS):
         write_dataset(rows_frame(spark, [row], ["name", "id"]), {"path": f"{folder}/{i}", "format": "parquet"})
-    df = read_dataset(spark, {"path": [f"{folder}/0", f"{folder}/2"], "format": "parquet"})
-    assert sorted(r.id for r in df.collect()) == [1, 3]
+    for paths in ([f"{folder}/0", f"{folder}/2"], (pathlib.Path(folder) / "0", pathlib.Path(folder) / "2")):
+        df = read_dataset(spark, {"path": paths, "format": "parquet"})
+        assert sorted(r.id for r in df.collect()) == [1, 3]
+    assert read_dataset(spark, {"path": pathlib.Path(folder) / "1", "format": "parquet"}).first().id == 2
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc"])
