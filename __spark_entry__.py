@@ -126,6 +126,31 @@ def job_csv_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_dataset(spark, destination)
 
 
+def job_with_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job over named datasets, filtered by its parameters, one of them set for this run."""
+    catalog = DatasetCatalog(
+        spark,
+        {
+            "events_raw_v1": {"path": f"{sf_dir}/events.parquet", "format": "parquet", "schema": EVENTS_DDL},
+            "events_daily_v1": {"path": scratch_dir(spark), "format": "parquet"},
+        },
+    )
+    job = {
+        "job_name": "with_parameters",
+        "source_data": {"dataset_id": "events_raw_v1"},
+        "destination_data": {"dataset_id": "events_daily_v1", "mode": "overwrite"},
+        "parameters": {
+            "processing_date": "today",
+            "date_column": "ts",
+            "filter_threshold": 0.5,
+            "threshold_column": "value",
+        },
+    }
+    if not run_job(spark, job, [upper_column("event_type")], {"processing_date": RUN_DATE}, catalog):
+        raise RuntimeError("the job failed, see the log")
+    return catalog.table("events_daily_v1")
+
+
 def stream_file_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_dir(spark)
     job = {
@@ -329,6 +354,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
     return {
         "job_csv_to_parquet": job_csv_to_parquet,
+        "job_with_parameters": job_with_parameters,
         "scan_parquet": scan_parquet,
         "scan_csv_inferred": scan_csv_inferred,
         "scan_csv_ddl_schema": scan_csv_ddl_schema,
@@ -368,6 +394,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id AS id, event_type AS name, value, upper(event_type) AS name_upper,
                    CAST(ts AS DATE) AS event_date
             FROM events""",
+        "job_with_parameters": """
+            SELECT *, upper(event_type) AS event_type_upper
+            FROM events
+            WHERE CAST(ts AS DATE) = DATE '2024-01-15' AND value >= CAST(0.5 AS DOUBLE)""",
         "scan_parquet": "SELECT * FROM part",
         # CSV inference takes the narrowest type that holds all values.
         "scan_csv_inferred": """

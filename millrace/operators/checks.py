@@ -19,4 +19,4 @@ def required_field_violations(df: DataFrame, schema: Any) -> DataFrame:
     required = [f.name for f in to_struct(schema) or () if not f.nullable]
     if not required:
         raise ValueError("the schema declares no required field")
-    return df.agg(*(F.count_if(F.col(quoted(name)).isNull()).alias(name) for name in required))
+    return df.agg(*(F.count(F.when(F.col(quoted(name)).isNull(), F.lit(1))).alias(name) for name in required))

@@ -39,7 +39,8 @@ def rebalanced(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and merges small ones.
     With adaptive execution off Spark leaves it out, and each task writes what
     it has. Set ``"rebalance": False`` in the spec to save the shuffle when the
-    input already lies in partition order.
+    input already lies in partition order, or to keep the order of a sort before
+    the write, which the shuffle would undo.
     """
     if spec.partition_by and spec.rebalance:
         return df.hint("rebalance", *(F.col(quoted(name)) for name in spec.partition_by))

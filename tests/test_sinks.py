@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from millrace import read_dataset, scratch_dir, write_dataset
+from millrace import read_dataset, scratch_dir, sort_rows, write_dataset
 
 
 def data_files(folder):
@@ -86,6 +86,14 @@ def test_partitions_are_brought_together(spark, folder):
     assert set(files_per_partition(f"{folder}/off").values()) == {8}
 
 
+def test_without_rebalance_a_sort_is_kept(spark, folder):
+    df = sort_rows(spark.range(0, 3000, 1, 4).select((2999 - F.col("id")).alias("id"), F.lit("x").alias("day")), "id")
+    write_dataset(df, {"path": folder, "format": "parquet", "partition_by": "day", "rebalance": False})
+    for path in data_files(folder):
+        ids = [r.id for r in spark.read.parquet(path).collect()]
+        assert ids == sorted(ids)
+
+
 def test_a_hot_value_is_spread_over_tasks(spark, folder, conf):
     conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
     hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), F.col("id") % 20))
