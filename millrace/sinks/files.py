@@ -11,6 +11,8 @@ from millrace.operators.columns import quoted
 from millrace.sources.jdbc import write_jdbc
 from millrace.sources.spec import DatasetSpec
 
+_DEAL = "__deal"
+
 
 def write_dataset(df: DataFrame, spec: Mapping[str, Any] | DatasetSpec) -> None:
     """Write ``df`` to the dataset that ``spec`` describes.
@@ -37,11 +39,19 @@ def rebalanced(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     columns would put all rows of a hot value into one task. ``REBALANCE`` does
     neither: adaptive execution splits a large shuffle partition into pieces of
     ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and merges small ones.
-    With adaptive execution off Spark leaves it out, and each task writes what
-    it has. Set ``"rebalance": False`` in the spec to save the shuffle when the
-    input already lies in partition order, or to keep the order of a sort before
+
+    That size is counted in compressed bytes, of which many copies of a row take
+    few. So each value is also dealt out over ``spec.rebalance`` shuffle
+    partitions by the number of the input partition, which a repeated task has
+    again.
+
+    With adaptive execution off Spark leaves the shuffle out, and each task
+    writes what it has. ``"rebalance": False`` in a spec does the same, for input
+    that already lies in partition order, or to keep the order of a sort before
     the write, which the shuffle would undo.
     """
-    if spec.partition_by and spec.rebalance:
-        return df.hint("rebalance", *(F.col(quoted(name)) for name in spec.partition_by))
-    return df
+    if not spec.partition_by or not spec.rebalance:
+        return df
+    values = [F.col(quoted(name)) for name in spec.partition_by]
+    dealt = df.withColumn(_DEAL, F.spark_partition_id() % spec.rebalance)
+    return dealt.hint("rebalance", *values, F.col(_DEAL)).drop(_DEAL)

@@ -20,7 +20,9 @@ class DatasetSpec:
     """Where a dataset lives and how to read or write it.
 
     ``schema`` may be declared in any form ``to_struct`` accepts, under the key
-    ``schema`` or ``schema_definition``. Descriptive keys (tags, description,
+    ``schema`` or ``schema_definition``. ``rebalance`` is the number of shuffle
+    partitions that a value of ``partition_by`` is dealt out over before a write;
+    0 or ``False`` writes without a shuffle. Descriptive keys (tags, description,
     source system) are allowed in the mapping and have no effect here.
     """
 
@@ -30,7 +32,7 @@ class DatasetSpec:
     options: dict[str, Any] = field(default_factory=dict)
     mode: str = "errorifexists"
     partition_by: tuple[str, ...] = ()
-    rebalance: bool = True
+    rebalance: int = 4
     predicates: tuple[str, ...] = ()
 
     @classmethod
@@ -49,7 +51,7 @@ class DatasetSpec:
             options=dict(entry.get("options") or {}),
             mode=entry.get("mode") or cls.mode,
             partition_by=_names(entry.get("partition_by")),
-            rebalance=bool(entry.get("rebalance", cls.rebalance)),
+            rebalance=cls.rebalance if entry.get("rebalance", True) is True else int(entry["rebalance"] or 0),
             predicates=_names(entry.get("predicates")),
         )
 

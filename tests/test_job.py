@@ -144,6 +144,14 @@ def test_a_daily_run_can_be_repeated(spark, job):
     assert [r.id for r in output(spark, job).collect()] == [1, 2]
 
 
+def test_a_failed_dynamic_overwrite_keeps_the_old_rows(spark, job):
+    job["destination_data"] |= {"partition_by": "event_date", "options": {"partitionOverwriteMode": "dynamic"}}
+    assert run_job(spark, job)
+    failing = [lambda df: df.withColumn("x", F.when(F.col("id") == 2, F.raise_error(F.lit("bad row"))))]
+    assert not run_job(spark, job, failing)
+    assert [r.name_upper for r in output(spark, job).collect()] == ["TESTNAME1", "ANOTHERNAME"]
+
+
 def test_the_plan_shuffles_nothing(spark, job):
     job["source_data"]["schema"] = "id INT, name STRING, value DOUBLE, event_date DATE"
     plan = build_job(spark, job)._jdf.queryExecution().executedPlan().toString()

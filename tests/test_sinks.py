@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from millrace import read_dataset, scratch_dir, sort_rows, write_dataset
+from millrace import DatasetSpec, read_dataset, scratch_dir, sort_rows, write_dataset
 
 
 def data_files(folder):
@@ -105,6 +105,29 @@ def test_a_hot_value_is_spread_over_tasks(spark, folder, conf):
     assert back.count() == 90000 and back.select("id").distinct().count() == 90000
 
 
+def test_copies_of_a_row_are_spread_although_they_compress_well(spark, folder):
+    """Far below the advisory size, yet not one task's work."""
+    copies = spark.range(0, 400000, 1, 8).select(F.lit("same text " * 10).alias("text"), F.lit("hot").alias("day"))
+    others = spark.range(0, 400000, 1, 8).select(
+        F.sha2(F.col("id").cast("string"), 512).alias("text"), F.concat(F.lit("d"), F.col("id") % 20).alias("day")
+    )
+    write_dataset(copies.union(others), {"path": folder, "format": "parquet", "partition_by": "day"})
+    files = files_per_partition(folder)
+    assert 1 < files["day=hot"] <= 4 and max(files.values()) <= 4
+    back = read_dataset(spark, {"path": folder, "format": "parquet"})
+    assert back.columns == ["text", "day"]
+    assert back.count() == 800000 and back.filter("day = 'hot'").count() == 400000
+
+
+def test_rebalance_settings():
+    def pieces(**entry):
+        return DatasetSpec.of({"path": "/x", "format": "csv", **entry}).rebalance
+
+    assert pieces() == pieces(rebalance=True) == 4
+    assert pieces(rebalance=False) == pieces(rebalance=0) == pieces(rebalance=None) == 0
+    assert pieces(rebalance=1) == 1 and pieces(rebalance=16) == 16
+
+
 def test_without_adaptive_execution_no_task_takes_a_whole_value(spark, folder, conf):
     conf("spark.sql.adaptive.enabled", "false")
     df = spark.range(0, 4000, 1, 8).select("id", F.lit("hot").alias("day"))
