@@ -41,9 +41,9 @@ def rebalanced(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and merges small ones.
 
     That size is counted in compressed bytes, of which many copies of a row take
-    few. So each value is also dealt out over ``spec.rebalance`` shuffle
-    partitions by the number of the input partition, which a repeated task has
-    again.
+    few. ``"rebalance": n`` in a spec deals each value out over ``n`` shuffle
+    partitions as well, by the number of the input partition, which a repeated
+    task has again. That is up to ``n`` times the files where values are small.
 
     With adaptive execution off Spark leaves the shuffle out, and each task
     writes what it has. ``"rebalance": False`` in a spec does the same, for input
@@ -53,5 +53,7 @@ def rebalanced(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     if not spec.partition_by or not spec.rebalance:
         return df
     values = [F.col(quoted(name)) for name in spec.partition_by]
+    if spec.rebalance == 1:
+        return df.hint("rebalance", *values)
     dealt = df.withColumn(_DEAL, F.spark_partition_id() % spec.rebalance)
     return dealt.hint("rebalance", *values, F.col(_DEAL)).drop(_DEAL)

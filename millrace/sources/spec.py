@@ -32,7 +32,7 @@ class DatasetSpec:
     options: dict[str, Any] = field(default_factory=dict)
     mode: str = "errorifexists"
     partition_by: tuple[str, ...] = ()
-    rebalance: int = 4
+    rebalance: int = 1
     predicates: tuple[str, ...] = ()
 
     @classmethod

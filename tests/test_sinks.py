@@ -111,7 +111,8 @@ def test_copies_of_a_row_are_spread_although_they_compress_well(spark, folder):
     others = spark.range(0, 400000, 1, 8).select(
         F.sha2(F.col("id").cast("string"), 512).alias("text"), F.concat(F.lit("d"), F.col("id") % 20).alias("day")
     )
-    write_dataset(copies.union(others), {"path": folder, "format": "parquet", "partition_by": "day"})
+    spec = {"path": folder, "format": "parquet", "partition_by": "day", "rebalance": 4}
+    write_dataset(copies.union(others), spec)
     files = files_per_partition(folder)
     assert 1 < files["day=hot"] <= 4 and max(files.values()) <= 4
     back = read_dataset(spark, {"path": folder, "format": "parquet"})
@@ -123,9 +124,9 @@ def test_rebalance_settings():
     def pieces(**entry):
         return DatasetSpec.of({"path": "/x", "format": "csv", **entry}).rebalance
 
-    assert pieces() == pieces(rebalance=True) == 4
+    assert pieces() == pieces(rebalance=True) == 1
     assert pieces(rebalance=False) == pieces(rebalance=0) == pieces(rebalance=None) == 0
-    assert pieces(rebalance=1) == 1 and pieces(rebalance=16) == 16
+    assert pieces(rebalance=16) == 16
 
 
 def test_without_adaptive_execution_no_task_takes_a_whole_value(spark, folder, conf):
