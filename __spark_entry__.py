@@ -345,6 +345,13 @@ def required_field_violations_query(spark: SparkSession, sf_dir: str) -> DataFra
     return required_field_violations(_table(spark, sf_dir, "lineitem"), LINEITEM_REQUIRED)
 
 
+try:
+    import corpus_pipeline
+    from millrace.llm import queries as _llm
+except ImportError:  # the optional part is not there
+    corpus_pipeline = _llm = None
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: a CSV source through the job into partitioned parquet."""
     return job_csv_to_parquet(spark, "/root/testdata/sf0.001")
@@ -352,6 +359,21 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
+    if _llm is None:
+        return job_queries()
+    return {**job_queries(), **_llm.queries(), "pipeline": corpus_pipeline.run}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The same results in SQL over the given tables, where SQL can say them."""
+    if _llm is None:
+        return job_oracle_sql()
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**job_oracle_sql(), **_llm.oracle_sql(), **pipeline}
+
+
+def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of the job library itself."""
     return {
         "job_csv_to_parquet": job_csv_to_parquet,
         "job_with_parameters": job_with_parameters,
@@ -387,8 +409,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    """The same results in SQL over the given tables."""
+def job_oracle_sql() -> dict[str, str]:
+    """The SQL of ``job_queries``."""
     return {
         "job_csv_to_parquet": """
             SELECT event_id AS id, event_type AS name, value, upper(event_type) AS name_upper,

@@ -33,13 +33,13 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert entry_module.queries().keys() == entry_module.oracle_sql().keys()
+    assert entry_module.job_queries().keys() == entry_module.job_oracle_sql().keys()
 
 
-@pytest.mark.parametrize("key", entry_module.queries())
+@pytest.mark.parametrize("key", entry_module.job_queries())
 def test_query_matches_sql(spark, duck, key):
-    result = entry_module.queries()[key](spark, SF_DIR)
-    expected = duck.sql(entry_module.oracle_sql()[key])
+    result = entry_module.job_queries()[key](spark, SF_DIR)
+    expected = duck.sql(entry_module.job_oracle_sql()[key])
     assert result.columns == expected.columns
     assert [TYPES[t] for _, t in result.dtypes] == [str(t) for t in expected.types]
     rows = sorted((tuple(map(_key, row)) for row in result.collect()))
@@ -47,9 +47,9 @@ def test_query_matches_sql(spark, duck, key):
     assert rows
 
 
-@pytest.mark.parametrize("key", entry_module.queries())
+@pytest.mark.parametrize("key", entry_module.job_queries())
 def test_plan_stays_in_the_jvm_without_cross_joins(spark, key):
-    plan = _plan(entry_module.queries()[key](spark, SF_DIR))
+    plan = _plan(entry_module.job_queries()[key](spark, SF_DIR))
     for word in ("Python", "Cartesian", "NestedLoop", "ExistingRDD"):
         assert word not in plan
 
@@ -64,7 +64,7 @@ def test_tables_may_be_folders_of_files(spark, folder):
     """On a cluster a table is a folder with many files."""
     for name in ("events", "lineitem"):
         spark.read.parquet(f"{SF_DIR}/{name}.parquet").repartition(5).write.parquet(f"{folder}/{name}.parquet")
-    queries = entry_module.queries()
+    queries = entry_module.job_queries()
     for key in ("stream_file_to_parquet", "job_csv_to_parquet", "sink_partitioned", "sort_rows"):
         split, whole = queries[key](spark, folder), queries[key](spark, SF_DIR)
         assert split.schema == whole.schema
@@ -72,7 +72,7 @@ def test_tables_may_be_folders_of_files(spark, folder):
 
 
 def test_pushed_filters_and_pruned_partitions(spark):
-    queries = entry_module.queries()
+    queries = entry_module.job_queries()
     assert "GreaterThanOrEqual(l_discount,0.05)" in _plan(queries["filter_threshold"](spark, SF_DIR))
     assert "GreaterThanOrEqual(ts,2024-01-15T00:00)" in _plan(queries["filter_processing_date"](spark, SF_DIR))
     assert "PartitionFilters: [isnotnull(l_returnflag" in _plan(queries["sink_partitioned"](spark, SF_DIR))
