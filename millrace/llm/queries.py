@@ -4,27 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.llm import mixing, packing
+from millrace.llm import chat, embed_dedup, html_text, langid, linededup, mixing, packing, simhash, tokenfile, topk
 from millrace.llm.shipping import ship_package
 from millrace.llm.tables import table
 
+# The conversation that tries the escapes of the template.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    return chat.digests(chat.format_conversations(rows.unionByName(control)))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The documents that a classifier must not learn from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), ~held_out())
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, threshold=0.8)
+
+
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op9_mixing": op9_mixing,
-        "op10_packing": op10_packing,
-    }
+    operators = [
+        op1_simhash, op2_embedding_dedup, op3_chat, op4_html, op5_topk,
+        op6_language_id, op7_line_dedup, op8_token_file, op9_mixing, op10_packing,
+    ]
+    return {query.__name__: _shipped(query) for query in operators}
 
 
 MIXING_SQL = r"""
@@ -65,5 +126,40 @@ LEFT JOIN taken k ON k.doc_id IS NOT DISTINCT FROM s.doc_id AND k.source IS NOT
 """
 
 
+EMBEDDING_SQL = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a, good b
+    WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(node, root) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION
+    SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node),
+roots AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT e.vec_id, CAST(count(links.b) AS BIGINT) AS n_links, any_value(roots.component_id) AS component_id,
+       e.vec_id = any_value(roots.component_id) AS kept
+FROM embeddings e LEFT JOIN links ON links.a = e.vec_id JOIN roots ON roots.node = e.vec_id
+GROUP BY e.vec_id
+"""
+
+TOPK_SQL = """
+WITH good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM good),
+scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
+    FROM parts a JOIN parts b ON a.i = b.i AND a.vec_id <> b.vec_id
+    WHERE a.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, rank, vec_id, score FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM scored) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": MIXING_SQL}
+    return {"op2_embedding_dedup": EMBEDDING_SQL, "op5_topk": TOPK_SQL, "op9_mixing": MIXING_SQL}
