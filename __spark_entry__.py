@@ -71,7 +71,9 @@ PRODUCT_FIELDS = [
 ]
 LINEITEM_REQUIRED = [
     {"name": "l_orderkey", "type": "bigint", "nullable": False},
-    {"name": "l_partkey", "type": "bigint", "nullable": False},
+    {"name": "l_linenumber", "type": "int", "nullable": False},
+    {"name": "l_returnflag", "type": "string", "nullable": False},
+    {"name": "l_tax", "type": "double", "nullable": True},
 ]
 # The id is a long: an int would turn to null in CSV past 2^31 events.
 JOB_TYPES = {"id": "long", "name": "string", "value": "double", "event_date": "date"}
@@ -84,8 +86,16 @@ SAMPLE_ROWS = [
 ]
 
 RUN_DATE = dt.date(2024, 1, 15)
-# A malformed line fails the query instead of turning into nulls.
-CSV_OPTIONS = {"header": "true", "mode": "FAILFAST"}
+# A malformed line fails the query instead of turning into nulls; null, empty and padded
+# text and quotes come back as they were, and files can be read in pieces.
+CSV_OPTIONS = {
+    "header": "true",
+    "mode": "FAILFAST",
+    "nullValue": "\\N",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -182,27 +192,39 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = {"options": {"header": "true", "inferSchema": "true"}}
-    return _through(_table(spark, sf_dir, "customer"), "csv", read, options={"header": "true"})
+    read = {"options": {**CSV_OPTIONS, "inferSchema": "true"}}
+    return _through(_table(spark, sf_dir, "customer"), "csv", read, options=CSV_OPTIONS)
 
 
 def scan_csv_ddl_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = {"options": CSV_OPTIONS, "schema": ORDERS_DDL}
-    return _through(_table(spark, sf_dir, "orders"), "csv", read, options={"header": "true"})
+    return _through(_table(spark, sf_dir, "orders"), "csv", read, options=CSV_OPTIONS)
+
+
+def scan_csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of day to the microsecond and quoted text, through CSV."""
+    read = {"options": CSV_OPTIONS, "schema": EVENTS_DDL}
+    return _through(_table(spark, sf_dir, "events"), "csv", read, options=CSV_OPTIONS)
+
+
+def scan_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = {"options": {"mode": "FAILFAST"}, "schema": EVENTS_DDL}
+    return _through(_table(spark, sf_dir, "events"), "json", read)
 
 
 def scan_csv_struct_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = {"options": CSV_OPTIONS, "schema": CUSTOMER_STRUCT}
-    return _through(_table(spark, sf_dir, "customer"), "csv", read, options={"header": "true"})
+    return _through(_table(spark, sf_dir, "customer"), "csv", read, options=CSV_OPTIONS)
 
 
 def scan_csv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = {"options": {"sep": "|", "mode": "FAILFAST"}, "schema": PART_DDL}
-    return _through(_table(spark, sf_dir, "part"), "csv", read, options={"sep": "|"})
+    options = {**CSV_OPTIONS, "header": "false", "sep": "|"}
+    return _through(_table(spark, sf_dir, "part"), "csv", {"options": options, "schema": PART_DDL}, options=options)
 
 
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through(_table(spark, sf_dir, "customer"), "json", {"schema": CUSTOMER_STRUCT})
+    read = {"options": {"mode": "FAILFAST"}, "schema": CUSTOMER_STRUCT}
+    return _through(_table(spark, sf_dir, "customer"), "json", read)
 
 
 def scan_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,10 +243,10 @@ def local_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_writes(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    """Customers of the nations below ten, then the others into the same place."""
+    """Customers of the nations below ten, then all others into the same place."""
     customer, target = _table(spark, sf_dir, "customer"), {"path": scratch_dir(spark) + "/out", "format": "parquet"}
     write_dataset(customer.filter("c_nationkey < 10"), target)
-    write_dataset(customer.filter("c_nationkey >= 10"), {**target, "mode": mode})
+    write_dataset(customer.filter("NOT coalesce(c_nationkey < 10, false)"), {**target, "mode": mode})
     return read_dataset(spark, target)
 
 
@@ -248,16 +270,20 @@ def sink_errorifexists(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, target = _table(spark, sf_dir, "customer"), {"path": scratch_dir(spark) + "/out", "format": "parquet"}
     write_dataset(customer.filter("c_nationkey < 10"), target)
     try:
-        write_dataset(customer.filter("c_nationkey >= 10"), target)
+        write_dataset(customer.filter("NOT coalesce(c_nationkey < 10, false)"), target)
     except AnalysisException:
         return read_dataset(spark, target)
     raise RuntimeError("the second write should have failed")
 
 
 def sink_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through(_table(spark, sf_dir, "lineitem"), "parquet", partition_by="l_returnflag").filter(
-        F.col("l_returnflag") == "R"
-    )
+    """Three values with very many rows each: a shuffle would not save files."""
+    lineitem = _table(spark, sf_dir, "lineitem")
+    return _through(lineitem, "parquet", partition_by="l_returnflag", rebalance=False)
+
+
+def scan_partition_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sink_partitioned(spark, sf_dir).filter(F.col("l_returnflag") == "R")
 
 
 def sink_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,11 +328,31 @@ def preview_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset by a name that is no identifier, found as a view too."""
     catalog = DatasetCatalog(spark)
-    catalog.register(
-        "part_catalog_v1", {"path": f"{sf_dir}/part.parquet", "format": "parquet", "schema": PART_FIELDS}
+    catalog.register("crm.parts-v1", {"path": f"{sf_dir}/part.parquet", "format": "parquet", "schema": PART_FIELDS})
+    catalog.table("crm.parts-v1")
+    return spark.table("`crm.parts-v1`")
+
+
+def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that the entries of a catalog declare, beside the rows that a scan of each finds."""
+    catalog = DatasetCatalog(
+        spark,
+        {
+            "parts": {"path": f"{sf_dir}/part.parquet", "format": "parquet", "schema": PART_FIELDS},
+            "customers": {"path": f"{sf_dir}/customer.parquet", "format": "parquet", "schema": CUSTOMER_TYPES},
+        },
     )
-    return catalog.table("part_catalog_v1")
+    tables = []
+    for dataset_id in catalog.ids():
+        fields = [
+            F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"))
+            for f in catalog.schema(dataset_id)
+        ]
+        counted = count_rows(catalog.table(dataset_id), "n_rows")
+        tables.append(counted.select(F.lit(dataset_id).alias("dataset_id"), F.explode(F.array(*fields)).alias("f"), "n_rows"))
+    return tables[0].unionByName(tables[1]).select("dataset_id", "f.field", "f.type", "n_rows")
 
 
 def schema_from_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,12 +362,12 @@ def schema_from_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias("price"),
     )
     read = {"options": CSV_OPTIONS, "schema": PRODUCT_FIELDS}
-    return _through(products, "csv", read, options={"header": "true"})
+    return _through(products, "csv", read, options=CSV_OPTIONS)
 
 
 def schema_from_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = {"options": CSV_OPTIONS, "schema_definition": CUSTOMER_TYPES}
-    return _through(_table(spark, sf_dir, "customer"), "csv", read, options={"header": "true"})
+    return _through(_table(spark, sf_dir, "customer"), "csv", read, options=CSV_OPTIONS)
 
 
 def schema_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +388,16 @@ def schema_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def required_field_violations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return required_field_violations(_table(spark, sf_dir, "lineitem"), LINEITEM_REQUIRED)
+    """Nulls in the required fields of a table that has some: its first lines and returned items."""
+    holed = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.nullif("l_linenumber", F.lit(1)).alias("l_linenumber"),
+        F.nullif("l_returnflag", F.lit("R")).alias("l_returnflag"),
+        "l_tax",
+    )
+    entry = {"path": scratch_dir(spark), "format": "parquet", "schema": LINEITEM_REQUIRED}
+    write_dataset(holed, {**entry, "mode": "overwrite"})
+    return DatasetCatalog(spark, {"holed_lines": entry}).violations("holed_lines")
 
 
 try:
@@ -382,7 +437,9 @@ def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_csv_ddl_schema": scan_csv_ddl_schema,
         "scan_csv_struct_schema": scan_csv_struct_schema,
         "scan_csv_options": scan_csv_options,
+        "scan_csv_events": scan_csv_events,
         "scan_json": scan_json,
+        "scan_json_events": scan_json_events,
         "scan_orc": scan_orc,
         "local_rows": local_rows,
         "sink_parquet": sink_parquet,
@@ -391,6 +448,7 @@ def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sink_ignore": sink_ignore,
         "sink_errorifexists": sink_errorifexists,
         "sink_partitioned": sink_partitioned,
+        "scan_partition_pruned": scan_partition_pruned,
         "sink_compressed": sink_compressed,
         "project_upper": project_upper,
         "project_upper_missing": project_upper_missing,
@@ -400,6 +458,7 @@ def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sort_rows": sort_rows_query,
         "preview_top5": preview_top5,
         "scan_registered": scan_registered,
+        "catalog_fields": catalog_fields,
         "schema_from_fields": schema_from_fields,
         "schema_from_map": schema_from_map,
         "schema_decimal": schema_decimal,
@@ -409,6 +468,16 @@ def job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _catalog_fields_sql() -> str:
+    parts = [("parts", field["name"], field["type"], "part") for field in PART_FIELDS]
+    kinds = {"long": "bigint", "integer": "int"}
+    customers = [("customers", name, kinds.get(kind, kind), "customer") for name, kind in CUSTOMER_TYPES.items()]
+    return " UNION ALL ".join(
+        f"SELECT '{dataset}' AS dataset_id, '{name}' AS field, '{kind}' AS type, (SELECT count(*) FROM {source}) AS n_rows"
+        for dataset, name, kind, source in parts + customers
+    )
+
+
 def job_oracle_sql() -> dict[str, str]:
     """The SQL of ``job_queries``."""
     return {
@@ -428,22 +497,25 @@ def job_oracle_sql() -> dict[str, str]:
         "scan_csv_ddl_schema": "SELECT * FROM orders",
         "scan_csv_struct_schema": "SELECT * FROM customer",
         "scan_csv_options": "SELECT * FROM part",
+        "scan_csv_events": "SELECT * FROM events",
         "scan_json": "SELECT * FROM customer",
+        "scan_json_events": "SELECT * FROM events",
         "scan_orc": "SELECT * FROM supplier",
         "local_rows": """
             SELECT event_id AS id, event_type AS name, value, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date
             FROM events
             UNION ALL
             SELECT CAST(id AS BIGINT), name, CAST(value AS DOUBLE), event_date
-            FROM (VALUES (1, 'ProductA', 10.5, '2023-01-15'),
-                         (2, 'ProductB', 20.0, '2023-01-16'),
-                         (3, 'ProductC', 5.75, '2023-01-17')) AS t(id, name, value, event_date)""",
+            FROM (VALUES """
+        + ", ".join(map(str, SAMPLE_ROWS))
+        + """) AS t(id, name, value, event_date)""",
         "sink_parquet": "SELECT * FROM lineitem",
-        "sink_overwrite": "SELECT * FROM customer WHERE c_nationkey >= 10",
+        "sink_overwrite": "SELECT * FROM customer WHERE NOT coalesce(c_nationkey < 10, false)",
         "sink_append": "SELECT * FROM customer",
         "sink_ignore": "SELECT * FROM customer WHERE c_nationkey < 10",
         "sink_errorifexists": "SELECT * FROM customer WHERE c_nationkey < 10",
-        "sink_partitioned": """
+        "sink_partitioned": "SELECT * EXCLUDE (l_returnflag), l_returnflag FROM lineitem",
+        "scan_partition_pruned": """
             SELECT * EXCLUDE (l_returnflag), l_returnflag FROM lineitem WHERE l_returnflag = 'R'""",
         "sink_compressed": "SELECT * FROM orders",
         "project_upper": "SELECT *, upper(p_name) AS p_name_upper FROM part",
@@ -454,6 +526,7 @@ def job_oracle_sql() -> dict[str, str]:
         "sort_rows": "SELECT * FROM lineitem ORDER BY l_returnflag",
         "preview_top5": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
         "scan_registered": "SELECT * FROM part",
+        "catalog_fields": _catalog_fields_sql(),
         "schema_from_fields": """
             SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_type AS category, p_retailprice AS price
             FROM part""",
@@ -467,7 +540,8 @@ def job_oracle_sql() -> dict[str, str]:
             SELECT p_partkey, NULL, p_brand FROM part""",
         "required_field_violations": """
             SELECT count(*) FILTER (l_orderkey IS NULL) AS l_orderkey,
-                   count(*) FILTER (l_partkey IS NULL) AS l_partkey
+                   count(*) FILTER (nullif(l_linenumber, 1) IS NULL) AS l_linenumber,
+                   count(*) FILTER (nullif(l_returnflag, 'R') IS NULL) AS l_returnflag
             FROM lineitem""",
         "stream_file_to_parquet": "SELECT *, upper(event_type) AS event_type_upper FROM events",
     }

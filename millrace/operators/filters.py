@@ -25,7 +25,9 @@ def filter_processing_date(column: str, date: dt.date) -> Callable[[DataFrame],
 
     The bare column is compared, never a function of it: equality on a date
     column prunes partitions, and a half-open range on a timestamp is pushed to
-    the scan. Text is cast to a date first, which no scan can use.
+    the scan. Text is cast to a date first: that still prunes partitions of a text
+    partition column, but reaches no other scan, and under ANSI mode one malformed
+    value fails the job.
     """
 
     def transform(df: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def run_job(
     """
     try:
         source, destination = job_specs(job, catalog)
-        if destination.mode.lower() == "overwrite" and overlap(source, destination):
+        if destination.save_mode.lower() == "overwrite" and overlap(source, destination):
             raise ValueError(f"overwriting {destination.path or 'the table'} would delete the data being read")
         rows = read_dataset(spark, source)
         result = apply_transforms(rows, transforms, merged_parameters(job, parameters))

@@ -8,27 +8,41 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.columns import quoted
+from millrace.sources.files import path_exists, stream_log
 from millrace.sources.jdbc import write_jdbc
 from millrace.sources.spec import DatasetSpec
 
-_DEAL = "__deal"
+# CSV and JSON cut timestamps to milliseconds unless they are told these.
+_MICROSECONDS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def write_dataset(df: DataFrame, spec: Mapping[str, Any] | DatasetSpec) -> None:
     """Write ``df`` to the dataset that ``spec`` describes.
 
-    ``mode`` is one of Spark's save modes, ``errorifexists`` unless given.
+    ``mode`` is one of Spark's save modes, ``errorifexists`` unless given. CSV and
+    JSON keep microseconds of timestamps unless the options name another format.
+    Appending to the output of a file stream is refused: readers of such a folder
+    see only what the stream wrote.
     """
     spec = DatasetSpec.of(spec)
     if spec.format.lower() == "jdbc":
         write_jdbc(df, spec)
         return
-    writer = rebalanced(df, spec).write.format(spec.format).mode(spec.mode)
-    if spec.options:
-        writer = writer.options(**spec.options)
-    if spec.partition_by:
-        writer = writer.partitionBy(*spec.partition_by)
-    writer.save(spec.path)
+    if spec.save_mode.lower() == "append" and isinstance(spec.path, str):
+        if path_exists(df.sparkSession, stream_log(spec.path)):
+            raise ValueError(f"{spec.path} is the output of a stream; rows appended to it would not be seen")
+    rebalanced(df, spec).write.options(**writer_options(spec)).save(
+        spec.path, spec.format, spec.save_mode, list(spec.partition_by) or None
+    )
+
+
+def writer_options(spec: DatasetSpec) -> dict[str, Any]:
+    if spec.format.lower() not in ("csv", "json"):
+        return spec.options
+    return {**{k: v for k, v in _MICROSECONDS.items() if spec.option(k) is None}, **spec.options}
 
 
 def rebalanced(df: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -41,19 +55,28 @@ def rebalanced(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and merges small ones.
 
     That size is counted in compressed bytes, of which many copies of a row take
-    few. ``"rebalance": n`` in a spec deals each value out over ``n`` shuffle
-    partitions as well, by the number of the input partition, which a repeated
-    task has again. That is up to ``n`` times the files where values are small.
+    few. So each value is also dealt out over ``rebalance`` shuffle partitions, 4
+    unless the spec says otherwise, by the number of the input partition, which a
+    repeated task has again. That is up to so many times the files where values
+    are small; ``"rebalance": 1`` in a spec deals nothing out.
 
     With adaptive execution off Spark leaves the shuffle out, and each task
-    writes what it has. ``"rebalance": False`` in a spec does the same, for input
-    that already lies in partition order, or to keep the order of a sort before
-    the write, which the shuffle would undo.
+    writes what it has. ``"rebalance": False`` in a spec does the same: for input
+    that already lies in partition order, for a few values with very many rows,
+    or to keep the order of a sort before the write, which the shuffle would undo.
     """
     if not spec.partition_by or not spec.rebalance:
         return df
     values = [F.col(quoted(name)) for name in spec.partition_by]
     if spec.rebalance == 1:
         return df.hint("rebalance", *values)
-    dealt = df.withColumn(_DEAL, F.spark_partition_id() % spec.rebalance)
-    return dealt.hint("rebalance", *values, F.col(_DEAL)).drop(_DEAL)
+    deal = _unused_name(df)
+    dealt = df.withColumn(deal, F.spark_partition_id() % spec.rebalance)
+    return dealt.hint("rebalance", *values, F.col(deal)).drop(deal)
+
+
+def _unused_name(df: DataFrame) -> str:
+    taken, name = {column.lower() for column in df.columns}, "__deal"
+    while name in taken:
+        name += "_"
+    return name

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sources.jdbc import read_jdbc
@@ -25,9 +26,28 @@ def read_dataset(spark: SparkSession, spec: Mapping[str, Any] | DatasetSpec) ->
     spec = DatasetSpec.of(spec)
     if spec.format.lower() == "jdbc":
         return read_jdbc(spark, spec)
-    reader = spark.read.format(spec.format)
-    if spec.schema:
-        reader = reader.schema(spec.schema)
-    if spec.options:
-        reader = reader.options(**spec.options)
-    return reader.load(spec.path)
+    return spark.read.options(**spec.options).load(spec.path, spec.format, spec.schema)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder of that name? Asks the file system that Spark would read it from."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Does the folder hold any data file, at any depth?"""
+    if not path_exists(spark, path):
+        return False
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return not found.select("path").isEmpty()
+
+
+def stream_log(path: str) -> str:
+    """Where a file stream keeps the list of its files; readers of the folder see those and no others."""
+    return f"{path.rstrip('/')}/_spark_metadata"

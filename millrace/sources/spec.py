@@ -20,9 +20,9 @@ class DatasetSpec:
     """Where a dataset lives and how to read or write it.
 
     ``schema`` may be declared in any form ``to_struct`` accepts, under the key
-    ``schema`` or ``schema_definition``. ``rebalance`` is the number of shuffle
-    partitions that a value of ``partition_by`` is dealt out over before a write;
-    0 or ``False`` writes without a shuffle. Descriptive keys (tags, description,
+    ``schema`` or ``schema_definition``. ``mode`` is ``None`` unless given. ``rebalance``
+    is the number of shuffle partitions that a value of ``partition_by`` is dealt out
+    over before a write; 0 or ``False`` writes without a shuffle. Descriptive keys (tags, description,
     source system) are allowed in the mapping and have no effect here.
     """
 
@@ -30,9 +30,9 @@ class DatasetSpec:
     path: str | list[str] | None = None
     schema: StructType | None = None
     options: dict[str, Any] = field(default_factory=dict)
-    mode: str = "errorifexists"
+    mode: str | None = None
     partition_by: tuple[str, ...] = ()
-    rebalance: int = 1
+    rebalance: int = 4
     predicates: tuple[str, ...] = ()
 
     @classmethod
@@ -49,7 +49,7 @@ class DatasetSpec:
             path=_path(path),
             schema=declared_schema(entry),
             options=dict(entry.get("options") or {}),
-            mode=entry.get("mode") or cls.mode,
+            mode=entry.get("mode") or None,
             partition_by=_names(entry.get("partition_by")),
             rebalance=cls.rebalance if entry.get("rebalance", True) is True else int(entry["rebalance"] or 0),
             predicates=_names(entry.get("predicates")),
@@ -59,6 +59,11 @@ class DatasetSpec:
         """The value of an option, whatever the case of its name, or ``None``."""
         return next((value for key, value in self.options.items() if key.lower() == name.lower()), None)
 
+    @property
+    def save_mode(self) -> str:
+        """The mode of a batch write."""
+        return self.mode or "errorifexists"
+
     @property
     def paths(self) -> list[str]:
         if not self.path:

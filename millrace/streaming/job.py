@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.plans.catalog import DatasetCatalog
 from millrace.plans.job import Transform, apply_transforms, job_specs, merged_parameters
-from millrace.sinks.files import rebalanced
+from millrace.sinks.files import rebalanced, writer_options
+from millrace.sources.files import has_files, path_exists, stream_log
 from millrace.sources.paths import overlap
 from millrace.sources.spec import DatasetSpec
 
@@ -30,12 +31,7 @@ def read_stream(spark: SparkSession, spec: Mapping[str, Any] | DatasetSpec) -> D
     spec = DatasetSpec.of(spec)
     if spec.format.lower() in _FILE_FORMATS and not spec.schema:
         raise ValueError(f"a {spec.format} stream needs a declared schema")
-    reader = spark.readStream.format(spec.format)
-    if spec.schema:
-        reader = reader.schema(spec.schema)
-    if spec.options:
-        reader = reader.options(**spec.options)
-    return reader.load(spec.path)
+    return spark.readStream.options(**spec.options).load(spec.path, spec.format, spec.schema)
 
 
 def write_stream(
@@ -47,16 +43,33 @@ def write_stream(
     driver: with it a restarted query goes on where the last one stopped, and
     the file sink holds each row once. ``trigger`` is passed to Spark; the
     default handles all that is there and then stops.
+
+    A file stream hides what others put into its folder, and skips batches that the
+    folder's log already has. So a folder with files of a batch job is refused,
+    and so is another stream's output under a new checkpoint. With the mode
+    ``errorifexists`` given, any folder is refused that this checkpoint did not begin.
     """
     spec = DatasetSpec.of(spec)
-    if not spec.option("checkpointLocation"):
+    checkpoint = spec.option("checkpointLocation")
+    if not checkpoint:
         raise ValueError("a stream needs the option 'checkpointLocation'")
-    if spec.mode.lower() not in ("append", "errorifexists"):
+    mode = (spec.mode or "append").lower()
+    if mode not in ("append", "errorifexists"):
         raise ValueError(f"a stream can only append, not {spec.mode}")
-    writer = rebalanced(df, spec).writeStream.format(spec.format).outputMode("append").options(**spec.options)
-    if spec.partition_by:
-        writer = writer.partitionBy(*spec.partition_by)
-    return writer.trigger(**(trigger or {"availableNow": True})).start(spec.path)
+    if spec.format.lower() in _FILE_FORMATS:
+        _check_destination(df.sparkSession, spec.path, checkpoint, mode)
+    query = rebalanced(df, spec).writeStream.options(**writer_options(spec)).trigger(**(trigger or {"availableNow": True}))
+    return query.start(spec.path, spec.format, "append", list(spec.partition_by) or None)
+
+
+def _check_destination(spark: SparkSession, path: str, checkpoint: str, mode: str) -> None:
+    if path_exists(spark, stream_log(path)):
+        if not path_exists(spark, checkpoint):
+            raise ValueError(f"{path} is the output of a stream with another checkpoint")
+    elif has_files(spark, path):
+        raise ValueError(f"{path} holds files that a stream into it would hide")
+    elif mode == "errorifexists" and path_exists(spark, path):
+        raise ValueError(f"{path} exists")
 
 
 def run_stream_job(
@@ -75,7 +88,12 @@ def run_stream_job(
         if overlap(source, destination):
             raise ValueError("a stream cannot write where it reads")
         rows = apply_transforms(read_stream(spark, source), transforms, merged_parameters(job, parameters))
-        write_stream(rows, destination).awaitTermination()
+        query = write_stream(rows, destination)
+        try:
+            query.awaitTermination()
+        finally:
+            # Has ended, unless the wait was interrupted.
+            query.stop()
     except Exception:
         log.exception("stream job %s failed", job.get("job_name", ""))
         return False

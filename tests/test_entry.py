@@ -75,8 +75,8 @@ def test_pushed_filters_and_pruned_partitions(spark):
     queries = entry_module.job_queries()
     assert "GreaterThanOrEqual(l_discount,0.05)" in _plan(queries["filter_threshold"](spark, SF_DIR))
     assert "GreaterThanOrEqual(ts,2024-01-15T00:00)" in _plan(queries["filter_processing_date"](spark, SF_DIR))
-    assert "PartitionFilters: [isnotnull(l_returnflag" in _plan(queries["sink_partitioned"](spark, SF_DIR))
-    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in _plan(
+    assert "PartitionFilters: [isnotnull(l_returnflag" in _plan(queries["scan_partition_pruned"](spark, SF_DIR))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_returnflag:string>" in _plan(
         queries["required_field_violations"](spark, SF_DIR)
     )
     assert "ReadSchema: struct<>" in _plan(queries["count_rows"](spark, SF_DIR))

@@ -49,6 +49,23 @@ def test_predicate_scan():
     )
 
 
+def test_a_declared_schema_sets_the_types():
+    schema = "s_suppkey DECIMAL(12,0), `odd name` STRING"
+    declared = {"customSchema": "`s_suppkey` decimal(12,0), `odd name` string"}
+    spark = Recorder()
+    read_dataset(spark, {"format": "jdbc", "schema": schema, "options": {**LOCATION, **RANGE}})
+    assert spark.calls["options"] == ((), {**LOCATION, **RANGE, **declared})
+    read_dataset(spark, {"format": "jdbc", "schema": schema, "options": LOCATION, "predicates": ["k < 5"]})
+    assert spark.calls["jdbc"][1]["properties"] == declared
+    with pytest.raises(ValueError, match="not both"):
+        read_dataset(spark, {"format": "jdbc", "schema": schema, "options": {**LOCATION, **RANGE, **declared}})
+
+
+def test_a_write_bounds_its_connections():
+    with pytest.raises(ValueError, match="numPartitions"):
+        write_dataset(Recorder(), {"format": "jdbc", "mode": "append", "options": LOCATION})
+
+
 def test_one_task_only_when_asked_for():
     with pytest.raises(ValueError, match="partitionColumn"):
         read_dataset(Recorder(), {"format": "jdbc", "options": LOCATION})

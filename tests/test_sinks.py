@@ -80,7 +80,7 @@ def test_partitions_are_brought_together(spark, folder):
     """One file per value, not one per task and value."""
     df = spark.range(0, 4000, 1, 8).select("id", F.expr("id % 10 AS day"))
     spec = {"format": "parquet", "partition_by": "day"}
-    write_dataset(df, {**spec, "path": f"{folder}/on"})
+    write_dataset(df, {**spec, "path": f"{folder}/on", "rebalance": 1})
     write_dataset(df, {**spec, "path": f"{folder}/off", "rebalance": False})
     assert set(files_per_partition(f"{folder}/on").values()) == {1}
     assert set(files_per_partition(f"{folder}/off").values()) == {8}
@@ -111,7 +111,7 @@ def test_copies_of_a_row_are_spread_although_they_compress_well(spark, folder):
     others = spark.range(0, 400000, 1, 8).select(
         F.sha2(F.col("id").cast("string"), 512).alias("text"), F.concat(F.lit("d"), F.col("id") % 20).alias("day")
     )
-    spec = {"path": folder, "format": "parquet", "partition_by": "day", "rebalance": 4}
+    spec = {"path": folder, "format": "parquet", "partition_by": "day"}
     write_dataset(copies.union(others), spec)
     files = files_per_partition(folder)
     assert 1 < files["day=hot"] <= 4 and max(files.values()) <= 4
@@ -120,11 +120,26 @@ def test_copies_of_a_row_are_spread_although_they_compress_well(spark, folder):
     assert back.count() == 800000 and back.filter("day = 'hot'").count() == 400000
 
 
+def test_a_column_of_any_name_is_written(spark, folder):
+    df = spark.range(40).selectExpr("id", "id % 3 AS day", "id * 2 AS __deal", "id * 3 AS __DEAL_")
+    write_dataset(df, {"path": folder, "format": "parquet", "partition_by": "day"})
+    back = read_dataset(spark, {"path": folder, "format": "parquet"})
+    assert back.columns == ["id", "__deal", "__DEAL_", "day"]
+    assert back.agg(F.sum("__deal"), F.sum("__DEAL_")).first() == (2 * 780, 3 * 780)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_a_given_timestamp_format_is_kept(spark, folder, fmt):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-02 03:04:05.678901' AS ts")
+    write_dataset(df, {"path": folder, "format": fmt, "options": {"timestampNTZformat": "yyyy/MM/dd"}})
+    assert "2024/01/02" in open(data_files(folder)[0]).read()
+
+
 def test_rebalance_settings():
     def pieces(**entry):
         return DatasetSpec.of({"path": "/x", "format": "csv", **entry}).rebalance
 
-    assert pieces() == pieces(rebalance=True) == 1
+    assert pieces() == pieces(rebalance=True) == 4
     assert pieces(rebalance=False) == pieces(rebalance=0) == pieces(rebalance=None) == 0
     assert pieces(rebalance=16) == 16
 

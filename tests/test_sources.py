@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from millrace import DatasetSpec, read_dataset, rows_frame, write_dataset
 from millrace.sources.paths import overlap
 
-ROWS = [("Alice", 1), ("Bob", 2), ("Charlie", 3)]
+ROWS = [("granite", 1), ("basalt", 2), ("marl", 3)]
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
@@ -22,7 +22,7 @@ def test_round_trip(spark, folder, fmt):
     write_dataset(rows_frame(spark, ROWS, ["name", "id"]), spec)
     df = read_dataset(spark, spec)
     assert df.dtypes == [("name", "string"), ("id", "bigint")]
-    assert sorted(map(tuple, df.collect())) == ROWS
+    assert sorted(map(tuple, df.collect())) == sorted(ROWS)
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
@@ -38,12 +38,7 @@ def test_declared_types_survive(spark, folder, fmt):
         (None,) * 9,
     ]
     df = rows_frame(spark, rows, schema)
-    # Text keeps milliseconds only, unless told otherwise.
-    options = {
-        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    }
-    spec = {"path": folder, "format": fmt, "schema": schema, "options": options if fmt in ("csv", "json") else {}}
+    spec = {"path": folder, "format": fmt, "schema": schema}
     write_dataset(df, spec)
     back = read_dataset(spark, spec)
     assert back.dtypes == df.dtypes
@@ -69,13 +64,13 @@ def test_awkward_text_survives(spark, folder, fmt):
 
 
 def test_inferred_csv(spark, folder):
-    rows = [(1, "ProductA", 10.5, "2023-01-15"), (2, "ProductB", 20.0, "2023-01-16")]
+    rows = [(1, "slate", 0.25, "2021-03-04"), (2, "chert", 7.5, "2021-03-05")]
     options = {"header": "true", "inferSchema": "true"}
     spec = {"path": folder, "format": "csv", "options": options}
-    write_dataset(rows_frame(spark, rows, ["id", "name", "value", "event_date"]), spec)
+    write_dataset(rows_frame(spark, rows, ["no", "rock", "share", "found"]), spec)
     df = read_dataset(spark, spec)
-    assert df.dtypes == [("id", "int"), ("name", "string"), ("value", "double"), ("event_date", "date")]
-    assert df.orderBy("id").first() == (1, "ProductA", 10.5, dt.date(2023, 1, 15))
+    assert df.dtypes == [("no", "int"), ("rock", "string"), ("share", "double"), ("found", "date")]
+    assert df.orderBy("no").first() == (1, "slate", 0.25, dt.date(2021, 3, 4))
 
 
 def test_without_inference_csv_is_text(spark, folder):
@@ -152,14 +147,14 @@ def test_unknown_format_raises(spark, folder):
 
 
 def test_rows_with_a_declared_schema(spark):
-    df = rows_frame(spark, [("Alice", 1)], [{"name": "n", "type": "string"}, {"name": "i", "type": "int"}])
+    df = rows_frame(spark, [("tuff", 1)], [{"name": "n", "type": "string"}, {"name": "i", "type": "int"}])
     assert df.dtypes == [("n", "string"), ("i", "int")]
     assert rows_frame(spark, [], "n STRING").count() == 0
 
 
 def test_spec_defaults():
     spec = DatasetSpec.of({"path": "/x", "format": "csv"})
-    assert (spec.mode, spec.partition_by, spec.options, spec.schema) == ("errorifexists", (), {}, None)
+    assert (spec.mode, spec.save_mode, spec.partition_by, spec.options, spec.schema) == (None, "errorifexists", (), {}, None)
     assert DatasetSpec.of({"path": "/x", "format": "csv", "partition_by": "day"}).partition_by == ("day",)
     assert DatasetSpec.of(spec) is spec
 
@@ -236,6 +231,19 @@ def test_a_format_of_ones_own(spark, folder):
         ("/data/in", "/data/inner", False),
         ("/data/*/x", "/data/a/y", False),
         ("in", "out", False),
+        ("data/in", "hdfs://nn/user/me/data/in", True),
+        ("data/in", "hdfs://nn/user/me/data/in/day=1", True),
+        ("data/in", "hdfs://nn/user/me/data", True),
+        ("data/in", "hdfs://nn/user/me/data/out", False),
+        ("data/in", "data/in/day=1", True),
+        ("hdfs://nn:8020/x", "hdfs://nn/x", True),
+        ("hdfs://nn:8020/x", "hdfs://other/x", False),
+        ("viewfs://c/x", "hdfs://nn/x", True),
+        ("viewfs://c/x", "hdfs://nn/y", False),
+        ("webhdfs://nn:9870/x", "hdfs://nn/x", True),
+        ("abfs://c@a/x", "abfss://c@a/x", True),
+        ("abfs://c@a/x", "abfss://d@a/x", False),
+        ("wasb://c@a/x", "wasbs://c@a/x", True),
     ],
 )
 def test_overlap(a, b, expected):

@@ -1,4 +1,5 @@
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,39 @@ def test_parameters(spark, folder, job):
     assert names(spark, folder) == ["B"]
 
 
+def test_a_stream_does_not_hide_batch_rows(spark, folder, job):
+    before = rows_frame(spark, [(9, "old", "d0"), (8, "older", "d0")], SCHEMA)
+    write_dataset(before, {"path": f"{folder}/out", "format": "parquet"})
+    assert not run_stream_job(spark, job)
+    assert spark.read.parquet(f"{folder}/out").count() == 2
+
+
+def test_a_batch_does_not_append_to_a_stream(spark, folder, job):
+    assert run_stream_job(spark, job)
+    more = rows_frame(spark, [(9, "new", "d0", "NEW")], f"{SCHEMA}, name_upper STRING")
+    with pytest.raises(ValueError, match="output of a stream"):
+        write_dataset(more, {"path": f"{folder}/out", "format": "parquet", "mode": "append"})
+    assert names(spark, folder) == ["A", "B"]
+
+
+def test_a_new_checkpoint_does_not_skip_batches(spark, folder, job):
+    assert run_stream_job(spark, job)
+    job["destination_data"]["options"] = {"checkpointLocation": f"{folder}/another"}
+    assert not run_stream_job(spark, job)
+    assert names(spark, folder) == ["A", "B"]
+
+
+def test_errorifexists(spark, folder, job):
+    job["destination_data"]["mode"] = "errorifexists"
+    os.makedirs(f"{folder}/out")
+    assert not run_stream_job(spark, job)
+    os.rmdir(f"{folder}/out")
+    assert run_stream_job(spark, job)
+    add(spark, folder, (3, "c", "d1"))
+    assert run_stream_job(spark, job)
+    assert names(spark, folder) == ["A", "B", "C"]
+
+
 def test_query_handle(spark, folder, job):
     rows = read_stream(spark, job["source_data"])
     assert rows.isStreaming
