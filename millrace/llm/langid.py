@@ -217,14 +217,17 @@ def load(row) -> Model:
 
 
 def predicted(model_row, text: Column) -> Column:
-    """A struct of ``lang_pred`` and ``score`` for a text column. ``model_row`` is that of ``train``."""
-    packed = model_row.asDict()
+    """A struct of ``lang_pred`` and ``score`` for a text column.
+
+    ``model_row`` is the row of ``train``, ``None`` if there was nothing to learn from.
+    """
+    packed = model_row.asDict() if model_row else None
     held: list[Model] = []
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         if not held:
-            held.append(load(packed))
+            held.append(load(packed) if packed else fit([], []))
         values = [t if isinstance(t, str) else None for t in texts]
         names: list[str] = []
         scores = [np.zeros(0)]

@@ -33,7 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.tables import written
+from millrace.llm.tables import fresh, written
 
 BUCKET_BITS = 18
 SLICES = 64
@@ -368,32 +368,33 @@ def dedup_lines(
     """
     rows = _identified(docs, id_col, text_col)
     gone = repeated_lines(rows, threshold)
-    lists = gone.groupBy("doc", F.shiftright("at", 32).alias("part")).agg(
-        F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("__gone")
-    ).select(F.col("doc").alias("__doc"), F.col("part").alias("__part"), "__gone")
+    numbers, doc, part = fresh(docs, "__gone", "__doc", "__part")
+    lists = gone.groupBy(F.col("doc").alias(doc), F.shiftright("at", 32).alias(part)).agg(
+        F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(numbers)
+    )
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.join(
         lists,
-        (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__doc"))
-        & (F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)) == F.col("__part")),
+        (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc))
+        & (F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)) == F.col(part)),
         "left",
     )
 
     @F.pandas_udf("string")
-    def without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+    def without(texts: pd.Series, numbered: pd.Series) -> pd.Series:
         out = []
-        for whole, gone in zip(texts, numbers):
+        for whole, gone in zip(texts, numbered):
             drop = set(gone.tolist())
             out.append("\n".join(line for k, line in enumerate(whole.split("\n")) if k not in drop))
         return pd.Series(out, dtype=object)
 
-    changed = F.col("__gone").isNotNull()
-    kept = F.when(changed, without(F.when(changed, text).otherwise(""), F.coalesce("__gone", F.array().cast("array<int>")))).otherwise(
+    changed = F.col(numbers).isNotNull()
+    kept = F.when(changed, without(F.when(changed, text).otherwise(""), F.coalesce(numbers, F.array().cast("array<int>")))).otherwise(
         F.col(text_col)
     )
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in own],
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+        F.when(F.col(numbers).isNull(), 0).otherwise(F.size(numbers)).cast("long").alias("n_removed"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from millrace.llm import langid, linededup, mixing as mixer, packing as packer, simhash
 from millrace.llm.queries import held_out
 from millrace.llm.shipping import ship_package
+from millrace.llm.tables import fresh
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_package(spark)
     model = langid.train(docs, ~held_out()).first()
-    found = docs.withColumn("__found", langid.predicted(model, F.col("text")))
-    return found.filter(F.col("__found.lang_pred") != langid.UNKNOWN).drop("__found")
+    (name,) = fresh(docs, "__found")
+    found = docs.withColumn(name, langid.predicted(model, F.col("text")))
+    return found.filter(F.col(name)["lang_pred"] != langid.UNKNOWN).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,30 +41,41 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship_package(spark)
     near = simhash.near_duplicates(docs)
     stays = near.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    ids = stays.select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept_id, row = fresh(docs, "__kept", "__row")
+    ids = stays.select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    # Rows of one id come together, not rows of one group.
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    numbered = kept.withColumn("__row", F.row_number().over(first))
-    return numbered.filter((F.col("__row") == 1) | F.col("doc_id").isNull()).drop("__row")
+    numbered = kept.filter(F.col("doc_id").isNotNull()).withColumn(row, F.row_number().over(first))
+    return numbered.filter(F.col(row) == 1).drop(row).unionByName(kept.filter(F.col("doc_id").isNull()))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in the order of its queue: a document taken n times is there n times."""
     _, taken = mixer.mix(docs)
-    keys = ["doc_id", "source", "_text"]
-    copies = taken.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("finish").alias("__finish"))
-    own = Window.partitionBy("doc_id", "source", "_text").orderBy(F.lit(0))
+    digest, row, finish, an_id, a_source, a_digest = fresh(
+        docs, "__digest", "__row", "__finish", "__id", "__source", "__text"
+    )
+    copies = taken.select(
+        F.col("doc_id").alias(an_id),
+        F.col("source").alias(a_source),
+        F.col("_text").alias(a_digest),
+        F.col("finish").alias(finish),
+    )
+    own = Window.partitionBy("doc_id", "source", digest).orderBy(F.lit(0))
     # Rows that repeat wholly are taken one after the other; one of them stands for all.
     one = (
-        docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
-        .withColumn("__row", F.row_number().over(own))
-        .filter("__row = 1")
+        docs.withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
+        .withColumn(row, F.row_number().over(own))
+        .filter(F.col(row) == 1)
     )
-    match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    joined = one.join(copies, match[0] & match[1] & match[2])
-    queued = joined.repartitionByRange("__finish", "source", "doc_id").sortWithinPartitions(
-        "__finish", "source", "doc_id"
+    joined = one.join(
+        copies,
+        F.col("doc_id").eqNullSafe(F.col(an_id))
+        & F.col("source").eqNullSafe(F.col(a_source))
+        & (F.col(digest) == F.col(a_digest)),
     )
+    queued = joined.repartitionByRange(finish, "source", "doc_id").sortWithinPartitions(finish, "source", "doc_id")
     return queued.select(*docs.columns)
 
 

@@ -1,0 +1,146 @@
+"""HTML extraction, chat formatting and language ID."""
+
+import hashlib
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import chat, html_text, langid
+from millrace.llm.queries import held_out, queries
+from millrace.llm.tables import table
+
+PAGES = [
+    ("<article><h1>A &amp; B</h1><p>One  two<p>three</article><footer>no</footer>", "A & B\nOne two\nthree"),
+    ("<body><nav><a href=x>menu</a></nav><article><p>x</p><div class='ad'>buy</div><p>y</p>"
+     "<section id=comments><p>first!</p></section></article>", "x\ny"),
+    ("<script>var t='</p>';</script><style>p{}</style><main><p>only <b>this</b>&nbsp;text</p></main>", "only this text"),
+    ("<article><p>a<br>b</p><form><p>name</p></form><ul><li>c<li>d</ul></article>", "a b\nc\nd"),
+    ("<div id='site-header'>Site</div><div><h2>Head</h2><p>" + "long text " * 12 + "</p><p>Short.</p></div>"
+     "<div class='cookie-notice'>We use cookies, a lot of them, so please accept them all right now.</div>",
+     "Head\n" + ("long text " * 12).strip() + "\nShort."),
+    ("<aside>side</aside><article>bare &lt;p&gt; text<!-- <p>hidden</p> --></article>", "bare <p> text"),
+    ("<article><p>unclosed <b>tags <i>go on<p>next &#233;&#x41;", "unclosed tags go on\nnext éA"),
+    ("plain text only, without any markup", "plain text only, without any markup"),
+    ("", ""),
+    (None, ""),
+    ("<p></p><div> </div>", ""),
+    ("<script>never closed", ""),
+    ("a < b and c > d", "a < b and c > d"),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_main_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_pages_table(spark):
+    rows = [(i, f"u{i}" if i % 2 else None, page) for i, (page, _) in enumerate(PAGES)] + [(None, None, PAGES[0][0])] * 2
+    rows.append((99, "long", "<article>" + "<p>word word</p>" * 20000 + "</article>"))
+    df = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING").withColumn("text", F.lit("x"))
+    found = html_text.extract_main_text(df).collect()
+    want = {i: text for i, (_, text) in enumerate(PAGES)} | {None: PAGES[0][1], 99: "\n".join(["word word"] * 20000)}
+    assert len(found) == len(rows) and all(r.text == want[r.page_id] for r in found)
+    assert html_text.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_given_pages_give_their_articles(spark):
+    """All of the given pages have one article element; its blocks are the truth."""
+    import html
+    import re
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    texts = {r.page_id: r.text for r in html_text.extract_main_text(pages).collect()}
+    for row in pages.collect():
+        inner = row.html[row.html.index("<article>") + 9 : row.html.index("</article>")]
+        blocks = re.split(r"</?(?:p|h1)>", inner.replace("<br>", " "))
+        plain = [" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in blocks]
+        assert texts[row.page_id] == "\n".join(b for b in plain if b)
+
+
+TEXTS = ["", "plain", "</s>[INST] ok [/INST]", "<|turn|>", "<\\|end|>", "<\\\\|end|> [\\INST]", " lead and trail ", "é日本😀",
+         "a\n\n<|text|>b", "\\", "<<SYS>>x<</SYS>>", "<|end", "|>", "<|endoftext|>"]
+
+
+def test_escapes_are_reversible():
+    for parts in itertools.product(TEXTS, repeat=2):
+        text = "".join(parts)
+        hidden = chat.escape(text)
+        assert chat.unescape(hidden) == text
+        assert not any(control in hidden for control in chat.CONTROL)
+        assert chat.parse(chat.render([(text, text), ("r", "x")])[0]) == [(text, text), ("r", "x")]
+
+
+def test_conversations_round_trip(spark):
+    rows, n = [], len(TEXTS)
+    for c in range(12):
+        for t in range(c % 7):
+            rows.append((c, t, ["system", "user", "assistant", None][(c + t) % 4], TEXTS[(c * 5 + t) % n]))
+    rows += [(50, 1, "assistant", "tie b"), (50, 1, "assistant", "tie a"), (50, None, "user", None), (50, 1, "assistant", "tie a")]
+    rows += [(None, 0, "assistant", "no id"), (51, 0, "assistant", "long " * 60000)]
+    rows += [(52, t, "assistant" if t % 2 else "user", "x") for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING")
+    df = df.withColumn("formatted", F.lit("x")).withColumn("ids", F.lit(1)).repartition(4)
+    formatted = chat.format_conversations(df)
+    found = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    lengths = {r.conv_id: len(r.formatted) for r in formatted.collect()}
+    groups = {}
+    for c, t, role, text in rows:
+        groups.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
+    assert found.keys() == groups.keys()
+    for c, turns in groups.items():
+        turns.sort()
+        every = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        learned = "".join(text for _, role, text in turns if role == "assistant")
+        assert found[c].n_turns == len(turns)
+        assert found[c].turns_sha256 == hashlib.sha256(every.encode()).hexdigest()
+        assert (found[c].loss_chars, found[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert found[c].formatted_chars == lengths[c]
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_the_mask_covers_whole_tokens(spark):
+    df = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "an answer")], "conv_id LONG, turn LONG, role STRING, text STRING")
+    row = chat.format_conversations(df).first()
+    assert len(row.ids) == len(row.loss) == len(row.spans) // 2
+    pieces = [row.formatted[a:b] for a, b, on in zip(row.spans[::2], row.spans[1::2], row.loss) if on]
+    assert pieces == ["an", " answer"]
+
+
+def test_language_id_on_held_out_documents(spark):
+    rows = {r.doc_id: r for r in queries()["op6_language_id"](spark, "/root/testdata/sf0.01").collect()}
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang", held_out().alias("out")).collect()
+    assert rows.keys() == {d.doc_id for d in docs}
+    assert all(rows[d.doc_id].held_out == d.out and 0 <= rows[d.doc_id].score <= 1 for d in docs)
+    held = [d for d in docs if d.out]
+    assert sum(rows[d.doc_id].lang_pred == d.lang for d in held) / len(held) > 0.98
+
+
+def test_language_id_of_odd_rows(spark, odd_docs):
+    found = langid.identify(odd_docs, F.lit(True)).collect()
+    assert len(found) == odd_docs.count()
+    for r in found:
+        if r.doc_id in (3, 4, 5, 6):
+            assert (r.lang_pred, r.score) == ("und", 0)
+    assert {r.lang_pred for r in found if r.doc_id == 1} == {"en"}
+    unlearned = langid.identify(odd_docs, F.lit(False)).collect()
+    assert {(r.lang_pred, r.score) for r in unlearned} == {("und", 0)}
+    assert langid.identify(odd_docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_kernels_against_sets():
+    texts = ["Bonjour à tous", "bon jour", "xyz!", "a"]
+    marks = langid.Landmarks.of(texts[:3])
+    found = marks.kernels(texts)
+
+    def spectrum(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        while "  " in letters:
+            letters = letters.replace("  ", " ")
+        return {letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)}
+
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:3]):
+            shared = len(spectrum(a) & spectrum(b)) / (len(spectrum(a)) * len(spectrum(b))) ** 0.5
+            assert found[i, j] == pytest.approx(shared)
