@@ -43,6 +43,7 @@ FIRST = 8
 # Bits of the filter that says which lines to fetch for verification.
 FILTER_BITS = 23
 NO_ID = -(1 << 63)
+MERGED = -1
 
 
 def _words(line: str) -> list[bytes]:
@@ -108,10 +109,11 @@ PREFIX_SCHEMA = "token long, doc long, at long, shape long, same long"
 
 
 def _prefixes(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
-    """A row per prefix word of each line, and one with the token null for each line merged away.
+    """A row per prefix word of each line, and one with the shape ``MERGED`` for each line merged away.
 
     ``at`` is the part and the number of the line, ``shape`` the size of its set and
-    the place of the word, ``same`` a hash that equal sets share.
+    the place of the word, ``same`` a hash that equal sets share. A merged line
+    has a hash of its place for a word, so that such lines spread.
     """
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,18 +129,17 @@ def _prefixes(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
                 ats.append(np.full(k, at, dtype=np.int64))
                 shapes.append((np.int64(len(ordered)) << np.int64(32)) | np.arange(k, dtype=np.int64))
                 sames.append(np.full(k, struct.unpack("<q", key[:8])[0], dtype=np.int64))
-            n = len(again)
             entered = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, dtype=np.int64)
+            gone = np.array(again, dtype=np.int64).reshape(-1, 2)
             frame = pd.DataFrame(
                 {
-                    "token": pd.array(np.r_[entered, np.zeros(n, dtype=np.int64)], dtype="Int64"),
-                    "doc": np.r_[np.concatenate(docs) if docs else entered, np.array([d for d, _ in again], dtype=np.int64)],
-                    "at": np.r_[np.concatenate(ats) if ats else entered, np.array([a for _, a in again], dtype=np.int64)],
-                    "shape": np.r_[np.concatenate(shapes) if shapes else entered, np.zeros(n, dtype=np.int64)],
-                    "same": np.r_[np.concatenate(sames) if sames else entered, np.zeros(n, dtype=np.int64)],
+                    "token": np.r_[entered, _mixed(gone[:, 0], gone[:, 1]).view(np.int64)],
+                    "doc": np.r_[np.concatenate(docs) if docs else entered, gone[:, 0]],
+                    "at": np.r_[np.concatenate(ats) if ats else entered, gone[:, 1]],
+                    "shape": np.r_[np.concatenate(shapes) if shapes else entered, np.full(len(gone), MERGED)],
+                    "same": np.r_[np.concatenate(sames) if sames else entered, gone[:, 0]],
                 }
             )
-            frame.loc[len(entered) :, "token"] = pd.NA
             firsts.clear()
             again.clear()
             return frame
@@ -208,6 +209,9 @@ def _run_pairs(doc, at, shape, same, every, threshold) -> list[tuple]:
 
 
 def _bucket_pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs within each run of one word; a merged line comes out as sure, beside itself."""
+    merged = frame["shape"].to_numpy() == MERGED
+    away, frame = frame[merged], frame[~merged]
     token, doc, at = (frame[c].to_numpy() for c in ("token", "doc", "at"))
     shape, same = frame["shape"].to_numpy(), frame["same"].to_numpy()
     every = frame["every"].to_numpy(dtype=bool)
@@ -232,6 +236,9 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
         for run in np.flatnonzero(length > SHORT_RUN):
             part = slice(first[run], first[run] + length[run])
             listed += _run_pairs(doc[part], at[part], shape[part], same[part], every[part], threshold)
+    parts.append(
+        pd.DataFrame({"a_doc": away["doc"], "a_at": away["at"], "doc": away["doc"], "at": away["at"], "sure": True, "more": False})
+    )
     names = ["a_doc", "a_at", "doc", "at", "sure", "more"]
     kinds = {"a_doc": "int64", "a_at": "int64", "doc": "int64", "at": "int64", "sure": bool, "more": bool}
     parts.append(pd.DataFrame(listed, columns=names).astype(kinds))
@@ -259,10 +266,15 @@ def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
     return met.mapInPandas(pair, PAIR_SCHEMA)
 
 
-def _bit(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _mixed(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the place of each line."""
     mixed = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (at.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed ^= mixed >> np.uint64(29)
-    return (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - FILTER_BITS)
+    return mixed * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _bit(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _mixed(doc, at) >> np.uint64(64 - FILTER_BITS)
 
 
 def _line_filter(lines: DataFrame) -> bytes:
@@ -326,13 +338,11 @@ def _verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
     """``doc, at`` of every line to be removed, each once."""
     ranks = word_ranks(rows)
-    entered = _prefixes(rows, ranks, threshold)
-    merged = entered.filter("token IS NULL").select("doc", "at")
-    prefixes = entered.filter("token IS NOT NULL").withColumn("every", F.lit(False))
+    prefixes = _prefixes(rows, ranks, threshold).withColumn("every", F.lit(False))
     pairs = written(_candidates(prefixes, threshold).distinct())
-    sure = merged.unionByName(pairs.filter("sure").select("doc", "at")).distinct()
+    sure = pairs.filter("sure").select("doc", "at").distinct()
     open_pairs = pairs.filter("NOT sure").join(
-        pairs.filter("sure").select(F.col("doc").alias("_d"), F.col("at").alias("_l")).distinct(),
+        sure.select(F.col("doc").alias("_d"), F.col("at").alias("_l")),
         (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l")),
         "left_anti",
     )
