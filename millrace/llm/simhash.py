@@ -165,7 +165,9 @@ def links(nodes: DataFrame) -> DataFrame:
         a, b = bucket_links(held_keys, held)
         yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    met = chain_keys(nodes).repartition("key").sortWithinPartitions("key")
+    # Fingerprints are small and their keys many: as many tasks make keys as will sort them.
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    met = chain_keys(spread).repartition("key").sortWithinPartitions("key")
     return met.mapInPandas(connect, "a long, b long").distinct()
 
 
