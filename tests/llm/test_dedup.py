@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -149,12 +150,53 @@ def test_a_frequent_word_in_many_different_lines(spark, monkeypatch):
 
 def test_long_runs_give_all_pairs_when_asked():
     n = 40
-    doc, at = np.arange(n), np.zeros(n, dtype=np.int64)
+    doc, at, bits = np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     shape, same = np.full(n, 10 << 32, dtype=np.int64), np.arange(n)
-    some = linededup._run_pairs(doc, at, shape, same, np.zeros(n, dtype=bool), 0.8)
-    assert {p[2] for p in some if p[5]} == set(range(linededup.FIRST + 1, n))
-    every = linededup._run_pairs(doc, at, shape, same, np.ones(n, dtype=bool), 0.8)
-    assert len(every) == n * (n - 1) // 2 and not any(p[5] for p in every)
+    for every in (False, True):
+        marks = np.full(n, every)
+        found = pd.concat(list(linededup._run_pairs(doc, at, shape, same, bits, marks, 0.8)))
+        if every:
+            assert len(found) == n * (n - 1) // 2 and not found["more"].any()
+        else:
+            assert set(found[found["more"]]["doc"]) == set(range(linededup.FIRST + 1, n))
+
+
+def test_filters_let_every_match_through():
+    """Sets that match, at every word they share, with parities of either sign."""
+    pick = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(pick.integers(1, 40))
+        a = pick.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        b = np.unique(np.r_[a[: n - n // 10], pick.integers(0, 1 << 63, n // 12).astype(np.uint64)])
+        a = np.unique(a)
+        common = np.intersect1d(a, b)
+        if len(common) < 0.8 * len(np.union1d(a, b)):
+            continue
+        bits = [np.bitwise_xor.reduce(np.uint64(1) << (x & np.uint64(63))).astype(np.int64) for x in (a, b)]
+        for word in common:
+            shapes = [np.array([(len(x) << 32) | int(np.searchsorted(x, word))]) for x in (a, b)]
+            assert linededup._allowed(*shapes, *[np.array([x]) for x in bits], 0.8).all()
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    data = "The cat\n\n  a CAT the\tdog\x0bthe\r\nété Cat".encode()
+    hashes, lines = linededup.word_hashes(data)
+    words = data.lower().split()
+    assert lines.tolist() == [0, 0, 2, 2, 2, 2, 2, 3, 3] and len(set(words)) == len(set(hashes.tolist()))
+    assert len({(w, h) for w, h in zip(words, hashes.tolist())}) == len(set(words))
+    assert len(linededup.word_hashes(b"")[0]) == 0
+
+
+def test_long_texts_are_cut_at_lines(monkeypatch):
+    monkeypatch.setattr(linededup, "CHUNK_BYTES", 20)
+    texts = ["a b\nc" * 9, "", "one long line without any break in it at all", "\n\n", "x"]
+    batch = pd.DataFrame({"doc": range(5), "part": range(5), "text": texts})
+    got = {}
+    for data, docs, ats in linededup._chunks(batch):
+        for line, doc, at in zip(data.split(b"\n"), docs.tolist(), ats.tolist()):
+            assert at >> 32 == doc
+            got.setdefault(doc, {})[at & 0xFFFFFFFF] = line.decode()
+    assert {d: "\n".join(lines[k] for k in sorted(lines)) for d, lines in got.items()} == dict(enumerate(texts))
 
 
 def test_line_dedup_of_odd_rows(spark, odd_docs):
