@@ -67,7 +67,7 @@ def encode_shard(ids: np.ndarray, ends: np.ndarray, doc_ids: np.ndarray, doc_nul
             add(f"{plane}.{k}", block.tobytes())
         add(f"{plane}.ones", np.array(before, dtype="<i8").tobytes())
         zeros.append(len(level) - total)
-        level = np.concatenate([level[~ones], level[ones]])
+        level = np.concatenate([np.compress(~ones, level), np.compress(ones, level)])
     header = json.dumps(
         {"n": len(ids), "bits": bits, "docs": len(doc_ids), "zeros": zeros, "id": ids.dtype.str, "sections": sections}
     ).encode()
@@ -272,7 +272,9 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("_base", F.coalesce(F.sum("ids").over(earlier), F.lit(0))).select("path", "_base", "shard")
-    return based.repartitionByRange("shard").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+    # A task for each file: their number is told, so that small rows do not bring large files together.
+    files = max(1, manifest.count())
+    return based.repartitionByRange(files, "shard").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
