@@ -135,57 +135,73 @@ def _links(nodes: DataFrame, length: int, threshold: float) -> DataFrame:
             if not len(batch):
                 continue
             unit = _unit(_matrix(batch["v"], length))
-            turned = (unit[:, :, None] * axes[None]).sum(axis=1) if length < 4 else unit @ axes
-            cells = np.floor(turned[:, :leading] / epsilon).astype(np.int64) if epsilon else np.zeros((len(unit), leading))
+            turned = unit @ axes
+            lead = np.ascontiguousarray(turned[:, :leading])
+            cells = np.floor(lead / epsilon) if epsilon else np.zeros(lead.shape)
             yield pd.DataFrame(
                 {
                     "node": batch["node"],
                     "n": batch["_n"],
                     "cells": list(cells.astype(np.int64)),
-                    "at": list(turned),
-                    "unit": list(unit),
+                    "lead": list(lead),
+                    "unit": [u.tobytes() for u in unit],
                 }
             )
 
-    placed = written(
-        nodes.select("node", "_n", "v").mapInPandas(
-            turn, "node long, n long, cells array<long>, at array<double>, unit array<double>"
-        )
-    )
-    blocks = written(_blocks(placed))
-    boxes = blocks.groupBy("block").agg(
-        F.array(*[F.min(F.col("at")[i]) for i in range(length)]).alias("low"),
-        F.array(*[F.max(F.col("at")[i]) for i in range(length)]).alias("high"),
+    placed = nodes.select("node", "_n", "v").mapInPandas(
+        turn, "node long, n long, cells array<long>, lead array<double>, unit binary"
     )
-    boxes = written(boxes)
-    pairs = _close_blocks(boxes, length, epsilon)
-    return written(_compare(blocks, pairs, length, epsilon, threshold))
+    blocks = written(_blocks(placed, axes))
+    pairs = _close_blocks(written(blocks.select("block", "low", "high")), length, epsilon)
+    return written(_compare(blocks, pairs, axes, epsilon, threshold))
 
 
-def _blocks(placed: DataFrame) -> DataFrame:
-    """The sequence in epsilon grid order, cut into blocks: adds ``block``.
+def _blocks(placed: DataFrame, axes: np.ndarray) -> DataFrame:
+    """The sequence in epsilon grid order, cut into blocks of ``BLOCK`` vectors, a row for each block.
 
-    Sorted by ranges, then numbered in each range; a range starts a new block, so
-    that no running count goes through all of them.
+    Sorted by ranges and numbered in each range; the sizes of the ranges before give
+    the place in the whole, so no running count goes through all rows.
     """
-    order = [F.col("cells"), F.col("at"), F.col("node")]
+    length = len(axes)
+    order = [F.col("cells"), F.col("lead"), F.col("node")]
     ranged = written(
         placed.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("*", F.monotonically_increasing_id().alias("_id"))
+        .select("node", "n", "unit", F.monotonically_increasing_id().alias("_id"))
     )
     # The upper bits of the number are the range, the lower ones the row in it.
     ranges = ranged.select(
-        F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"), "*"
+        F.shiftright("_id", 33).alias("_range"),
+        F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
+        "node",
+        "n",
+        "unit",
     )
-    sizes = ranges.groupBy("_range").agg((F.max("_row").alias("_rows")))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(
-        F.col("_range").alias("_base_range"),
-        F.coalesce(F.sum(F.expr(f"_rows div {BLOCK} + 1")).over(earlier), F.lit(0)).alias("_base"),
+    bases = sizes.select(F.col("_range").alias("_base_range"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    numbered = ranges.join(bases, F.col("_range") == F.col("_base_range")).select(
+        F.expr(f"(_base + _row) div {BLOCK}").cast("long").alias("block"), "node", "n", "unit"
     )
-    return ranges.join(bases, F.col("_range") == F.col("_base_range")).select(
-        (F.col("_base") + F.expr(f"_row div {BLOCK}")).cast("long").alias("block"), "node", "n", "at", "unit"
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        unit = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(-1, length)
+        at = unit @ axes
+        # Parts of a block are cut in the same order.
+        order = np.lexsort(at[:, : min(3, length)].T[::-1])
+        return pd.DataFrame(
+            {
+                "block": [key[0]],
+                "nodes": [rows["node"].to_numpy()[order]],
+                "ns": [rows["n"].to_numpy()[order]],
+                "units": [unit[order].tobytes()],
+                "low": [at.min(axis=0)],
+                "high": [at.max(axis=0)],
+            }
+        )
+
+    return numbered.groupBy("block").applyInPandas(
+        pack, "block long, nodes array<long>, ns array<long>, units binary, low array<double>, high array<double>"
     )
 
 
@@ -231,32 +247,29 @@ def _close_blocks(boxes: DataFrame, length: int, epsilon: float) -> DataFrame:
     return pairs
 
 
-def _compare(blocks: DataFrame, pairs: DataFrame, length: int, epsilon: float, threshold: float) -> DataFrame:
+def _compare(blocks: DataFrame, pairs: DataFrame, axes: np.ndarray, epsilon: float, threshold: float) -> DataFrame:
     """Compare the vectors of each pair of blocks in a task of its own."""
-    sides = pairs.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.col("i"))).otherwise(F.array("i", "j"))).alias("_b"))
-    met = sides.join(blocks, F.col("_b") == F.col("block")).select("i", "j", "block", "node", "n", "at", "unit")
+    both = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    sides = pairs.select("i", "j", F.explode(both).alias("_b"))
+    met = sides.join(blocks.select("block", "nodes", "ns", "units"), F.col("_b") == F.col("block")).drop("_b")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["block", "node"], kind="stable")
-        own = (rows["block"] == key[0]).to_numpy()
-        one = _Side(rows[own], length)
-        other = one if key[0] == key[1] else _Side(rows[~own], length)
-        return _compare_sides(one, other, epsilon, threshold)
+        by_block = {row.block: _Side(row, axes) for row in rows.itertuples()}
+        return _compare_sides(by_block[key[0]], by_block[key[1]], epsilon, threshold)
 
     return met.groupBy("i", "j").applyInPandas(compare, "kind int, node long, other long")
 
 
 class _Side:
-    """A block as a sequence of parts with bounding boxes, in grid order."""
-
-    def __init__(self, rows: pd.DataFrame, length: int):
-        self.at = _matrix(rows["at"], length)
-        order = np.lexsort(self.at[:, : min(3, length)].T[::-1])
-        self.at, self.unit = self.at[order], _matrix(rows["unit"], length)[order]
-        self.node, self.n = rows["node"].to_numpy()[order], rows["n"].to_numpy()[order]
-        self.parts = [(a, min(a + PART, len(order))) for a in range(0, len(order), PART)]
-        self.low = np.array([self.at[a:b].min(axis=0) for a, b in self.parts])
-        self.high = np.array([self.at[a:b].max(axis=0) for a, b in self.parts])
+    """A block as a sequence of parts with bounding boxes."""
+
+    def __init__(self, row, axes: np.ndarray):
+        self.unit = np.frombuffer(row.units, dtype=np.float64).reshape(-1, len(axes))
+        self.node, self.n = np.asarray(row.nodes), np.asarray(row.ns)
+        at = self.unit @ axes
+        self.parts = [(a, min(a + PART, len(at))) for a in range(0, len(at), PART)]
+        self.low = np.array([at[a:b].min(axis=0) for a, b in self.parts])
+        self.high = np.array([at[a:b].max(axis=0) for a, b in self.parts])
 
 
 def _compare_sides(one: _Side, other: _Side, epsilon: float, threshold: float) -> pd.DataFrame:
