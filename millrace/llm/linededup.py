@@ -13,9 +13,11 @@ never compared and stay.
 
 Rarity is counted in 2**18 buckets of word hashes over all documents, a table of one
 size for any corpus; words are ordered by the count of their bucket, then by hash.
-Sets are compared by 64-bit hashes of words. Equal sets are told by 128-bit hashes and
-merged within chunks of lines before anything is shuffled, so a line that a third of
-the corpus repeats is one row per chunk.
+Sets are compared by 64-bit hashes of words. Each line also carries the parities of its
+words in 64 bit places: the places in which two lines differ are a lower bound of the
+words that only one of them has, which drops most pairs that only share a rare word.
+Equal sets are told by 128-bit hashes and merged within chunks of lines before anything
+is shuffled, so a line that a third of the corpus repeats is one row per chunk.
 
 A line that many earlier ones may match is first checked against the ``FIRST`` earliest of
 them at each word; only if none of these matches, against all.
@@ -23,31 +25,140 @@ them at each word; only if none of these matches, against all.
 
 from __future__ import annotations
 
-import math
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.tables import fresh, written
 
 BUCKET_BITS = 18
 SLICES = 64
-CHUNK_LINES = 50_000
-SHORT_RUN = 12
-FIRST = 8
+# Bytes of text whose lines are worked on at once; a longer line is worked on whole.
+CHUNK_BYTES = 2 << 20
+SHORT_RUN = 6
+FIRST = 4
 # Bits of the filter that says which lines to fetch for verification.
 FILTER_BITS = 23
 NO_ID = -(1 << 63)
 MERGED = -1
 
+# Odd, so that it has an inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C55
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
 
-def _words(line: str) -> list[bytes]:
-    return line.encode("utf-8", "surrogatepass").lower().split()
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [
+            np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, dtype=np.uint64)])
+            for base in (_BASE, pow(_BASE, -1, 1 << 64))
+        ]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    """A mix of all bits."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and the number of its line.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over all
+    bytes, so words are hashed together and not one by one.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    space = _SPACE[raw]
+    edge = np.diff(np.r_[True, space, True].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    powers, inverse = _powers(max(1, len(raw)))
+    sums = np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers)
+    sums = np.r_[np.uint64(0), sums]
+    length = (ends - starts).astype(np.uint64)
+    hashes = (sums[ends] - sums[starts]) * inverse[starts]
+    hashes = _scramble(hashes ^ (length * np.uint64(0xA0761D6478BD642F)))
+    breaks = np.flatnonzero(raw == 10)
+    return hashes, np.searchsorted(breaks, starts)
+
+
+class LineSets:
+    """The word sets of the lines of a piece of text, in order of rarity.
+
+    ``line``: the number of each line that has words; ``start``: where its words
+    begin in ``words``; ``size``: how many they are.
+    """
+
+    def __init__(self, data: bytes, ranks: np.ndarray):
+        hashes, line = word_hashes(data)
+        rank = ranks[hashes >> np.uint64(64 - BUCKET_BITS)]
+        packed = (
+            (line.astype(np.uint64) << np.uint64(44))
+            | (rank.astype(np.uint64) << np.uint64(36))
+            | (hashes >> np.uint64(28))
+        )
+        order = np.argsort(packed)
+        near = packed[order]
+        if len(line) and (line[-1] >> 20 or (
+            (near[1:] == near[:-1]) & (hashes[order][1:] != hashes[order][:-1])
+        ).any()):
+            # More lines than the packed key has room for, or two words that it does not tell apart.
+            order = np.lexsort((hashes, rank, line))
+        hashes, line = hashes[order], line[order]
+        new = np.ones(len(line), dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+        self.words, line = hashes[new], line[new]
+        self.start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, dtype=np.int64)
+        self.line = line[self.start]
+        self.size = np.diff(np.r_[self.start, len(line)])
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each line two independent hashes of the set, and the parities of its words in 64 places."""
+        if not len(self.start):
+            return (np.zeros(0, dtype=np.uint64),) * 3
+        one = np.add.reduceat(_scramble(self.words ^ np.uint64(0x1234567)), self.start)
+        two = np.add.reduceat(_scramble(self.words + np.uint64(0x9E3779B97F4A7C15)), self.start)
+        bits = np.bitwise_xor.reduceat(np.uint64(1) << (self.words & np.uint64(63)), self.start)
+        return one, two, bits
+
+
+def _chunks(batch: pd.DataFrame) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Pieces of about ``CHUNK_BYTES``, with document and place (part and number) of each line."""
+    pieces: list[bytes] = []
+    docs: list[np.ndarray] = []
+    ats: list[np.ndarray] = []
+    size = 0
+
+    def piece():
+        return b"\n".join(pieces), np.concatenate(docs), np.concatenate(ats)
+
+    for doc, part, text in zip(batch["doc"].tolist(), batch["part"].tolist(), batch["text"]):
+        rest, number = text.encode("utf-8", "surrogatepass"), 0
+        while True:
+            cut = rest.find(b"\n", CHUNK_BYTES) if len(rest) > CHUNK_BYTES else -1
+            head = rest if cut < 0 else rest[:cut]
+            n = head.count(b"\n") + 1
+            pieces.append(head)
+            docs.append(np.full(n, doc, dtype=np.int64))
+            ats.append((np.int64(part) << np.int64(32)) | np.arange(number, number + n, dtype=np.int64))
+            number, size = number + n, size + len(head)
+            if size >= CHUNK_BYTES:
+                yield piece()
+                pieces, docs, ats, size = [], [], [], 0
+            if cut < 0:
+                break
+            rest = rest[cut + 1 :]
+    if pieces:
+        yield piece()
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,13 +177,11 @@ def word_ranks(rows: DataFrame) -> np.ndarray:
     per_slice = size // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, digest = np.zeros(size, dtype=np.int64), xxhash.xxh64_intdigest
+        counts = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                words = _words(text)
-                if words:
-                    hashes = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
-                    np.add.at(counts, (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+            for data, _, _ in _chunks(batch):
+                hashes, _ = word_hashes(data)
+                counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
         parts = counts.reshape(SLICES, per_slice)
         yield pd.DataFrame({"slice": np.arange(SLICES), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
 
@@ -83,7 +192,7 @@ def word_ranks(rows: DataFrame) -> np.ndarray:
         ranks = np.minimum(255, np.round(6 * np.log2(total + 1))).astype(np.uint8)
         return pd.DataFrame({"slice": [key[0]], "ranks": [ranks.tobytes()]})
 
-    counted = rows.select("text").mapInPandas(count, "slice int, counts binary")
+    counted = rows.mapInPandas(count, "slice int, counts binary")
     # 2**18 bytes for any corpus.
     found = counted.groupBy("slice").applyInPandas(add, "slice int, ranks binary").collect()
     ranks = np.zeros((SLICES, per_slice), dtype=np.uint8)
@@ -92,157 +201,137 @@ def word_ranks(rows: DataFrame) -> np.ndarray:
     return ranks.ravel()
 
 
-def ordered_set(words: list[bytes], ranks: np.ndarray) -> np.ndarray:
-    """The distinct word hashes of a line, the rarest first."""
-    words = set(words)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    hashes = np.unique(hashes)
-    rank = ranks[hashes >> np.uint64(64 - BUCKET_BITS)]
-    return hashes[np.argsort(rank, kind="stable")]
-
+def prefix_length(n, threshold: float):
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
-def prefix_length(n: int, threshold: float) -> int:
-    return n - math.ceil(threshold * n - 1e-9) + 1
 
-
-PREFIX_SCHEMA = "token long, doc long, at long, shape long, same long"
+PREFIX_SCHEMA = "token long, doc long, at long, shape long, lead long, bits long"
 
 
 def _prefixes(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
     """A row per prefix word of each line, and one with the shape ``MERGED`` for each line merged away.
 
     ``at`` is the part and the number of the line, ``shape`` the size of its set and
-    the place of the word, ``same`` a hash that equal sets share. A merged line
-    has a hash of its place for a word, so that such lines spread.
+    the place of the word, ``lead`` the rarest word of the line, ``bits`` the parities
+    of the words. A merged line has a hash of its place for a word, so that such
+    lines spread.
     """
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        firsts: dict[bytes, tuple[int, int, np.ndarray]] = {}
-        again: list[tuple[int, int]] = []
-
-        def flush() -> pd.DataFrame:
-            tokens, docs, ats, shapes, sames = [], [], [], [], []
-            for key, (doc, at, ordered) in firsts.items():
-                k = prefix_length(len(ordered), threshold)
-                tokens.append(ordered[:k])
-                docs.append(np.full(k, doc, dtype=np.int64))
-                ats.append(np.full(k, at, dtype=np.int64))
-                shapes.append((np.int64(len(ordered)) << np.int64(32)) | np.arange(k, dtype=np.int64))
-                sames.append(np.full(k, struct.unpack("<q", key[:8])[0], dtype=np.int64))
-            entered = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, dtype=np.int64)
-            gone = np.array(again, dtype=np.int64).reshape(-1, 2)
-            frame = pd.DataFrame(
-                {
-                    "token": np.r_[entered, _mixed(gone[:, 0], gone[:, 1]).view(np.int64)],
-                    "doc": np.r_[np.concatenate(docs) if docs else entered, gone[:, 0]],
-                    "at": np.r_[np.concatenate(ats) if ats else entered, gone[:, 1]],
-                    "shape": np.r_[np.concatenate(shapes) if shapes else entered, np.full(len(gone), MERGED)],
-                    "same": np.r_[np.concatenate(sames) if sames else entered, gone[:, 0]],
-                }
-            )
-            firsts.clear()
-            again.clear()
-            return frame
-
         for batch in batches:
-            for doc, part, text in zip(batch["doc"].tolist(), batch["part"].tolist(), batch["text"]):
-                for number, line in enumerate(text.split("\n")):
-                    words = _words(line)
-                    if not words:
-                        continue
-                    ordered, at = ordered_set(words, ranks), part << 32 | number
-                    key = xxhash.xxh3_128_digest(ordered.tobytes())
-                    held = firsts.get(key)
-                    if held is None:
-                        firsts[key] = (doc, at, ordered)
-                    elif (doc, at) < held[:2]:
-                        again.append(held[:2])
-                        firsts[key] = (doc, at, ordered)
-                    elif (doc, at) > held[:2]:
-                        again.append((doc, at))
-                if len(firsts) >= CHUNK_LINES:
-                    yield flush()
-        yield flush()
+            for data, docs, ats in _chunks(batch):
+                sets = LineSets(data, ranks)
+                doc, at = docs[sets.line], ats[sets.line]
+                one, two, bits = sets.digests()
+                # Of equal sets the earliest line stays.
+                order = np.lexsort((at, doc, two, one))
+                again = np.zeros(len(order), dtype=bool)
+                again[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+                merged = np.zeros(len(order), dtype=bool)
+                merged[order[again]] = True
+                kept = np.flatnonzero(~merged)
+                k = prefix_length(sets.size[kept], threshold)
+                owner = np.repeat(kept, k)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
+                away = np.flatnonzero(merged)
+                # A row that repeats id and text is merged with itself; its lines stay.
+                first = order[~again][np.cumsum(~again) - 1]
+                head = np.empty(len(order), dtype=np.int64)
+                head[order] = first
+                away = away[(doc[away] != doc[head[away]]) | (at[away] != at[head[away]])]
+                empty = np.zeros(len(away), dtype=np.int64)
+                yield pd.DataFrame(
+                    {
+                        "token": np.r_[sets.words[sets.start[owner] + place].view(np.int64), _mixed(doc[away], at[away]).view(np.int64)],
+                        "doc": np.r_[doc[owner], doc[away]],
+                        "at": np.r_[at[owner], at[away]],
+                        "shape": np.r_[(sets.size[owner] << 32) | place, empty + MERGED],
+                        "lead": np.r_[sets.words[sets.start[owner]].view(np.int64), empty],
+                        "bits": np.r_[bits[owner].view(np.int64), empty],
+                    }
+                )
 
     return rows.mapInPandas(enter, PREFIX_SCHEMA)
 
 
-def _allowed(shape_a, shape_b, threshold: float):
-    """Length and positional filters on pairs of (size, place) of a shared word."""
+def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float):
+    """Length, positional and parity filters on pairs of lines with a word in common.
+
+    Lines with one rarest word meet there, and not once more at their other words.
+    """
     mask = np.int64(0xFFFFFFFF)
     na, nb, i, j = shape_a >> 32, shape_b >> 32, shape_a & mask, shape_b & mask
     needed = threshold / (1 + threshold) * (na + nb) - 1e-6
-    reach = np.minimum(i, j) + 1 + np.minimum(na - i, nb - j) - 1
-    return (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-6) & (reach >= needed)
+    ok = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-6
+    ok &= (lead_a != lead_b) | (i + j == 0)
+    ok &= np.minimum(i, j) + np.minimum(na - i, nb - j) >= needed
+    # Unsigned, or the count would be that of the absolute value.
+    apart = np.bitwise_count((bits_a ^ bits_b).view(np.uint64))
+    return ok & (na + nb - apart >= 2 * needed)
 
 
 PAIR_SCHEMA = "a_doc long, a_at long, doc long, at long, sure boolean, more boolean"
 
 
-def _run_pairs(doc, at, shape, same, every, threshold) -> list[tuple]:
+def _pairs(doc, at, a, b, sure, more) -> pd.DataFrame:
+    return pd.DataFrame(
+        {"a_doc": doc[a], "a_at": at[a], "doc": doc[b], "at": at[b], "sure": np.broadcast_to(sure, len(a)), "more": np.broadcast_to(more, len(a))}
+    )
+
+
+def _run_pairs(doc, at, shape, lead, bits, every, threshold) -> Iterator[pd.DataFrame]:
     """Pairs in a long run of one word, sorted by place in the corpus: the ``FIRST`` earliest of each line.
 
     ``every`` marks the lines that get all of theirs.
     """
-    out = []
-    # Equal sets: the first stands for them.
-    _, first = np.unique(same, return_index=True)
-    lone = np.zeros(len(same), dtype=bool)
-    lone[first] = True
-    place = {s: f for s, f in zip(same[first].tolist(), first.tolist())}
-    for b in np.flatnonzero(~lone):
-        a = place[int(same[b])]
-        out.append((doc[a], at[a], doc[b], at[b], True, False))
-    index = np.flatnonzero(lone)
-    doc, at, shape, every = doc[index], at[index], shape[index], every[index]
-    for start in range(1, len(index), 256):
-        rows = np.arange(start, min(start + 256, len(index)))
-        ok = _allowed(shape[None, : rows[-1]], shape[rows][:, None], threshold)
+    for start in range(1, len(doc), 256):
+        rows = np.arange(start, min(start + 256, len(doc)))
+        left = slice(0, rows[-1])
+        ok = _allowed(
+            shape[None, left], shape[rows][:, None], lead[None, left], lead[rows][:, None],
+            bits[None, left], bits[rows][:, None], threshold,
+        )
         ok &= np.arange(rows[-1])[None] < rows[:, None]
-        place_of = np.cumsum(ok, axis=1)
-        chosen = ok & ((place_of <= FIRST) | every[rows][:, None])
-        more = (place_of[:, -1] > FIRST) & ~every[rows]
-        r, a = np.nonzero(chosen)
-        b = rows[r]
-        out += list(zip(doc[a], at[a], doc[b], at[b], np.zeros(len(a), dtype=bool), more[r]))
-    return out
+        ok &= (doc[None, left] != doc[rows][:, None]) | (at[None, left] != at[rows][:, None])
+        if ok.any():
+            so_far = np.cumsum(ok, axis=1)
+            more = (so_far[:, -1] > FIRST) & ~every[rows]
+            r, a = np.nonzero(ok & ((so_far <= FIRST) | every[rows][:, None]))
+            yield _pairs(doc, at, a, rows[r], False, more[r])
 
 
 def _bucket_pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Pairs within each run of one word; a merged line comes out as sure, beside itself."""
-    merged = frame["shape"].to_numpy() == MERGED
-    away, frame = frame[merged], frame[~merged]
-    token, doc, at = (frame[c].to_numpy() for c in ("token", "doc", "at"))
-    shape, same = frame["shape"].to_numpy(), frame["same"].to_numpy()
+    token, doc, at, shape, lead, bits = (
+        frame[c].to_numpy() for c in ("token", "doc", "at", "shape", "lead", "bits")
+    )
     every = frame["every"].to_numpy(dtype=bool)
-    n, parts, listed = len(token), [], []
+    away = np.flatnonzero(shape == MERGED)
+    parts = [_pairs(doc, at, away, away, True, False)]
+    if len(away):
+        token, doc, at, shape, lead, bits, every = (
+            np.delete(x, away) for x in (token, doc, at, shape, lead, bits, every)
+        )
+    n = len(token)
     if n > 1:
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.diff(np.r_[first, n])
-        short = np.repeat((length > 1) & (length <= SHORT_RUN), length)
-        for shift in range(1, min(SHORT_RUN, n)):
-            i = np.flatnonzero(short[shift:] & (token[shift:] == token[:-shift]))
-            if not len(i):
+        # Words of one line only are most of them.
+        some = np.repeat((length > 1) & (length <= SHORT_RUN), length)
+        short = np.flatnonzero(some)
+        of = token[short]
+        for shift in range(1, min(SHORT_RUN, len(short))):
+            at_left = np.flatnonzero(of[shift:] == of[:-shift])
+            if not len(at_left):
                 break
-            j = i + shift
-            sure = (same[i] == same[j]) & (shape[i] >> 32 == shape[j] >> 32)
-            ok = (sure | _allowed(shape[i], shape[j], threshold)) & ~((doc[i] == doc[j]) & (at[i] == at[j]))
-            i, j, sure = i[ok], j[ok], sure[ok]
-            parts.append(
-                pd.DataFrame(
-                    {"a_doc": doc[i], "a_at": at[i], "doc": doc[j], "at": at[j], "sure": sure, "more": False}
-                )
-            )
+            i, j = short[at_left], short[at_left + shift]
+            ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold)
+            ok &= (doc[i] != doc[j]) | (at[i] != at[j])
+            parts.append(_pairs(doc, at, i[ok], j[ok], False, False))
         for run in np.flatnonzero(length > SHORT_RUN):
             part = slice(first[run], first[run] + length[run])
-            listed += _run_pairs(doc[part], at[part], shape[part], same[part], every[part], threshold)
-    parts.append(
-        pd.DataFrame({"a_doc": away["doc"], "a_at": away["at"], "doc": away["doc"], "at": away["at"], "sure": True, "more": False})
-    )
-    names = ["a_doc", "a_at", "doc", "at", "sure", "more"]
-    kinds = {"a_doc": "int64", "a_at": "int64", "doc": "int64", "at": "int64", "sure": bool, "more": bool}
-    parts.append(pd.DataFrame(listed, columns=names).astype(kinds))
-    return pd.concat(parts, ignore_index=True).astype(kinds)
+            parts += _run_pairs(doc[part], at[part], shape[part], lead[part], bits[part], every[part], threshold)
+    return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
 
 
 def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
@@ -304,18 +393,18 @@ def _sets(rows: DataFrame, wanted: bytes) -> DataFrame:
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(np.frombuffer(wanted, dtype=np.uint8)).view(bool)
+        plain = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
         for batch in batches:
-            out = []
-            for doc, part, text in zip(batch["doc"].tolist(), batch["part"].tolist(), batch["text"]):
-                lines = text.split("\n")
-                at = (np.int64(part) << np.int64(32)) | np.arange(len(lines), dtype=np.int64)
-                hit = bits[_bit(np.full(len(lines), doc, dtype=np.int64), at).astype(np.int64)]
-                for k in np.flatnonzero(hit):
-                    words = set(_words(lines[k]))
-                    if words:
-                        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-                        out.append((doc, int(at[k]), hashes.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc", "at", "words"]).astype({"doc": "int64", "at": "int64"})
+            for data, docs, ats in _chunks(batch):
+                hit = bits[_bit(docs, ats).astype(np.int64)]
+                if not hit.any():
+                    continue
+                lines = data.split(b"\n")
+                chosen = np.flatnonzero(hit)
+                sets = LineSets(b"\n".join(lines[k] for k in chosen), plain)
+                own = chosen[sets.line]
+                words = [sets.words[a : a + n].view(np.int64) for a, n in zip(sets.start, sets.size)]
+                yield pd.DataFrame({"doc": docs[own], "at": ats[own], "words": words})
 
     # Rows that repeat an id and a text are one.
     return rows.mapInPandas(fetch, "doc long, at long, words array<long>").dropDuplicates(["doc", "at"])
@@ -357,7 +446,7 @@ def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
             "left",
         )
         again = _candidates(
-            marked.select("token", "doc", "at", "shape", "same", F.coalesce("_every", F.lit(False)).alias("every")),
+            marked.select("token", "doc", "at", "shape", "lead", "bits", F.coalesce("_every", F.lit(False)).alias("every")),
             threshold,
         ).filter("NOT sure").select("a_doc", "a_at", "doc", "at").distinct()
         of_rest = written(again.join(rest, ["doc", "at"], "left_semi").select("a_doc", "a_at", "doc", "at"))
