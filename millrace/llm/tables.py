@@ -10,15 +10,25 @@ from millrace.sinks.scratch import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and scan it again.
 
     Cuts the lineage: whatever executor is lost later, the rows are read again
-    from storage and never computed a second, possibly different, time.
+    from storage and never computed a second, possibly different, time. So the
+    shuffle files of the write are not needed any more, and Spark is asked to drop
+    them at its end rather than when the driver happens to collect its garbage.
     """
-    path = scratch_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_dir(spark), spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
