@@ -151,10 +151,10 @@ def test_a_frequent_word_in_many_different_lines(spark, monkeypatch):
 def test_long_runs_give_all_pairs_when_asked():
     n = 40
     doc, at, bits = np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    shape, same = np.full(n, 10 << 32, dtype=np.int64), np.arange(n)
+    shape, lead = np.full(n, 10 << 32, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for every in (False, True):
         marks = np.full(n, every)
-        found = pd.concat(list(linededup._run_pairs(doc, at, shape, same, bits, marks, 0.8)))
+        found = pd.concat(list(linededup._run_pairs(doc, at, shape, lead, bits, marks, 0.8)))
         if every:
             assert len(found) == n * (n - 1) // 2 and not found["more"].any()
         else:
@@ -173,9 +173,12 @@ def test_filters_let_every_match_through():
         if len(common) < 0.8 * len(np.union1d(a, b)):
             continue
         bits = [np.bitwise_xor.reduce(np.uint64(1) << (x & np.uint64(63))).astype(np.int64) for x in (a, b)]
+        leads = [np.array([x[0]]).view(np.int64) for x in (a, b)]
+        met = []
         for word in common:
             shapes = [np.array([(len(x) << 32) | int(np.searchsorted(x, word))]) for x in (a, b)]
-            assert linededup._allowed(*shapes, *[np.array([x]) for x in bits], 0.8).all()
+            met.append(bool(linededup._allowed(*shapes, *leads, *[np.array([x]) for x in bits], 0.8).all()))
+        assert met[0] and (all(met) if leads[0] != leads[1] else not any(met[1:]))
 
 
 def test_words_are_hashed_alike_wherever_they_stand():
