@@ -37,7 +37,7 @@ from millrace.llm.tables import fresh, written
 BUCKET_BITS = 18
 SLICES = 64
 # Bytes of text whose lines are worked on at once; a longer line is worked on whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 SHORT_RUN = 6
 FIRST = 4
 # Bits of the filter that says which lines to fetch for verification.
