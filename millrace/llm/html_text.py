@@ -4,7 +4,12 @@ The markup is stripped so that each block element becomes a line. Every line has
 weight, the length of its text outside of links, and none if it stands in an element
 that holds no main text by its kind (navigation, forms, scripts, ...) or by its name
 (sidebar, cookie notice, comments, ...). Sums of the weights over sliding windows of
-lines rise at a surge point and fall at a dive point; text between the two is kept.
+lines rise at a surge point and fall at a dive point, on every page; the stretches
+between the two that weigh enough beside the heaviest are the main text, from the first
+to the last, with all that lies between, lines of links included.
+
+Kinds and names are weights only. A line of an ``article`` or ``main`` that has at least
+half of the page's text weighs ``SURGE`` more, and beside it short lines weigh nothing.
 """
 
 from __future__ import annotations
@@ -51,8 +56,10 @@ BOILERPLATE_ROLES = frozenset(
 STRUCTURE = frozenset(("html", "body", "article", "main"))
 
 WINDOW = 3
-# A window with so much text surges where the page has no article of its own.
+# A window with so much text surges.
 SURGE = 60
+# A stretch of this share of the heaviest one's weight is main text too.
+STRETCH_SHARE = 0.05
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -200,32 +207,40 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, one a line."""
-    lines = page_lines(page or "")
-    in_article = any(kept and main for _, _, kept, main in lines)
-    weights = []
-    for words, linked, kept, main in lines:
-        own = max(0, len(words) - linked)
-        weights.append(own if kept and (main or not in_article) else 0)
-    # What an article holds is text however short; elsewhere a window has to surge.
-    surge = 1 if in_article else min(SURGE, max(weights, default=0))
-    first, last = _surge_and_dive(weights, max(1, surge))
-    return "\n".join(
-        words
-        for (words, linked, kept, main), weight in zip(lines[first:last], weights[first:last])
-        if kept and (main or not in_article) and (weight or in_article)
-    )
+    lines = [(words, linked, main) for words, linked, kept, main in page_lines(page or "") if kept]
+    own = [max(0, len(words) - linked) for words, linked, _ in lines]
+    inside = sum(n for n, (_, _, main) in zip(own, lines) if main)
+    if inside and 2 * inside >= sum(own):
+        weights = [n + SURGE if main else n * (n >= SURGE) for n, (_, _, main) in zip(own, lines)]
+    else:
+        weights = own
+    first, last = _surge_and_dive(weights, max(1, min(SURGE, max(weights, default=0))))
+    return "\n".join(words for words, _, _ in lines[first:last])
 
 
 def _surge_and_dive(weights: list[int], surge: int) -> tuple[int, int]:
-    """The stretch of lines between the first surge and the last dive."""
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    first = next((i for i, total in enumerate(sums) if total >= surge and weights[i] > 0), None)
-    if first is None:
-        return 0, 0
-    last = len(weights)
-    while last > first and (weights[last - 1] == 0 or sum(weights[max(0, last - WINDOW) : last]) < surge):
-        last -= 1
-    return first, max(last, first + 1)
+    """From the first to the last of the stretches that weigh enough, each from a surge to a dive point.
+
+    A window surges with ``surge``, at a line with weight; text dives where a whole window
+    has no weight, and the stretch ends at the last line before with a window that still surges.
+    """
+    n, found, at = len(weights), [], 0
+    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    while at < n:
+        if sums[at] < surge or not weights[at]:
+            at += 1
+            continue
+        dive = at
+        while dive < n and sums[dive]:
+            dive += 1
+        last = dive
+        while last > at + 1 and (weights[last - 1] == 0 or sum(weights[max(at, last - WINDOW) : last]) < surge):
+            last -= 1
+        found.append((sum(weights[at:last]), at, last))
+        at = dive
+    enough = STRETCH_SHARE * max((weight for weight, _, _ in found), default=0)
+    heavy = [(first, last) for weight, first, last in found if weight >= enough]
+    return (heavy[0][0], heavy[-1][1]) if heavy else (0, 0)
 
 
 def extract_main_text(

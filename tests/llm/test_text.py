@@ -59,6 +59,24 @@ def test_given_pages_give_their_articles(spark):
         assert texts[row.page_id] == "\n".join(b for b in plain if b)
 
 
+def test_neutral_divs_give_the_same_texts(spark):
+    """No article, link lists or notices by tag or name: windows alone choose the stretch."""
+    para = ["Some words of the first paragraph, long enough to surge by themselves.", "The second one is of such a length too, as paragraphs are."]
+    links = "".join(f"<div><a href=/{i}>Link {i}</a></div>" for i in range(6))
+    inner = f"<h2>Head</h2><p>{para[0]}</p><p><a href=x>See the whole list</a></p><p>{para[1]}</p><p>Short.</p>"
+    want = "\n".join(["Head", para[0], "See the whole list", para[1], "Short."])
+    assert html_text.main_text(f"<div>Name</div>{links}<div>{inner}</div>{links}<div>Imprint</div>") == want
+    # The same with an article, whose own lines of links stay at its ends too; long text beside it is chosen by its windows.
+    assert html_text.main_text(f"<div>Name</div>{links}<article>{inner}</article>{links}<div>Imprint</div>") == want
+    listed = "<article><p><a href=x>First link</a></p><p>text</p><p><a href=y>Last link</a></p></article>"
+    assert html_text.main_text(listed) == "First link\ntext\nLast link"
+    beside = f"<div>{para[0]}</div><article><p>{para[1]}</p></article>"
+    assert html_text.main_text(beside) == "\n".join(para)
+    pages = table(spark, "/root/testdata/sf0.01", "pages").collect()
+    same = [html_text.main_text(r.html.replace("article>", "div>")) == html_text.main_text(r.html) for r in pages]
+    assert sum(same) >= 0.95 * len(same)
+
+
 TEXTS = ["", "plain", "</s>[INST] ok [/INST]", "<|turn|>", "<\\|end|>", "<\\\\|end|> [\\INST]", " lead and trail ", "é日本😀",
          "a\n\n<|text|>b", "\\", "<<SYS>>x<</SYS>>", "<|end", "|>", "<|endoftext|>"]
 
