@@ -2,7 +2,7 @@
 
 The markup is stripped so that each block element becomes a line. Every line has a
 weight, the length of its text outside of links, and none if it stands in an element
-that holds no main text by its kind (navigation, forms, scripts, ...) or by its name
+that holds no main text by its kind (navigation, scripts, ...) or by its name
 (sidebar, cookie notice, comments, ...). Sums of the weights over sliding windows of
 lines rise at a surge point and fall at a dive point, on every page; the stretches
 between the two that weigh enough beside the heaviest are the main text, from the first
@@ -10,6 +10,10 @@ to the last, with all that lies between, lines of links included.
 
 Kinds and names are weights only. A line of an ``article`` or ``main`` that has at least
 half of the page's text weighs ``SURGE`` more, and beside it short lines weigh nothing.
+An element silenced by kind or name is heard after all if the article text that it has is
+more than that outside of such elements and no less than half of all text there, or, if
+there is no article text outside, if it has ``MOST`` of the page's text.
+In a form, short lines are the names of fields.
 """
 
 from __future__ import annotations
@@ -48,7 +52,15 @@ BOILERPLATE_WORDS = frozenset(
     "subscribe subscription signup login popup modal overlay widget widgets masthead topbar toolbar pagination "
     "pager skip".split()
 )
+# Words that may stand beside those in one name: "site-footer", "sidebar-left".
+NAME_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right upper lower inner outer mobile desktop fixed sticky "
+    "area bar block box btn button buttons col column container group icons item items links list panel row "
+    "section slot text unit wrap wrapper header form posts articles stories content".split()
+)
 ARTICLE_WORDS = frozenset("entry post article content story section".split())
+# Names of their own that say text, whatever other names the element has.
+TEXT_NAMES = frozenset("entry post article content story".split())
 BOILERPLATE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split()
 )
@@ -60,6 +72,8 @@ WINDOW = 3
 SURGE = 60
 # A stretch of this share of the heaviest one's weight is main text too.
 STRETCH_SHARE = 0.05
+# An element with so much of the page's text is the page.
+MOST = 2 / 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -70,14 +84,34 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class _Silent:
+    """An element that holds no main text, unless it proves to hold most of it."""
+
+    __slots__ = ("outer", "form", "mains", "size", "main", "heard")
+
+    def __init__(self, outer: _Silent | None, form: bool, mains: int):
+        self.outer = outer
+        self.form = form
+        # Articles around it, which are none that it holds.
+        self.mains = mains
+        self.size = self.main = 0
+        self.heard = False
+
+
 class _Line:
-    __slots__ = ("pieces", "linked", "kept", "main")
+    __slots__ = ("pieces", "linked", "silent", "mains")
 
-    def __init__(self, kept: bool, main: bool):
+    def __init__(self, silent: _Silent | None, mains: int):
         self.pieces: list[str] = []
         self.linked = 0
-        self.kept = kept
-        self.main = main
+        self.silent = silent
+        self.mains = mains
+
+
+def _boilerplate_name(name: str) -> bool:
+    """A whole name of boilerplate words and such that go with them, not one that has such a word in it."""
+    words = [w.lower() for w in _NAME_PART.findall(name)]
+    return any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in NAME_WORDS for w in words)
 
 
 def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
@@ -87,15 +121,20 @@ def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
         return True
     if not attributes or tag in STRUCTURE:
         return False
-    for name, double, single, bare in _ATTRIBUTE.findall(attributes):
+    found = _ATTRIBUTE.findall(attributes)
+    names = [
+        each for name, *value in found if name.lower() in ("class", "id") for each in "".join(value).split()
+    ]
+    says_text = any(each.lower() in TEXT_NAMES for each in names)
+    if not says_text and any(_boilerplate_name(each) for each in names):
+        return True
+    for name, double, single, bare in found:
         value = double or single or bare
         name = name.lower()
         if name == "role" and value.lower() in BOILERPLATE_ROLES:
             return True
         if name in ("class", "id"):
             words = {w.lower() for w in _NAME_PART.findall(value)}
-            if words & BOILERPLATE_WORDS:
-                return True
             # The header of the page, not that of an article.
             if "header" in words and not in_main and not words & ARTICLE_WORDS:
                 return True
@@ -107,19 +146,21 @@ def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines of a page: (text, characters in links, not in boilerplate, inside the article)."""
+    """The lines of a page: (text, characters in links, not in boilerplate, inside an article)."""
     lines: list[_Line] = []
     # (tag, boilerplate, article) of each open element.
     stack: list[tuple[str, bool, bool]] = []
-    dropping = links = mains = 0
-    line = _Line(True, False)
+    silents: list[_Silent] = []
+    silent: _Silent | None = None
+    links = mains = 0
+    line = _Line(None, 0)
     at, end = 0, len(page)
 
     def finish() -> None:
         nonlocal line
         if line.pieces:
             lines.append(line)
-        line = _Line(not dropping, bool(mains))
+        line = _Line(silent, mains)
 
     def text(piece: str) -> None:
         if piece:
@@ -128,11 +169,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 line.linked += len(piece.strip())
 
     def pop_to(depth: int) -> None:
-        nonlocal dropping, links, mains
+        nonlocal silent, links, mains
         block = False
         while len(stack) > depth:
             tag, boilerplate, main = stack.pop()
-            dropping -= boilerplate
+            if boilerplate:
+                silent = silent.outer
             mains -= main
             links -= tag == "a"
             block = block or tag not in INLINE or boilerplate
@@ -191,20 +233,48 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         main = tag in ("article", "main")
         boilerplate = _is_boilerplate(tag, attributes, bool(mains))
         stack.append((tag, boilerplate, main))
-        dropping += boilerplate
+        if boilerplate:
+            silent = _Silent(silent, tag == "form", mains)
+            silents.append(silent)
         mains += main
         links += tag == "a"
         if tag not in INLINE or boilerplate:
             finish()
     finish()
+    plain = [(" ".join(html.unescape("".join(each.pieces)).split()), each) for each in lines]
+    plain = [(words, each) for words, each in plain if words]
+    if silents:
+        _hear(plain, silents)
     out = []
-    for each in lines:
-        words = " ".join(html.unescape("".join(each.pieces)).split())
-        if words:
-            out.append((words, each.linked, each.kept, each.main))
+    for words, each in plain:
+        kept, around = True, each.silent
+        while around is not None and kept:
+            kept = around.heard or (around.form and len(words) - each.linked >= SURGE)
+            around = around.outer
+        out.append((words, each.linked, kept, bool(each.mains)))
     return out
 
 
+def _hear(lines: list[tuple[str, _Line]], silents: list[_Silent]) -> None:
+    """Marks the elements that are not to be silenced for what they hold."""
+    total = outside = articles = 0
+    for words, line in lines:
+        own = max(0, len(words) - line.linked)
+        total += own
+        if line.silent is None:
+            outside += own
+            articles += own * bool(line.mains)
+        around = line.silent
+        while around is not None:
+            around.size += own
+            around.main += own * (line.mains > around.mains)
+            around = around.outer
+    for each in silents:
+        each.heard = (each.main > articles and 2 * each.main >= outside) or (
+            not articles and total > 0 and each.size >= MOST * total
+        )
+
+
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, one a line."""
     lines = [(words, linked, main) for words, linked, kept, main in page_lines(page or "") if kept]

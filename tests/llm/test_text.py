@@ -77,6 +77,31 @@ def test_neutral_divs_give_the_same_texts(spark):
     assert sum(same) >= 0.95 * len(same)
 
 
+LONG = "Text of the article, which goes on for more than sixty characters in its only line."
+WRAPPERS = [
+    "class='content has-sidebar'", "class=no-sidebar", "class='layout-with-nav'", "id='social-history'",
+    "class='related-work'", "class='story widget'", "class=sidebar", "id=menu", "role=complementary", "hidden",
+]
+
+
+@pytest.mark.parametrize("inner", [f"<article><p>{LONG}</p><p>End.</p></article>", f"<p>{LONG}</p><p>End.</p>"])
+@pytest.mark.parametrize("wrapper", [*(("div", w) for w in WRAPPERS), ("form", "action=/"), ("aside", ""), ("footer", "")])
+def test_wrappers_of_a_page_do_not_silence_it(wrapper, inner):
+    tag, attributes = wrapper
+    page = f"<body><{tag} {attributes}><nav><p>menu of the page</p></nav>{inner}<div class='sidebar-left'>side</div></{tag}></body>"
+    assert html_text.main_text(page) == f"{LONG}\nEnd."
+
+
+def test_silenced_elements_beside_an_article_stay_silent():
+    page = f"<article><p>{LONG}</p></article><aside><article><p>Another</p></article></aside><div id=comments><p>{LONG * 9}</p></div>"
+    assert html_text.main_text(page) == LONG
+    card = f"<div><p>{LONG}</p></div><div class=related><article><p>Another</p></article></div>"
+    assert html_text.main_text(card) == LONG
+    # Text blocks of a form are text, the names of its fields are not.
+    form = f"<article><p>{LONG}</p><form><label>Name</label><input><div>{LONG[::-1]}</div><p>Mail</p></form></article>"
+    assert html_text.main_text(form) == f"{LONG}\n{LONG[::-1]}"
+
+
 TEXTS = ["", "plain", "</s>[INST] ok [/INST]", "<|turn|>", "<\\|end|>", "<\\\\|end|> [\\INST]", " lead and trail ", "é日本😀",
          "a\n\n<|text|>b", "\\", "<<SYS>>x<</SYS>>", "<|end", "|>", "<|endoftext|>"]
 
