@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.tables import written
@@ -76,6 +76,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return plain.mapInPandas(compute, "doc_id long, fp long")
 
 
+def fingerprint_of(text: str) -> Column:
+    """The fingerprint of a column of texts, as a signed long."""
+
+    @F.pandas_udf("long")
+    def compute(texts: pd.Series) -> pd.Series:
+        values = [fingerprint(t if isinstance(t, str) else None) for t in texts]
+        return pd.Series(np.array(values, dtype=np.uint64).view(np.int64))
+
+    return compute(F.col(text))
+
+
 def chain_keys(nodes: DataFrame) -> DataFrame:
     """``key, fp``: each fingerprint under its chain keys, 17 for each of the four starts."""
 
@@ -171,6 +182,19 @@ def links(nodes: DataFrame) -> DataFrame:
     return met.mapInPandas(connect, "a long, b long").distinct()
 
 
+def classes(marked: DataFrame) -> DataFrame:
+    """``_fp, _root, component_id`` of each distinct ``fp``; ``_root`` names the component, also one without ids."""
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")))
+    roots = connected_components(links(nodes.select("fp")))
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn(
+        "root", F.coalesce("root", "fp")
+    )
+    smallest = named.groupBy("root").agg(F.min("_first").alias("component_id")).withColumnRenamed("root", "_root")
+    return named.join(smallest, F.col("root") == F.col("_root")).select(
+        F.col("fp").alias("_fp"), "_root", "component_id"
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row.
 
@@ -181,15 +205,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id of its component, null if none has any. Empty tables give empty results.
     """
     marked = written(fingerprints(docs, id_col, text_col))
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")))
-    roots = connected_components(links(nodes.select("fp")))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    smallest = named.groupBy("root").agg(F.min("_first").alias("component_id")).withColumnRenamed("root", "_root")
-    classes = named.join(smallest, F.col("root") == F.col("_root")).select(
-        F.col("fp").alias("_fp"), "component_id"
-    )
-    return marked.join(classes, F.col("fp") == F.col("_fp")).select(
+    return marked.join(classes(marked), F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from millrace.llm import langid, linededup, mixing as mixer, packing as packer, simhash
 from millrace.llm.queries import held_out
 from millrace.llm.shipping import ship_package
-from millrace.llm.tables import fresh
+from millrace.llm.tables import fresh, word_count, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +37,41 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows of one id one."""
+    """Of each group of near duplicates one row: that of the smallest id, of rows of one id that of the smallest MD5.
+
+    Rows are told apart by id and text, so rows of one id with other texts are decided on
+    each, and a group without any id keeps one row too. The group of texts without words keeps
+    none if the document that stands for it stays with another text. Of rows that repeat id
+    and text the one whose other columns come first as JSON stays.
+    """
     ship_package(spark)
-    near = simhash.near_duplicates(docs)
-    stays = near.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    kept_id, row = fresh(docs, "__kept", "__row")
-    ids = stays.select(F.col("doc_id").alias(kept_id)).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
-    # Rows of one id come together, not rows of one group.
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    numbered = kept.filter(F.col("doc_id").isNotNull()).withColumn(row, F.row_number().over(first))
-    return numbered.filter(F.col(row) == 1).drop(row).unionByName(kept.filter(F.col("doc_id").isNull()))
+    digest, an_id, a_digest, whole = fresh(docs, "__digest", "__id", "__text", "__whole")
+    marked = written(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.md5(F.coalesce("text", F.lit(""))).alias("digest"),
+            (word_count("text") == 0).alias("wordless"),
+            simhash.fingerprint_of("text").alias("fp"),
+        )
+    )
+    # Sums per fingerprint before anything meets: a large group is a row of each task.
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "wordless")
+    firsts = marked.groupBy("fp").agg(F.min(row).alias("row"))
+    joined = firsts.join(simhash.classes(marked), F.col("fp") == F.col("_fp"))
+    kept = written(joined.groupBy("_root").agg(F.min("row").alias("row")).select("row.*"))
+    said = kept.filter("NOT wordless").select(F.col("doc_id").alias("_said")).distinct()
+    stays = kept.filter("NOT wordless").unionByName(
+        kept.filter("wordless").join(said, F.col("doc_id") == F.col("_said"), "left_anti")
+    )
+    keys = stays.select(F.col("doc_id").alias(an_id), F.col("digest").alias(a_digest))
+    found = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit("")))).join(
+        keys,
+        F.col("doc_id").cast("long").eqNullSafe(F.col(an_id)) & (F.col(digest) == F.col(a_digest)),
+        "left_semi",
+    )
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    one = found.groupBy("doc_id", digest).agg(F.min_by(F.struct(*docs.columns), others).alias(whole))
+    return one.select(f"{whole}.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

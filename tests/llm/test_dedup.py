@@ -1,5 +1,6 @@
 """SimHash and line dedup against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -8,7 +9,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from millrace.llm import linededup, simhash
+from millrace.llm import linededup, simhash, stages
 
 
 def plain_fingerprint(text):
@@ -92,6 +93,48 @@ def test_links_of_a_dense_ball_and_of_all_short_runs():
     assert components(fps, lambda x, y: (x, y) in links) == want
 
 
+def plain_simhash_dedup(rows):
+    """The (doc_id, text) that stay: one row of each component; see the stage for texts without words."""
+    groups = components([plain_fingerprint(t) for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 3)
+    firsts = {}
+    for group, (doc_id, text) in zip(groups, rows):
+        key = (doc_id is None, doc_id or 0, hashlib.md5((text or "").encode()).hexdigest())
+        firsts[group] = min(firsts.get(group, (key, doc_id, text)), (key, doc_id, text), key=lambda x: x[0])
+    kept = [(doc_id, text) for _, doc_id, text in firsts.values()]
+    said = {i for i, t in kept if i is not None and (t or "").split()}
+    return [(i, t) for i, t in kept if (t or "").split() or i not in said]
+
+
+@pytest.mark.parametrize("deal", [1, 3])
+def test_simhash_stage_keeps_one_row_of_each_component(spark, deal):
+    pick = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(pick.choices(words, k=120)) for _ in range(8)]
+    near = [t + " w1" for t in texts]
+    rows = [
+        # An id with a near copy of another id's text and a text of its own.
+        (5, texts[0]), (2, texts[0]), (2, texts[1]),
+        # Three times without id, once beside an id, exact copies and near ones.
+        (None, texts[2]), (None, texts[2]), (None, near[2]), (None, texts[3]), (7, texts[3]), (None, texts[4]),
+        # Whole rows that repeat; the wordless ones of an id that stays, and of one that does not.
+        (8, texts[5]), (8, texts[5]), (9, near[5]), (2, ""), (2, None), (12, " "),
+    ]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id LONG, text STRING, k INT").repartition(deal)
+    found = stages.simhash_dedup(spark, df, "")
+    assert found.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    assert got == sorted(plain_simhash_dedup(rows), key=str)
+    assert sum(i is None for i, _ in got) == 2 and {t for i, t in got if i == 2} == {texts[0], texts[1]}
+    assert all(rows[r.k] == (r.doc_id, r.text) for r in found.collect())
+    assert stages.simhash_dedup(spark, df.limit(0), "").count() == 0
+
+
+def test_simhash_stage_of_odd_rows(spark, odd_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    found = [(r.doc_id, r.text) for r in stages.simhash_dedup(spark, odd_docs, "").collect()]
+    assert sorted(found, key=str) == sorted(plain_simhash_dedup(rows), key=str)
+
+
 def plain_line_dedup(rows, threshold=0.8):
     """Lines kept of each (doc_id, text), with 64-bit text hashes told by the caller."""
     seen, kept = [], {}
