@@ -16,8 +16,13 @@ size for any corpus; words are ordered by the count of their bucket, then by has
 Sets are compared by 64-bit hashes of words. Each line also carries the parities of its
 words in 64 bit places: the places in which two lines differ are a lower bound of the
 words that only one of them has, which drops most pairs that only share a rare word.
-Equal sets are told by 128-bit hashes and merged within chunks of lines before anything
-is shuffled, so a line that a third of the corpus repeats is one row per chunk.
+Equal sets are told by 128-bit hashes and merged over the whole corpus before any word is
+entered: within chunks, within tasks, then by hash. So a line that a third of the corpus
+repeats is one row per task of a sum, and enters its words once.
+
+A word that many different lines have in their prefixes is dealt in blocks of about
+``BLOCK`` lines; each pair of blocks is a group of its own, so no task holds or compares
+all lines of a word. How many blocks is told by sums over buckets of words.
 
 A line that many earlier ones may match is first checked against the ``FIRST`` earliest of
 them at each word; only if none of these matches, against all.
@@ -26,7 +31,7 @@ them at each word; only if none of these matches, against all.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,10 +45,11 @@ SLICES = 64
 CHUNK_BYTES = 1 << 19
 SHORT_RUN = 6
 FIRST = 4
+# Lines of one word that meet in one group; more are dealt to pairs of blocks.
+BLOCK = 4096
 # Bits of the filter that says which lines to fetch for verification.
 FILTER_BITS = 23
 NO_ID = -(1 << 63)
-MERGED = -1
 
 # Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C55
@@ -173,14 +179,22 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def word_ranks(rows: DataFrame) -> np.ndarray:
     """For each bucket of word hashes, how often its words occur, as a logarithm in a byte."""
+    def words(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+        for data, _, _ in _chunks(batch):
+            yield word_hashes(data)[0]
+
+    return np.minimum(255, np.round(6 * np.log2(_bucket_counts(rows, words) + 1))).astype(np.uint8)
+
+
+def _bucket_counts(rows: DataFrame, words: Callable[[pd.DataFrame], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many words of the batches of ``rows`` fall in each bucket of word hashes."""
     size = 1 << BUCKET_BITS
     per_slice = size // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for data, _, _ in _chunks(batch):
-                hashes, _ = word_hashes(data)
+            for hashes in words(batch):
                 counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
         parts = counts.reshape(SLICES, per_slice)
         yield pd.DataFrame({"slice": np.arange(SLICES), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
@@ -189,32 +203,39 @@ def word_ranks(rows: DataFrame) -> np.ndarray:
         total = np.zeros(per_slice, dtype=np.int64)
         for raw in frame["counts"]:
             total += np.frombuffer(zlib.decompress(raw), dtype=np.int64)
-        ranks = np.minimum(255, np.round(6 * np.log2(total + 1))).astype(np.uint8)
-        return pd.DataFrame({"slice": [key[0]], "ranks": [ranks.tobytes()]})
+        return pd.DataFrame({"slice": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     counted = rows.mapInPandas(count, "slice int, counts binary")
-    # 2**18 bytes for any corpus.
-    found = counted.groupBy("slice").applyInPandas(add, "slice int, ranks binary").collect()
-    ranks = np.zeros((SLICES, per_slice), dtype=np.uint8)
+    # 2**18 counts for any corpus.
+    found = counted.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+    totals = np.zeros((SLICES, per_slice), dtype=np.int64)
     for row in found:
-        ranks[row["slice"]] = np.frombuffer(row["ranks"], dtype=np.uint8)
-    return ranks.ravel()
+        totals[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
+    return totals.ravel()
 
 
 def prefix_length(n, threshold: float):
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-PREFIX_SCHEMA = "token long, doc long, at long, shape long, lead long, bits long"
+HEAD_SCHEMA = "one long, two long, doc long, at long, size long, bits long, tokens array<long>"
+
+
+def _first_of_equal(sets: LineSets, doc: np.ndarray, at: np.ndarray):
+    """Digests and parities of the lines of a chunk, and for each the earliest line with an equal set."""
+    one, two, bits = sets.digests()
+    order = np.lexsort((at, doc, two, one))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    head = np.empty(len(order), dtype=np.int64)
+    head[order] = order[new][np.cumsum(new) - 1]
+    return one.view(np.int64), two.view(np.int64), bits.view(np.int64), head
 
 
-def _prefixes(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
-    """A row per prefix word of each line, and one with the shape ``MERGED`` for each line merged away.
+def _firsts(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+    """A row per distinct set: its earliest line, size, parities, prefix words, and how many chunks have it.
 
-    ``at`` is the part and the number of the line, ``shape`` the size of its set and
-    the place of the word, ``lead`` the rarest word of the line, ``bits`` the parities
-    of the words. A merged line has a hash of its place for a word, so that such
-    lines spread.
+    ``at`` is the part and the number of the line. Equal sets have equal prefixes.
     """
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,36 +243,111 @@ def _prefixes(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
             for data, docs, ats in _chunks(batch):
                 sets = LineSets(data, ranks)
                 doc, at = docs[sets.line], ats[sets.line]
-                one, two, bits = sets.digests()
-                # Of equal sets the earliest line stays.
-                order = np.lexsort((at, doc, two, one))
-                again = np.zeros(len(order), dtype=bool)
-                again[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-                merged = np.zeros(len(order), dtype=bool)
-                merged[order[again]] = True
-                kept = np.flatnonzero(~merged)
-                k = prefix_length(sets.size[kept], threshold)
-                owner = np.repeat(kept, k)
-                place = np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
-                away = np.flatnonzero(merged)
+                one, two, bits, head = _first_of_equal(sets, doc, at)
+                kept = np.flatnonzero(head == np.arange(len(head)))
+                start, k = sets.start[kept], prefix_length(sets.size[kept], threshold)
+                words = sets.words.view(np.int64)
+                yield pd.DataFrame(
+                    {
+                        "one": one[kept], "two": two[kept], "doc": doc[kept], "at": at[kept], "size": sets.size[kept],
+                        "bits": bits[kept], "tokens": [words[i : i + n] for i, n in zip(start.tolist(), k.tolist())],
+                    }
+                )
+
+    heads = rows.mapInPandas(enter, HEAD_SCHEMA)
+    first = F.min(F.struct("doc", "at", "size", "bits", "tokens")).alias("first")
+    return heads.groupBy("one", "two").agg(first, F.count(F.lit(1)).alias("n")).select("one", "two", "first.*", "n")
+
+
+def _equal_lines(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``doc, at`` of every line with an earlier one of an equal set.
+
+    Those that have one in their chunk are told at once. The others are looked up, if a
+    filter of fixed size lets them through; the join has few columns, and Spark can split it.
+    """
+    repeated = firsts.filter("n > 1")
+    wanted = _line_filter(repeated.select(F.col("one").alias("doc"), F.col("two").alias("at")))
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(np.frombuffer(wanted, dtype=np.uint8)).view(bool)
+        # Digests hang on sets, not on the order of words.
+        plain = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
+        for batch in batches:
+            for data, docs, ats in _chunks(batch):
+                sets = LineSets(data, plain)
+                doc, at = docs[sets.line], ats[sets.line]
+                one, two, _, head = _first_of_equal(sets, doc, at)
                 # A row that repeats id and text is merged with itself; its lines stay.
-                first = order[~again][np.cumsum(~again) - 1]
-                head = np.empty(len(order), dtype=np.int64)
-                head[order] = first
-                away = away[(doc[away] != doc[head[away]]) | (at[away] != at[head[away]])]
-                empty = np.zeros(len(away), dtype=np.int64)
+                sure = (doc != doc[head]) | (at != at[head])
+                own = head == np.arange(len(head))
+                out = np.flatnonzero(sure | (own & bits[_bit(one, two).astype(np.int64)]))
+                yield pd.DataFrame({"one": one[out], "two": two[out], "doc": doc[out], "at": at[out], "sure": sure[out]})
+
+    met = written(rows.mapInPandas(enter, "one long, two long, doc long, at long, sure boolean"))
+    named = repeated.select(
+        F.col("one").alias("_one"), F.col("two").alias("_two"), F.col("doc").alias("_doc"), F.col("at").alias("_at")
+    )
+    later = met.filter("NOT sure").join(named, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")))
+    gone = later.filter((F.col("doc") != F.col("_doc")) | (F.col("at") != F.col("_at")))
+    return met.filter("sure").select("doc", "at").unionByName(gone.select("doc", "at")).distinct()
+
+
+PREFIX_SCHEMA = (
+    "token long, left int, right int, doc long, at long, shape long, lead long, bits long, every boolean"
+)
+
+
+def _blocks(firsts: DataFrame) -> np.ndarray:
+    """For each bucket of words, in how many blocks the lines of one of its words are dealt."""
+
+    def words(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+        if len(batch):
+            yield np.concatenate(batch["tokens"].tolist()).astype(np.int64).view(np.uint64)
+
+    return np.maximum(1, -(-_bucket_counts(firsts.select("tokens"), words) // BLOCK))
+
+
+def _prefixes(firsts: DataFrame, blocks: np.ndarray) -> DataFrame:
+    """A row per prefix word of each line and pair of blocks that it is in; ``firsts`` has ``every``.
+
+    ``shape`` is the size of the set and the place of the word, ``lead`` the rarest word
+    of the line, ``bits`` the parities of the words, ``left`` and ``right`` the blocks.
+    """
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch["tokens"].map(len).to_numpy()
+            token = np.concatenate(batch["tokens"].tolist()).astype(np.int64)
+            row = np.repeat(np.arange(len(batch)), k)
+            begin = np.cumsum(k) - k
+            place = np.arange(len(row)) - begin[row]
+            doc, at = batch["doc"].to_numpy(), batch["at"].to_numpy()
+            many = blocks[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+            own = _block(doc[row], at[row], many)
+            # Lines are short rows; a batch of hot words is given out in pieces.
+            upto = np.cumsum(many)
+            cuts = np.r_[0, np.flatnonzero(np.diff(upto >> 18)) + 1, len(row)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                each = np.repeat(np.arange(a, b), many[a:b])
+                other = np.arange(len(each)) - np.repeat(upto[a:b] - many[a:b] - (upto[a] - many[a]), many[a:b])
+                r = row[each]
                 yield pd.DataFrame(
                     {
-                        "token": np.r_[sets.words[sets.start[owner] + place].view(np.int64), _mixed(doc[away], at[away]).view(np.int64)],
-                        "doc": np.r_[doc[owner], doc[away]],
-                        "at": np.r_[at[owner], at[away]],
-                        "shape": np.r_[(sets.size[owner] << 32) | place, empty + MERGED],
-                        "lead": np.r_[sets.words[sets.start[owner]].view(np.int64), empty],
-                        "bits": np.r_[bits[owner].view(np.int64), empty],
+                        "token": token[each],
+                        "left": np.minimum(own[each], other).astype(np.int32),
+                        "right": np.maximum(own[each], other).astype(np.int32),
+                        "doc": doc[r],
+                        "at": at[r],
+                        "shape": (batch["size"].to_numpy()[r] << 32) | place[each],
+                        "lead": token[begin[r]],
+                        "bits": batch["bits"].to_numpy()[r],
+                        "every": batch["every"].to_numpy(dtype=bool)[r],
                     }
                 )
 
-    return rows.mapInPandas(enter, PREFIX_SCHEMA)
+    return firsts.select("doc", "at", "size", "bits", "tokens", "every").mapInPandas(enter, PREFIX_SCHEMA)
 
 
 def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float):
@@ -270,19 +366,19 @@ def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float)
     return ok & (na + nb - apart >= 2 * needed)
 
 
-PAIR_SCHEMA = "a_doc long, a_at long, doc long, at long, sure boolean, more boolean"
+PAIR_SCHEMA = "a_doc long, a_at long, doc long, at long, more boolean"
 
 
-def _pairs(doc, at, a, b, sure, more) -> pd.DataFrame:
+def _pairs(doc, at, a, b, more) -> pd.DataFrame:
     return pd.DataFrame(
-        {"a_doc": doc[a], "a_at": at[a], "doc": doc[b], "at": at[b], "sure": np.broadcast_to(sure, len(a)), "more": np.broadcast_to(more, len(a))}
+        {"a_doc": doc[a], "a_at": at[a], "doc": doc[b], "at": at[b], "more": np.broadcast_to(more, len(a))}
     )
 
 
-def _run_pairs(doc, at, shape, lead, bits, every, threshold) -> Iterator[pd.DataFrame]:
+def _run_pairs(doc, at, shape, lead, bits, every, threshold, block=None) -> Iterator[pd.DataFrame]:
     """Pairs in a long run of one word, sorted by place in the corpus: the ``FIRST`` earliest of each line.
 
-    ``every`` marks the lines that get all of theirs.
+    ``every`` marks the lines that get all of theirs. With ``block``, pairs of lines of two blocks.
     """
     for start in range(1, len(doc), 256):
         rows = np.arange(start, min(start + 256, len(doc)))
@@ -293,33 +389,34 @@ def _run_pairs(doc, at, shape, lead, bits, every, threshold) -> Iterator[pd.Data
         )
         ok &= np.arange(rows[-1])[None] < rows[:, None]
         ok &= (doc[None, left] != doc[rows][:, None]) | (at[None, left] != at[rows][:, None])
+        if block is not None:
+            ok &= block[None, left] != block[rows][:, None]
         if ok.any():
             so_far = np.cumsum(ok, axis=1)
             more = (so_far[:, -1] > FIRST) & ~every[rows]
             r, a = np.nonzero(ok & ((so_far <= FIRST) | every[rows][:, None]))
-            yield _pairs(doc, at, a, rows[r], False, more[r])
+            yield _pairs(doc, at, a, rows[r], more[r])
 
 
-def _bucket_pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Pairs within each run of one word; a merged line comes out as sure, beside itself."""
-    token, doc, at, shape, lead, bits = (
-        frame[c].to_numpy() for c in ("token", "doc", "at", "shape", "lead", "bits")
+def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray) -> pd.DataFrame:
+    """Pairs within each run of one word and pair of blocks."""
+    token, left, right, doc, at, shape, lead, bits = (
+        frame[c].to_numpy() for c in ("token", "left", "right", "doc", "at", "shape", "lead", "bits")
     )
     every = frame["every"].to_numpy(dtype=bool)
-    away = np.flatnonzero(shape == MERGED)
-    parts = [_pairs(doc, at, away, away, True, False)]
-    if len(away):
-        token, doc, at, shape, lead, bits, every = (
-            np.delete(x, away) for x in (token, doc, at, shape, lead, bits, every)
-        )
     n = len(token)
+    none = np.zeros(0, dtype=np.int64)
+    parts = [_pairs(doc, at, none, none, False)]
     if n > 1:
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        many = blocks[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        block = _block(doc, at, many)
+        new = (token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        first = np.flatnonzero(np.r_[True, new])
         length = np.diff(np.r_[first, n])
         # Words of one line only are most of them.
         some = np.repeat((length > 1) & (length <= SHORT_RUN), length)
         short = np.flatnonzero(some)
-        of = token[short]
+        of = np.repeat(np.arange(len(length)), length)[short]
         for shift in range(1, min(SHORT_RUN, len(short))):
             at_left = np.flatnonzero(of[shift:] == of[:-shift])
             if not len(at_left):
@@ -327,15 +424,18 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
             i, j = short[at_left], short[at_left + shift]
             ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold)
             ok &= (doc[i] != doc[j]) | (at[i] != at[j])
-            parts.append(_pairs(doc, at, i[ok], j[ok], False, False))
+            # Lines of one block meet in its pair with itself.
+            ok &= (left[i] == right[i]) | (block[i] != block[j])
+            parts.append(_pairs(doc, at, i[ok], j[ok], False))
         for run in np.flatnonzero(length > SHORT_RUN):
             part = slice(first[run], first[run] + length[run])
-            parts += _run_pairs(doc[part], at[part], shape[part], lead[part], bits[part], every[part], threshold)
+            two = None if left[first[run]] == right[first[run]] else block[part]
+            parts += _run_pairs(doc[part], at[part], shape[part], lead[part], bits[part], every[part], threshold, two)
     return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
 
 
-def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of an earlier and a later line that the filters let through. ``prefixes`` has ``every``."""
+def _candidates(prefixes: DataFrame, threshold: float, blocks: np.ndarray) -> DataFrame:
+    """Pairs of an earlier and a later line that the filters let through."""
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -343,18 +443,24 @@ def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
             frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(frame):
                 continue
-            token = frame["token"].to_numpy()
-            # Rows of the last word may go on in the next batch.
-            cut = int(np.searchsorted(token, token[-1], side="left"))
+            # Rows of the last group may go on in the next batch.
+            keys = [frame[c].to_numpy() for c in ("token", "left", "right")]
+            others = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+            cut = int(others[-1]) + 1 if len(others) else 0
             held, whole = frame.iloc[cut:], frame.iloc[:cut]
-            yield _bucket_pairs(whole, threshold)
+            yield _bucket_pairs(whole, threshold, blocks)
         if held is not None:
-            yield _bucket_pairs(held, threshold)
+            yield _bucket_pairs(held, threshold, blocks)
 
-    met = prefixes.repartition("token").sortWithinPartitions("token", "doc", "at")
+    met = prefixes.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "doc", "at")
     return met.mapInPandas(pair, PAIR_SCHEMA)
 
 
+def _block(doc: np.ndarray, at: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The block of each line at a word that is dealt in ``many`` of them."""
+    return ((_mixed(doc, at) >> np.uint64(20)) % many.astype(np.uint64)).astype(np.int64)
+
+
 def _mixed(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of the place of each line."""
     mixed = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (at.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -426,29 +532,22 @@ def _verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
     """``doc, at`` of every line to be removed, each once."""
-    ranks = word_ranks(rows)
-    prefixes = _prefixes(rows, ranks, threshold).withColumn("every", F.lit(False))
-    pairs = written(_candidates(prefixes, threshold).distinct())
-    sure = pairs.filter("sure").select("doc", "at").distinct()
-    open_pairs = pairs.filter("NOT sure").join(
-        sure.select(F.col("doc").alias("_d"), F.col("at").alias("_l")),
-        (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l")),
-        "left_anti",
-    )
-    found = written(_verified(rows, open_pairs.select("a_doc", "a_at", "doc", "at").distinct(), threshold))
+    firsts = written(_firsts(rows, word_ranks(rows), threshold))
+    sure = written(_equal_lines(rows, firsts))
+    blocks = _blocks(firsts)
+    prefixes = _prefixes(firsts.withColumn("every", F.lit(False)), blocks)
+    pairs = written(_candidates(prefixes, threshold, blocks).distinct())
+    found = written(_verified(rows, pairs.select("a_doc", "a_at", "doc", "at").distinct(), threshold))
     rest = written(
         pairs.filter("more").select("doc", "at").distinct().join(found, ["doc", "at"], "left_anti")
     )
     if not rest.isEmpty():
-        marked = prefixes.drop("every").join(
+        marked = firsts.join(
             rest.select(F.col("doc").alias("_d"), F.col("at").alias("_l"), F.lit(True).alias("_every")),
             (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l")),
             "left",
-        )
-        again = _candidates(
-            marked.select("token", "doc", "at", "shape", "lead", "bits", F.coalesce("_every", F.lit(False)).alias("every")),
-            threshold,
-        ).filter("NOT sure").select("a_doc", "a_at", "doc", "at").distinct()
+        ).withColumn("every", F.coalesce("_every", F.lit(False)))
+        again = _candidates(_prefixes(marked, blocks), threshold, blocks).select("a_doc", "a_at", "doc", "at").distinct()
         of_rest = written(again.join(rest, ["doc", "at"], "left_semi").select("a_doc", "a_at", "doc", "at"))
         found = found.unionByName(_verified(rows, of_rest, threshold))
     return written(sure.unionByName(found).distinct())

@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import linededup, simhash, stages
+from millrace.llm.tables import written
 
 
 def plain_fingerprint(text):
@@ -191,6 +193,23 @@ def test_a_frequent_word_in_many_different_lines(spark, monkeypatch):
     assert {i for i, n in found.items() if n} == {i for i, t in want.items() if t == ""}
 
 
+def test_hot_words_and_lines_are_dealt_and_merged(spark, monkeypatch):
+    """No group of a word holds all its lines, a repeated line enters once, and the lines removed are the same."""
+    monkeypatch.setattr(linededup, "BLOCK", 8)
+    pick = random.Random(4)
+    lines = [f"common u{i} v{i % 9} w{pick.randrange(5)}" for i in range(90)] + ["the line of all", "all the line of"]
+    rows = [(i, f"{lines[i % len(lines)]}\nthe line of all\ncommon {pick.choice(lines)} x{i % 40}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(6)
+    found = {r.doc_id: r.text for r in lines_of(df, 0.5).collect()}
+    assert found == plain_line_dedup(rows, 0.5)
+    plain = linededup._identified(df, "doc_id", "text")
+    firsts = written(linededup._firsts(plain, linededup.word_ranks(plain), 0.5))
+    assert firsts.count() == len({frozenset(line.split()) for _, text in rows for line in text.split("\n")})
+    dealt = linededup._prefixes(firsts.withColumn("every", F.lit(False)), linededup._blocks(firsts)).toPandas()
+    hot = dealt.groupby("token")[["doc", "at"]].apply(lambda g: len(g.drop_duplicates())).max()
+    assert hot > 24 > dealt.groupby(["token", "left", "right"]).size().max()
+
+
 def test_long_runs_give_all_pairs_when_asked():
     n = 40
     doc, at, bits = np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
