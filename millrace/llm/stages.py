@@ -43,6 +43,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     each, and a group without any id keeps one row too. The group of texts without words keeps
     none if the document that stands for it stays with another text. Of rows that repeat id
     and text the one whose other columns come first as JSON stays.
+
+    The rule is op1's, three-word shingles and 3 of 64 bits. It finds few of the pairs of a five-word
+    Jaccard similarity of 0.8 or more: 2 of 14 among 4000 texts of sf0.1.
     """
     ship_package(spark)
     digest, an_id, a_digest, whole = fresh(docs, "__digest", "__id", "__text", "__whole")
