@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import TESTDATA
+from places import TESTDATA
 
 import __spark_entry__ as entry_module
 

@@ -2,7 +2,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT
+from places import ROOT
 
 
 def test_failed_tasks_leave_results_whole(folder):
