@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat, embed_dedup, html_text, langid, linededup, mixing, packing, simhash, tokenfile, topk
+from millrace.llm import (
+    chat, embed_dedup, html_text, langid, linededup, mixing, packing, simhash, spelling, tokenfile, topk
+)
 from millrace.llm.shipping import ship_package
 from millrace.llm.tables import table
 
@@ -72,6 +74,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def damaged_words(docs: DataFrame, shortest: int = 7) -> DataFrame:
+    """``word``: the runs of letters that may give words so long, A-Z in lower case, some without one code point."""
+    # A damaged run is shorter, so shorter runs give no word of that length.
+    runs = F.regexp_extract_all("text", F.lit(f"[A-Za-z\u00C0-\u00FF]{{{shortest},}}"), F.lit(0))
+    # lower() would change these capitals too.
+    low = F.when(
+        F.col("run").rlike("[\u00C0-\u00DE]"),
+        F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
+    ).otherwise(F.lower("run"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    lowered = docs.select(key.alias("key"), F.explode(runs).alias("run")).select("key", low.alias("run"))
+    h = F.crc32(F.concat("key", F.lit(":"), "run"))
+    cut = F.overlay("run", F.lit(""), (h % F.length("run") + 1).cast("int"), F.lit(1))
+    return lowered.select(F.when(h % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = damaged_words(table(spark, sf_dir, "documents"))
+    return spelling.group_variants(spelling.word_counts(runs, min_count=2, min_length=7), ratio=10)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -83,7 +106,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = [
         op1_simhash, op2_embedding_dedup, op3_chat, op4_html, op5_topk,
-        op6_language_id, op7_line_dedup, op8_token_file, op9_mixing, op10_packing,
+        op6_language_id, op7_line_dedup, op8_token_file, op9_mixing, op10_packing, op12_spelling,
     ]
     return {query.__name__: _shipped(query) for query in operators}
 
