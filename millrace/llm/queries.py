@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm import (
-    chat, embed_dedup, html_text, langid, linededup, mixing, packing, simhash, spelling, tokenfile, topk
+    chat, embed_dedup, html_text, langid, linededup, mixing, packing, pieces, repair, simhash, spelling, tokenfile, topk
 )
 from millrace.llm.shipping import ship_package
 from millrace.llm.tables import table
@@ -74,6 +74,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def damaged_turns(rows: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text, copies``: some rows dropped, repeated, cut or of another role."""
+    conv_id, turn = (F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn"))
+    kind, text = F.crc32(F.concat(conv_id, F.lit(":"), turn)) % 20, F.coalesce("text", F.lit(" "))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged_turns(table(spark, sf_dir, "conversations"))
+    lines = F.transform("repaired", lambda row: F.concat(row["role"], F.lit(":"), row["text"]))
+    return repair.repair_conversations(rows, copies_col="copies").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"),
+    )
+
+
 def damaged_words(docs: DataFrame, shortest: int = 7) -> DataFrame:
     """``word``: the runs of letters that may give words so long, A-Z in lower case, some without one code point."""
     # A damaged run is shorter, so shorter runs give no word of that length.
@@ -95,6 +117,16 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.word_counts(runs, min_count=2, min_length=7), ratio=10)
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_and_decode(table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -106,7 +138,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = [
         op1_simhash, op2_embedding_dedup, op3_chat, op4_html, op5_topk,
-        op6_language_id, op7_line_dedup, op8_token_file, op9_mixing, op10_packing, op12_spelling,
+        op6_language_id, op7_line_dedup, op8_token_file, op9_mixing, op10_packing, op11_repair, op12_spelling, op13_pieces,
     ]
     return {query.__name__: _shipped(query) for query in operators}
 
