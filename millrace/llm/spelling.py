@@ -41,7 +41,7 @@ def word_counts(occurrences: DataFrame, min_count: int = 2, min_length: int = 1)
 def neighbour_pairs(words: DataFrame, jump_from: int = 24) -> DataFrame:
     """``word, n, near, near_n``: each pair of distinct words one edit apart, both ways round.
 
-    ``words`` has ``word`` and ``n``, each word once; nulls and empty words are left
+    ``words`` is a written table of ``word`` and ``n``, each word once; nulls and empty words are left
     out, other columns are not looked at. An edit is one code point inserted,
     deleted or replaced. An empty table gives an empty one. Every node has at most
     as many edges as the alphabet has signs, so the states grow with the words, not
@@ -50,7 +50,7 @@ def neighbour_pairs(words: DataFrame, jump_from: int = 24) -> DataFrame:
     level ``jump_from`` on stretches in which no node has two edges are passed in one,
     so that two copies of a very long word cost no round for each code point.
     """
-    plain = written(words.select("word", F.col("n").cast("long").alias("n")).filter("word <> ''").distinct())
+    plain = words.select("word", F.col("n").cast("long").alias("n")).filter("word <> ''")
     start = plain.agg(F.min(F.length("word"))).first()[0]
     if start is None:
         return plain.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n"))
@@ -201,7 +201,8 @@ def group_variants(words: DataFrame, ratio: int = 10) -> DataFrame:
     """
     if ratio < 2:
         raise ValueError("a form has to be at least twice as frequent, or forms could go round in a circle")
-    plain = words.select("word", F.col("n").cast("long").alias("n")).filter("word <> ''").distinct()
+    # Written here, as the words may be the counts of a whole corpus, which are wanted twice.
+    plain = written(words.select("word", F.col("n").cast("long").alias("n")).filter("word <> ''").distinct())
     near = neighbour_pairs(plain).groupBy(F.col("word").alias("of")).agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("best")
     )
