@@ -22,7 +22,9 @@ class DatasetSpec:
     ``schema`` may be declared in any form ``to_struct`` accepts, under the key
     ``schema`` or ``schema_definition``. ``mode`` is ``None`` unless given. ``rebalance``
     is the number of shuffle partitions that a value of ``partition_by`` is dealt out
-    over before a write; 0 or ``False`` writes without a shuffle. Descriptive keys (tags, description,
+    over before a write; 0 or ``False`` writes without a shuffle. ``sort_by`` are columns that each
+    written file is sorted by. ``versioned``, ``run_id`` and ``violations`` are explained at
+    ``write_dataset``, ``malformed`` at ``read_dataset``. Descriptive keys (tags, description,
     source system) are allowed in the mapping and have no effect here.
     """
 
@@ -34,6 +36,11 @@ class DatasetSpec:
     partition_by: tuple[str, ...] = ()
     rebalance: int = 4
     predicates: tuple[str, ...] = ()
+    sort_by: tuple[str, ...] = ()
+    versioned: bool = False
+    run_id: str | None = None
+    violations: str | None = None
+    malformed: bool = False
 
     @classmethod
     def of(cls, entry: Mapping[str, Any] | DatasetSpec) -> DatasetSpec:
@@ -53,7 +60,27 @@ class DatasetSpec:
             partition_by=_names(entry.get("partition_by")),
             rebalance=cls.rebalance if entry.get("rebalance", True) is True else int(entry["rebalance"] or 0),
             predicates=_names(entry.get("predicates")),
-        )
+            sort_by=_names(entry.get("sort_by")),
+            versioned=bool(entry.get("versioned")),
+            run_id=str(entry["run_id"]) if entry.get("run_id") is not None else None,
+            violations=entry.get("violations") or None,
+            malformed=bool(entry.get("malformed")),
+        )._checked()
+
+    def _checked(self) -> DatasetSpec:
+        if self.violations not in (None, "reject", "fail"):
+            raise ValueError(f"'violations' is 'reject' or 'fail', not {self.violations!r}")
+        if self.malformed and (self.format.lower() not in ("csv", "json") or self.schema is None):
+            raise ValueError("'malformed' needs a csv or json dataset with a declared schema")
+        if self.versioned or self.run_id:
+            if not isinstance(self.path, str) or self.format.lower() in PATHLESS_FORMATS:
+                raise ValueError("'versioned' and 'run_id' need one path")
+            if self.versioned and self.run_id:
+                raise ValueError("a dataset has versions or runs, not both")
+            allowed = "overwrite" if self.versioned else "append"
+            if (self.mode or allowed).lower() != allowed:
+                raise ValueError(f"a {'versioned dataset' if self.versioned else 'run'} takes the mode {allowed!r}, not {self.mode!r}")
+        return self
 
     def option(self, name: str) -> Any:
         """The value of an option, whatever the case of its name, or ``None``."""

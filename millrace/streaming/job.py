@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable, Mapping
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.plans.catalog import DatasetCatalog
 from millrace.plans.job import Transform, apply_transforms, job_specs, merged_parameters
-from millrace.sinks.files import rebalanced, writer_options
-from millrace.sources.files import has_files, path_exists, stream_log
+from millrace.sinks.files import rebalanced, write_dataset, writer_options
+from millrace.sources.files import stream_log
 from millrace.sources.paths import overlap
 from millrace.sources.spec import DatasetSpec
+from millrace.sources.storage import has_files, path_exists
 
 log = logging.getLogger(__name__)
 
@@ -48,11 +50,18 @@ def write_stream(
     folder's log already has. So a folder with files of a batch job is refused,
     and so is another stream's output under a new checkpoint. With the mode
     ``errorifexists`` given, any folder is refused that this checkpoint did not begin.
+
+    With a ``run_id`` each micro-batch is a run of the dataset (see ``write_dataset``)
+    instead, which batch readers and batch jobs share.
     """
     spec = DatasetSpec.of(spec)
     checkpoint = spec.option("checkpointLocation")
     if not checkpoint:
         raise ValueError("a stream needs the option 'checkpointLocation'")
+    if spec.run_id:
+        return _write_batches(df, spec, trigger)
+    if spec.versioned or spec.violations:
+        raise ValueError("a stream has no versions, and checks rows only with a 'run_id'")
     mode = (spec.mode or "append").lower()
     if mode not in ("append", "errorifexists"):
         raise ValueError(f"a stream can only append, not {spec.mode}")
@@ -62,6 +71,23 @@ def write_stream(
     return query.start(spec.path, spec.format, "append", list(spec.partition_by) or None)
 
 
+def _write_batches(df: DataFrame, spec: DatasetSpec, trigger: Mapping[str, Any] | None) -> StreamingQuery:
+    """Write each micro-batch as a run of its own, ``<run_id>-<batch number>``.
+
+    Spark repeats a batch that was written but not yet committed, under the same number;
+    it then replaces its own rows. All that a batch write can do works here too:
+    required fields, figures, sorted files. ``run_id`` names the stream: give a new
+    checkpoint a new one, as its numbers begin at zero again.
+    """
+    options = {k: v for k, v in spec.options.items() if k.lower() != "checkpointlocation"}
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_dataset(batch, replace(spec, run_id=f"{spec.run_id}-{number:08d}", options=options))
+
+    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", spec.option("checkpointLocation"))
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def _check_destination(spark: SparkSession, path: str, checkpoint: str, mode: str) -> None:
     if path_exists(spark, stream_log(path)):
         if not path_exists(spark, checkpoint):

@@ -20,7 +20,9 @@ TYPES = {
     "double": "DOUBLE",
     "date": "DATE",
     "timestamp_ntz": "TIMESTAMP",
-    "decimal(10,2)": "DECIMAL(10,2)",
+    "smallint": "SMALLINT",
+    "decimal(14,3)": "DECIMAL(14,3)",
+    "decimal(16,3)": "DECIMAL(16,3)",
 }
 
 

@@ -1,0 +1,354 @@
+"""Checks, versions, runs, generations and figures."""
+
+import datetime as dt
+import glob
+import subprocess
+import sys
+import os
+
+import pyarrow.parquet as pq
+import pytest
+from places import ROOT
+from pyspark.sql import functions as F
+
+from millrace import (
+    DatasetCatalog, expire_versions, filter_processing_dates, read_checked, read_dataset, read_generations, release_claim,
+    resolve_run_dates, rows_frame, run_job, run_stream_job, write_dataset,
+)
+from millrace.sinks import versions
+from millrace.sources import generations, storage
+
+SCHEMA = "id BIGINT NOT NULL, name STRING NOT NULL, tax DOUBLE"
+ROWS = [(1, "a", 0.5), (2, None, 0.5), (None, "c", None), (None, None, 1.0), (5, "e", None)]
+
+
+def rows(spark, data=ROWS):
+    return spark.createDataFrame(data, "id BIGINT, name STRING, tax DOUBLE")
+
+
+def ids(df):
+    return sorted((r.id for r in df.collect()), key=str)
+
+
+def dies(df):
+    return df.withColumn("name", F.when(F.col("id") >= 0, F.raise_error(F.lit("dies"))).otherwise(F.lit("")))
+
+
+# --- required fields ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "csv", "json"])
+def test_rejects_are_kept_aside_with_reasons(spark, folder, kind):
+    target = {"path": folder, "format": kind, "schema": SCHEMA, "violations": "reject", "partition_by": "tax"}
+    if kind == "csv":
+        target["options"] = {"header": "true"}
+    figures = {}
+    write_dataset(rows(spark), target, figures)
+    assert figures == {"rows": 5, "rejected": 3, "nulls:id": 2, "nulls:name": 2}
+    good = read_dataset(spark, target)
+    assert ids(good) == [1, 5] and good.columns[:2] == ["id", "name"] and set(good.columns) == {"id", "name", "tax"}
+    bad = read_checked(spark, target).filter("row_status = 'rejected'")
+    assert sorted((r.rejected_for, r.id) for r in bad.collect() if r.id) == [("name", 2)]
+    assert sorted(r.rejected_for for r in bad.collect()) == ["id", "id,name", "name"]
+    assert "PartitionFilters: [isnotnull(row_status" in good._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_write_is_the_only_pass(spark, folder):
+    write_dataset(rows(spark), {"path": f"{folder}/in", "format": "parquet"})
+    job = {
+        "source_data": {"path": f"{folder}/in", "format": "parquet", "schema": "id BIGINT, name STRING, tax DOUBLE"},
+        "destination_data": {"path": f"{folder}/out", "format": "parquet", "schema": SCHEMA, "violations": "reject"},
+        "parameters": {"filter_threshold": 0.1, "threshold_column": "tax"},
+    }
+    group, figures = f"once-{folder}", {}
+    spark.sparkContext.setJobGroup(group, "job")
+    try:
+        assert run_job(spark, job, [], figures=figures)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # The shuffle of the partitioned write, that stage again as one that is skipped, and the write.
+    stages = [
+        stage
+        for job_id in spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+        for stage in spark.sparkContext.statusTracker().getJobInfo(job_id).stageIds
+    ]
+    assert len(stages) == len(set(stages)) <= 3
+    assert figures == {"rows_read": 5, "rows": 3, "rejected": 2, "nulls:id": 1, "nulls:name": 2}
+
+
+def test_a_violation_ends_a_write_that_may_not_have_any(spark, folder):
+    target = {"path": folder, "format": "parquet", "schema": SCHEMA, "violations": "fail", "versioned": True}
+    write_dataset(rows(spark, ROWS[:1]), target)
+    with pytest.raises(Exception, match="required field name is null"):
+        write_dataset(rows(spark, ROWS[:2]), target)
+    assert ids(read_dataset(spark, target)) == [1]
+
+
+def test_figures_of_an_empty_table(spark, folder):
+    figures = {}
+    write_dataset(rows(spark, []), {"path": folder, "format": "parquet", "schema": SCHEMA, "violations": "reject"}, figures)
+    assert figures == {"rows": 0, "rejected": 0, "nulls:id": 0, "nulls:name": 0}
+
+
+def test_figures_without_checks(spark, folder):
+    figures = {}
+    write_dataset(rows(spark), {"path": folder, "format": "parquet"}, figures)
+    assert figures == {"rows": 5}
+
+
+def test_clashing_columns_and_unknown_rules_are_refused(spark, folder):
+    target = {"path": folder, "format": "parquet", "schema": SCHEMA, "violations": "reject"}
+    with pytest.raises(ValueError, match="row_status"):
+        write_dataset(rows(spark).withColumn("Row_Status", F.lit(1)), target)
+    with pytest.raises(ValueError, match="violations"):
+        write_dataset(rows(spark), {**target, "violations": "ignore"})
+
+
+# --- malformed records ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_malformed_records_keep_their_text_and_file(spark, folder, kind):
+    good = {"csv": "1,a,0.5", "json": '{"id": 1, "name": "a", "tax": 0.5}'}[kind]
+    late = {"csv": "7,z,x9", "json": '{"id": 7, "name": "z", "tax": "x9"}'}[kind]
+    lines = [good, late, good, "none", '{"id'] if kind == "json" else [good, late, good, "none,x,1"]
+    spark.createDataFrame([(x,) for x in lines], "value STRING").coalesce(1).write.text(f"{folder}/in")
+    source = {"path": f"{folder}/in", "format": kind, "schema": SCHEMA, "malformed": True, "options": {"mode": "FAILFAST"}}
+    target = {"path": f"{folder}/out", "format": kind, "schema": SCHEMA, "violations": "reject", "malformed": True}
+    assert run_job(spark, {"source_data": source, "destination_data": target}, [])
+    assert [(r.id, r.name, r.tax) for r in read_dataset(spark, target).collect()] == [(1, "a", 0.5)] * 2
+    bad = read_checked(spark, target).filter("row_status = 'rejected'").collect()
+    assert sorted(r.malformed_record for r in bad) == sorted(set(lines) - {good})
+    assert all(r.rejected_for.startswith("malformed") and r.malformed_file.endswith(".txt") for r in bad)
+
+
+def test_malformed_needs_a_text_format_and_a_schema(spark, folder):
+    for entry in ({"format": "csv"}, {"format": "parquet", "schema": SCHEMA}):
+        with pytest.raises(ValueError, match="malformed"):
+            read_dataset(spark, {"path": folder, "malformed": True, **entry})
+
+
+# --- versions -----------------------------------------------------------------------
+
+
+def test_readers_have_the_old_version_until_the_new_one_is_whole(spark, folder):
+    target = {"path": folder, "format": "parquet", "versioned": True, "mode": "overwrite"}
+    with pytest.raises(FileNotFoundError):
+        read_dataset(spark, target)
+    write_dataset(rows(spark, ROWS[:2]), target)
+    running = read_dataset(spark, target)
+    with pytest.raises(Exception, match="dies"):
+        write_dataset(dies(rows(spark)), target)
+    assert ids(read_dataset(spark, target)) == [1, 2]
+    write_dataset(rows(spark, ROWS[4:]), target)
+    assert ids(read_dataset(spark, target)) == [5]
+    # A query set up before goes on with what it saw.
+    assert ids(running) == [1, 2]
+
+
+def test_a_job_may_overwrite_the_versioned_table_it_reads(spark, folder):
+    entry = {"path": folder, "format": "parquet", "versioned": True}
+    catalog = DatasetCatalog(spark, {"t": entry})
+    write_dataset(rows(spark), entry)
+    job = {"source_data": {"dataset_id": "t"}, "destination_data": {"dataset_id": "t", "mode": "overwrite"}}
+    assert run_job(spark, job, [lambda df: df.filter("id = 1")], catalog=catalog)
+    assert ids(catalog.table("t")) == [1]
+
+
+def test_a_write_that_another_has_overtaken_is_refused(spark, folder):
+    target = {"path": folder, "format": "parquet", "versioned": True}
+    write_dataset(rows(spark), target)
+    before = versions.published(spark, folder)
+    write_dataset(rows(spark, ROWS[:1]), target)
+    with pytest.raises(RuntimeError, match="another version"):
+        versions.publish(spark, folder, "late", before)
+    assert ids(read_dataset(spark, target)) == [1]
+
+
+def test_a_claim_left_behind(spark, folder):
+    target = {"path": folder, "format": "parquet", "versioned": True}
+    write_dataset(rows(spark, ROWS[:1]), target)
+    storage.create_empty(spark, f"{folder}/_claimed/000000000002")
+    with pytest.raises(RuntimeError):
+        write_dataset(rows(spark), target)
+    release_claim(spark, folder)
+    write_dataset(rows(spark), target)
+    assert read_dataset(spark, target).count() == 5
+
+
+def test_old_versions_go(spark, folder):
+    target = {"path": folder, "format": "parquet", "versioned": True}
+    for k in range(1, 5):
+        write_dataset(rows(spark, ROWS[:k]), target)
+    assert len(expire_versions(spark, folder, keep=2)) == 2
+    assert read_dataset(spark, target).count() == 4 and len(glob.glob(f"{folder}/_versions/*")) == 2
+    assert expire_versions(spark, folder, keep=2) == []
+    with pytest.raises(ValueError):
+        expire_versions(spark, folder, keep=0)
+
+
+def test_a_killed_driver_leaves_the_old_rows(spark, folder):
+    """The process is killed while it writes the second version."""
+    run = subprocess.run(
+        [sys.executable, f"{ROOT}/tests/killed_write.py", folder],
+        env={**os.environ, "PYTHONPATH": f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"},
+        capture_output=True, text=True, timeout=300,
+    )
+    assert run.returncode == 9, run.stderr[-2000:]
+    assert len(glob.glob(f"{folder}/_versions/*")) == 2
+    assert read_dataset(spark, {"path": folder, "format": "parquet", "versioned": True}).count() == 100
+
+
+# --- runs ------------------------------------------------------------------------------
+
+
+def test_a_run_that_is_repeated_replaces_its_own_rows(spark, folder):
+    target = {"path": folder, "format": "parquet", "partition_by": "name"}
+    write_dataset(rows(spark), {**target, "run_id": "2024-01-15"})
+    write_dataset(rows(spark, ROWS[:1]), {**target, "run_id": "2024-01-16"})
+    # The second time it has fewer rows, and none of some partitions.
+    write_dataset(rows(spark, ROWS[4:]), {**target, "run_id": "2024-01-15", "mode": "append"})
+    read = read_dataset(spark, {**target, "schema": "id BIGINT, tax DOUBLE, run_id STRING, name STRING"})
+    assert sorted((r.run_id, r.id, r.name) for r in read.collect()) == [("2024-01-15", 5, "e"), ("2024-01-16", 1, "a")]
+
+
+def test_a_run_that_dies_leaves_the_rows_of_its_last_time(spark, folder):
+    target = {"path": folder, "format": "parquet", "run_id": "r"}
+    write_dataset(rows(spark, ROWS[:2]), target)
+    with pytest.raises(Exception, match="dies"):
+        write_dataset(dies(rows(spark)), target)
+    assert ids(read_dataset(spark, {"path": folder, "format": "parquet"})) == [1, 2]
+
+
+def test_run_ids_and_modes(spark, folder):
+    for wrong in ({"run_id": "a/b"}, {"run_id": "a", "mode": "overwrite"}, {"run_id": "a", "versioned": True},
+                  {"versioned": True, "mode": "append"}, {"versioned": True, "path": [folder]}):
+        with pytest.raises(ValueError):
+            write_dataset(rows(spark), {"path": folder, "format": "parquet", **wrong})
+    assert not os.path.exists(folder)
+
+
+def test_a_batch_that_was_written_but_not_committed_is_there_once(spark, folder, monkeypatch):
+    for k in range(3):
+        rows(spark, [(10 * k + i, "x", 0.0) for i in range(5)]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    job = {
+        "source_data": {"path": f"{folder}/in", "format": "parquet", "schema": "id BIGINT, name STRING, tax DOUBLE",
+                        "options": {"maxFilesPerTrigger": "1"}},
+        "destination_data": {"path": f"{folder}/out", "format": "parquet", "run_id": "s", "schema": SCHEMA,
+                             "violations": "reject", "options": {"checkpointLocation": f"{folder}/checkpoint"}},
+    }
+    from millrace.streaming import job as streaming
+
+    whole, died = streaming.write_dataset, []
+
+    def write_and_die_once(df, spec):
+        whole(df, spec)
+        if spec.run_id == "s-00000001" and not died:
+            died.append(1)
+            raise RuntimeError("after the write, before the commit")
+
+    monkeypatch.setattr(streaming, "write_dataset", write_and_die_once)
+    assert not run_stream_job(spark, job)
+    assert run_stream_job(spark, job) and died
+    read = read_dataset(spark, {**job["destination_data"], "options": {}, "run_id": None})
+    assert ids(read) == sorted((10 * k + i for k in range(3) for i in range(5)), key=str)
+    assert run_stream_job(spark, job) and read.count() == 15
+
+
+# --- generations --------------------------------------------------------------------------
+
+
+def test_added_dropped_reordered_and_widened_columns(spark, folder):
+    spark.createDataFrame([(1, 1.5)], "id INT, tax FLOAT").write.parquet(f"{folder}/1")
+    spark.createDataFrame([("x", 2.25, 2)], "gone STRING, tax DOUBLE, id BIGINT").write.orc(f"{folder}/2")
+    spark.createDataFrame([("n", 3)], "name STRING, id INT").write.json(f"{folder}/3")
+    got = read_generations(
+        spark,
+        [{"path": f"{folder}/1", "format": "parquet"}, {"path": f"{folder}/2", "format": "orc"},
+         {"path": f"{folder}/3", "format": "json", "schema": "id INT, name STRING"}],
+        "id BIGINT NOT NULL, name STRING, tax DOUBLE",
+    )
+    assert got.dtypes == [("id", "bigint"), ("name", "string"), ("tax", "double")]
+    assert sorted(map(tuple, got.collect())) == [(1, None, 1.5), (2, None, 2.25), (3, "n", None)]
+    plan = got.filter("id > 1").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,1)" in plan and "ReadSchema: struct<id:int>" in plan
+
+
+def test_what_would_lose_values_raises_before_the_read(spark, folder):
+    spark.createDataFrame([(1, 1.5)], "id BIGINT, tax DOUBLE").write.parquet(folder)
+    one = [{"path": folder, "format": "parquet"}]
+    for schema in ("id INT", "id BIGINT, tax FLOAT", "id STRING", "id DOUBLE", "id BIGINT, name STRING NOT NULL"):
+        with pytest.raises(ValueError):
+            read_generations(spark, one, schema)
+    with pytest.raises(ValueError, match="declares its schema"):
+        read_generations(spark, [{"path": folder, "format": "csv"}], "id BIGINT")
+
+
+@pytest.mark.parametrize(
+    "narrow, wide, holds",
+    [("int", "bigint", True), ("bigint", "int", False), ("int", "double", True), ("bigint", "double", False),
+     ("float", "double", True), ("double", "float", False), ("decimal(10,2)", "decimal(12,4)", True),
+     ("decimal(10,2)", "decimal(11,4)", False), ("decimal(10,2)", "decimal(12,1)", False), ("int", "decimal(10,0)", True),
+     ("int", "decimal(10,2)", False), ("smallint", "float", True), ("int", "float", False), ("date", "timestamp_ntz", True),
+     ("string", "int", False), ("array<int>", "array<int>", True)],
+)
+def test_widens(narrow, wide, holds):
+    from pyspark.sql.types import DataType
+
+    assert generations.widens(DataType.fromDDL(narrow), DataType.fromDDL(wide)) is holds
+
+
+# --- days, sorted files, folders --------------------------------------------------------------
+
+
+def test_days(spark):
+    day = dt.date(2024, 2, 27)
+    assert resolve_run_dates(spark, {"from": day, "to": "2024-03-01"}) == [day + dt.timedelta(days=k) for k in range(4)]
+    assert resolve_run_dates(spark, ["2024-03-01", day]) == [dt.date(2024, 3, 1), day]
+    assert resolve_run_dates(spark, "2024-02-27") == [day]
+    with pytest.raises(ValueError):
+        resolve_run_dates(spark, {"from": "2024-03-02", "to": "2024-03-01"})
+
+
+def test_several_days_prune_partitions_and_reach_the_scan(spark, folder):
+    days = [dt.date(2024, 1, d) for d in (3, 4, 5, 9)]
+    df = spark.range(40).select("id", F.expr("date_add(DATE'2024-01-01', int(id % 10))").alias("d"))
+    df = df.withColumn("t", F.col("d").cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS"))
+    df.write.partitionBy("d").parquet(folder)
+    read = spark.read.parquet(folder)
+    by_day, by_time = read.transform(filter_processing_dates("d", days)), read.transform(filter_processing_dates("t", days))
+    assert ids(by_day) == ids(by_time) == ids(read.filter(F.col("d").cast("string").isin([str(d) for d in days])))
+    plan = by_day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [d" in plan and "IN (" in plan
+    assert "Or(And(GreaterThanOrEqual(t,2024-01-03T00:00),LessThan(t,2024-01-06T00:00))" in by_time._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_sorted_within_let_row_groups_be_skipped(spark, folder):
+    df = spark.range(0, 400_000, 1, 4).select("id", (F.xxhash64("id") % 1000).alias("k"), F.lit("d").alias("d"))
+    target = {"path": folder, "format": "parquet", "partition_by": "d", "sort_by": "k", "options": {"parquet.block.size": "262144"}}
+    write_dataset(df, target)
+    skipped = total = 0
+    for path in glob.glob(f"{folder}/d=d/*.parquet"):
+        meta = pq.ParquetFile(path).metadata
+        at = next(i for i in range(meta.num_columns) if meta.schema.column(i).name == "k")
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(at).statistics
+            total, skipped = total + 1, skipped + (stats.min > -900)
+    assert total > 4 and skipped > total / 2
+    assert read_dataset(spark, target).filter("k < -900").count() == df.filter("k < -900").count()
+
+
+def test_folders(spark, folder):
+    assert not storage.path_exists(spark, folder) and not storage.has_files(spark, folder)
+    assert storage.child_names(spark, folder) == []
+    os.makedirs(f"{folder}/a/b/_hidden")
+    open(f"{folder}/a/b/_hidden/x", "w").close()
+    assert storage.path_exists(spark, f"{folder}/a") and not storage.has_files(spark, folder)
+    open(f"{folder}/a/b/x", "w").close()
+    assert storage.has_files(spark, folder) and storage.has_files(spark, f"{folder}/a/b/x")
+    assert storage.create_empty(spark, f"{folder}/m") and not storage.create_empty(spark, f"{folder}/m")
+    storage.replace_folder(spark, f"{folder}/a", f"{folder}/new/c")
+    assert storage.child_names(spark, f"{folder}/new/c/b") == ["_hidden", "x"]
+    storage.delete_folder(spark, f"{folder}/new")
+    storage.delete_folder(spark, f"{folder}/new")
+    assert storage.child_names(spark, folder) == ["m"]
