@@ -42,7 +42,9 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+    found = topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+    # Null, at its rank, if it does not fit.
+    return found.withColumn("score", F.col("score").try_cast("long"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -13,8 +13,6 @@ in a task that hands on ``k`` rows per query.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,6 +22,8 @@ from millrace.llm.vectors import as_double, finite
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
 DIMENSION_BLOCK = 16
+# Integers below this have products whose sum over 2**20 dimensions is a decimal of 38 digits.
+LARGEST = 1 << 52
 
 
 def exact_top_k(
@@ -41,11 +41,12 @@ def exact_top_k(
     Null vectors and ones with null or non-finite components take no part, nor do rows
     without an id; only vectors of one length are compared. Rows that repeat an id are
     candidates of their own for others; as a query they are one, with the best scores of
-    any of them, and none of them is its own candidate. Raises if components are so large that a score could leave 64 bits.
+    any of them, and none of them is its own candidate. Scores are decimals of 38 digits,
+    exact also where they leave 64 bits; a component whose integer is not below 2**52 raises.
     Other columns are not looked at; an empty table gives an empty result.
     """
     whole = as_double(df, id_col, vector_col).filter(F.col("vec_id").isNotNull() & finite("v"))
-    large = F.exists("v", lambda x: F.abs(x * scale) >= F.lit(float(1 << 31)))
+    large = F.exists("v", lambda x: F.abs(x * scale) >= F.lit(float(LARGEST)))
     values = F.transform("v", lambda x: F.floor(x * scale).cast("long"))
     checked = F.when(large, F.raise_error(F.lit("a component is too large for exact scores"))).otherwise(values)
     rows = written(whole.select("vec_id", checked.alias("q"), F.size("v").alias("d")))
@@ -75,11 +76,12 @@ def exact_top_k(
         matrix = np.stack([np.asarray(v, dtype=np.int64) for v in frame["q"]])
         ask = (frame["kind"] == 0).to_numpy()
         ids = frame["vec_id"].to_numpy()
-        return _tile(ids[ask], matrix[ask], ids[~ask], matrix[~ask], k)
+        best = _tile(ids[ask], matrix[ask], ids[~ask], matrix[~ask], k)
+        return best.assign(score=pd.Series(list(map(str, best["score"].tolist())), dtype=object))
 
     found = asked.unionByName(offered).groupBy("d", "qb", "cg").applyInPandas(
-        tile, "query_id long, vec_id long, score long"
-    )
+        tile, "query_id long, vec_id long, score string"
+    ).withColumn("score", F.col("score").cast("decimal(38,0)"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -88,11 +90,16 @@ def exact_top_k(
 def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> pd.DataFrame:
     out: list[pd.DataFrame] = []
     if len(ids) and len(query_ids):
+        # Sums of products beyond 64 bits go through Python's integers.
+        most = max(int(np.abs(matrix).max()), 1) * max(int(np.abs(queries).max()), 1)
+        wide = most * matrix.shape[1] >= 1 << 62
         mass = (matrix.astype(np.float64) ** 2).sum(axis=0)
         order = np.argsort(-mass, kind="stable")
         columns = np.ascontiguousarray(matrix[:, order].T)
         starts = list(range(0, len(order), DIMENSION_BLOCK))
         squares = columns.astype(np.float64) ** 2
+        if wide:
+            columns, queries = columns.astype(object), queries.astype(object)
         # What is left of each candidate's mass from a block of dimensions on.
         rest = [np.sqrt(squares[s:].sum(axis=0)) for s in starts] + [np.zeros(len(ids))]
         seen: set[int] = set()
@@ -111,7 +118,7 @@ def _branch_and_bound(query, query_id, ids, columns, starts, rest, k):
     """Places and scores of the ``k`` best candidates of one query."""
     left = np.sqrt([float((query[s:].astype(np.float64) ** 2).sum()) for s in starts] + [0.0])
     alive = np.flatnonzero(ids != query_id)
-    partial = np.zeros(len(alive), dtype=np.int64)
+    partial = np.zeros(len(alive), dtype=columns.dtype)
     for step, start in enumerate(starts):
         block = columns[start : start + DIMENSION_BLOCK]
         part = block if len(alive) == len(ids) else block[:, alive]
@@ -121,11 +128,15 @@ def _branch_and_bound(query, query_id, ids, columns, starts, rest, k):
         if len(alive) <= k:
             continue
         reach = left[step + 1] * rest[step + 1][alive]
-        slack = 1e-9 * (np.abs(partial) + reach) + 1.0
+        about = partial.astype(np.float64)
+        slack = 1e-9 * (np.abs(about) + reach) + 1.0
         # The k-th best of what each candidate is sure to reach.
-        sure = partial - reach - slack
+        sure = about - reach - slack
         bar = np.partition(sure, len(sure) - k)[len(sure) - k]
-        keep = partial + reach + slack >= bar
+        keep = about + reach + slack >= bar
         alive, partial = alive[keep], partial[keep]
-    best = np.lexsort((ids[alive], -partial))[:k]
+    if partial.dtype == object:
+        best = np.array(sorted(range(len(alive)), key=lambda i: (-partial[i], ids[alive[i]]))[:k], dtype=np.int64)
+    else:
+        best = np.lexsort((ids[alive], -partial))[:k]
     return alive[best], partial[best]

@@ -1,6 +1,7 @@
 """Operators on embeddings against brute force."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -102,6 +103,21 @@ def test_top_k_of_nothing_and_of_huge_components(spark):
         topk.exact_top_k(huge, F.lit(True)).collect()
 
 
+def test_scores_beyond_64_bits_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    pick = random.Random(5)
+    rows = [(i, [float(pick.choice([-1, 1]) * pick.randint(900_000, 1_000_000)) for _ in range(64)], 0) for i in range(60)]
+    rows += [(100, [1e6] * 64, 0), (101, [1e6] * 64, 0), (102, [-1e6] * 64, 0), (103, [0.5] * 64, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = sorted(map(tuple, topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=5).collect()))
+    whole = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v, _ in rows}
+    want = []
+    for i in (i for i in whole if i % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i)
+        want += [(i, rank, j, -score) for rank, (score, j) in enumerate(scored[:5], 1)]
+    assert found == sorted(want) and max(row[3] for row in found) > 1 << 63
+
+
 def test_pruning_keeps_the_best():
     pick = np.random.default_rng(2)
     matrix = pick.integers(-900, 900, size=(3000, 40))
