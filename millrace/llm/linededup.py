@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.tables import fresh, written
 
@@ -167,14 +167,39 @@ def _chunks(batch: pd.DataFrame) -> Iterator[tuple[bytes, np.ndarray, np.ndarray
         yield piece()
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, part, text``: rows are told apart by id and 32 bits of the hash of their text."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
+    """The documents, and what tells their rows apart: two numbers, in the order of the corpus.
+
+    They are the id and 31 bits of the text's hash. Where two texts of one id, or two without
+    one, have the same bits, which another hash tells, the pairs of id and text are
+    sorted and numbered in a table of their own, and the number is joined to each row.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("part"),
-        text.alias("text"),
+    doc, one, two = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(text), F.xxhash64(F.lit(7), text)
+    part = one.bitwiseAND(F.lit(0x7FFFFFFF))
+    keys = docs.select(doc.alias("doc"), part.alias("part"), one.alias("one"), two.alias("two"))
+    clashes = keys.groupBy("doc", "part").agg(
+        F.min("one").alias("a"), F.max("one").alias("b"), F.min("two").alias("c"), F.max("two").alias("d")
+    ).filter("a <> b OR c <> d")
+    if clashes.isEmpty():
+        return docs, doc, part
+    number, key, first, second = fresh(docs, "__number", "__id", "__one", "__two")
+    ordered = keys.select("doc", "part", "one", "two").distinct().orderBy("doc", "part", "one", "two")
+    # The number of the range and the place in it; written, so that it stays the same.
+    numbers = written(ordered.select("doc", "one", "two", F.monotonically_increasing_id().alias("n"))).select(
+        F.col("doc").alias(key), F.col("one").alias(first), F.col("two").alias(second), F.col("n").alias(number)
     )
+    joined = docs.join(numbers, (doc == F.col(key)) & (one == F.col(first)) & (two == F.col(second)))
+    return written(joined.drop(key, first, second)), F.col(number), F.lit(0).cast("long")
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, part, text`` of all rows."""
+    return _numbered(*_keyed(docs, id_col, text_col), text_col)
+
+
+def _numbered(docs: DataFrame, doc: Column, part: Column, text_col: str) -> DataFrame:
+    return docs.select(doc.alias("doc"), part.alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def word_ranks(rows: DataFrame) -> np.ndarray:
@@ -517,9 +542,21 @@ def _sets(rows: DataFrame, wanted: bytes) -> DataFrame:
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``doc, at`` of the later lines of pairs that match."""
+    """``doc, at`` of the later lines of pairs that match.
+
+    The sets are fetched once. Each line is compared with its earliest partner first, which
+    settles most that match; only the others meet the rest of their partners.
+    """
     ends = pairs.select("doc", "at").unionByName(pairs.select(F.col("a_doc").alias("doc"), F.col("a_at").alias("at")))
     sets = written(_sets(rows, _line_filter(ends)))
+    earliest = pairs.groupBy("doc", "at").agg(F.min(F.struct("a_doc", "a_at")).alias("a")).select("doc", "at", "a.*")
+    found = written(_matching(earliest, sets, threshold))
+    others = pairs.join(found, ["doc", "at"], "left_anti").select("a_doc", "a_at", "doc", "at")
+    return found.unionByName(written(_matching(others, sets, threshold)))
+
+
+def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``doc, at`` of the later lines of the pairs whose sets match."""
     earlier = sets.select(F.col("doc").alias("_a_doc"), F.col("at").alias("_a_at"), F.col("words").alias("_a"))
     later = sets.select(F.col("doc").alias("_b_doc"), F.col("at").alias("_b_at"), F.col("words").alias("_b"))
     both = pairs.join(later, (F.col("doc") == F.col("_b_doc")) & (F.col("at") == F.col("_b_at"))).join(
@@ -564,19 +601,16 @@ def dedup_lines(
     gives an empty result. The two new columns replace columns of those names; any other extra
     column is passed through.
     """
-    rows = _identified(docs, id_col, text_col)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs, key, within = _keyed(docs, id_col, text_col)
+    rows = _numbered(docs, key, within, text_col)
     gone = repeated_lines(rows, threshold)
     numbers, doc, part = fresh(docs, "__gone", "__doc", "__part")
     lists = gone.groupBy(F.col("doc").alias(doc), F.shiftright("at", 32).alias(part)).agg(
         F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(numbers)
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(
-        lists,
-        (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc))
-        & (F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)) == F.col(part)),
-        "left",
-    )
+    joined = docs.join(lists, (key == F.col(doc)) & (within == F.col(part)), "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, numbered: pd.Series) -> pd.Series:
@@ -590,7 +624,6 @@ def dedup_lines(
     kept = F.when(changed, without(F.when(changed, text).otherwise(""), F.coalesce(numbers, F.array().cast("array<int>")))).otherwise(
         F.col(text_col)
     )
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in own],
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),

@@ -264,6 +264,24 @@ def test_long_texts_are_cut_at_lines(monkeypatch):
     assert {d: "\n".join(lines[k] for k in sorted(lines)) for d, lines in got.items()} == dict(enumerate(texts))
 
 
+def test_texts_of_one_id_with_equal_hash_bits_are_told_apart(spark):
+    """A text must not lose the lines of another one of its id whose hash has the same 31 bits."""
+    made = spark.range(0, 400_000, 1, 4).select(F.concat_ws(" ", F.lit("p"), "id", F.col("id") * 7, F.lit("q")).alias("text"))
+    bits = made.withColumn("part", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
+    met = bits.groupBy("part").agg(F.collect_list("text").alias("texts")).filter("size(texts) > 1").limit(3).collect()
+    assert met
+    for doc_id in (None, 5):
+        rows = []
+        for row in met:
+            for text in row.texts:
+                rows += [(doc_id, text), (doc_id, " ".join(reversed(text.split())))]
+        result = lines_of(spark.createDataFrame(rows, "doc_id LONG, text STRING").withColumn("__number", F.lit(1))).collect()
+        assert len(result) == len(rows) and "__number" in result[0].asDict()
+        # Of each text and its reversal one stays.
+        kept = sorted(" ".join(sorted(r.text.split())) for r in result if r.text)
+        assert kept == sorted(" ".join(sorted(text.split())) for row in met for text in row.texts)
+
+
 def test_line_dedup_of_odd_rows(spark, odd_docs):
     rows = odd_docs.collect()
     order = sorted(
