@@ -49,6 +49,8 @@ FIRST = 4
 BLOCK = 4096
 # Bits of the filter that says which lines to fetch for verification.
 FILTER_BITS = 23
+# Integers of parities by which pairs are sifted before their sets meet.
+LANES = 8
 NO_ID = -(1 << 63)
 
 # Odd, so that it has an inverse modulo 2**64.
@@ -137,6 +139,16 @@ class LineSets:
         return one, two, bits
 
 
+    def parities(self) -> np.ndarray:
+        """For each line the parities of its words in ``LANES`` times 64 places, a row of integers."""
+        out = np.zeros((len(self.start), LANES), dtype=np.uint64)
+        if len(self.start):
+            lane, bit = (self.words >> np.uint64(6)) % np.uint64(LANES), np.uint64(1) << (self.words & np.uint64(63))
+            for k in range(LANES):
+                out[:, k] = np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), self.start)
+        return out.view(np.int64)
+
+
 def _chunks(batch: pd.DataFrame) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     """Pieces of about ``CHUNK_BYTES``, with document and place (part and number) of each line."""
     pieces: list[bytes] = []
@@ -520,7 +532,7 @@ def _line_filter(lines: DataFrame) -> bytes:
 
 
 def _sets(rows: DataFrame, wanted: bytes) -> DataFrame:
-    """``doc, at, words`` of the lines that the filter lets through."""
+    """``doc, at, words, odd`` of the lines that the filter lets through."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(np.frombuffer(wanted, dtype=np.uint8)).view(bool)
@@ -535,26 +547,45 @@ def _sets(rows: DataFrame, wanted: bytes) -> DataFrame:
                 sets = LineSets(b"\n".join(lines[k] for k in chosen), plain)
                 own = chosen[sets.line]
                 words = [sets.words[a : a + n].view(np.int64) for a, n in zip(sets.start, sets.size)]
-                yield pd.DataFrame({"doc": docs[own], "at": ats[own], "words": words})
+                yield pd.DataFrame({"doc": docs[own], "at": ats[own], "words": words, "odd": list(sets.parities())})
 
     # Rows that repeat an id and a text are one.
-    return rows.mapInPandas(fetch, "doc long, at long, words array<long>").dropDuplicates(["doc", "at"])
+    fetched = rows.mapInPandas(fetch, "doc long, at long, words array<long>, odd array<long>")
+    return fetched.dropDuplicates(["doc", "at"])
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """``doc, at`` of the later lines of pairs that match.
 
-    The sets are fetched once. Each line is compared with its earliest partner first, which
-    settles most that match; only the others meet the rest of their partners.
+    The sets are fetched once. Pairs are sifted by the parities of their words: a place where
+    two sets differ in parity has a word that only one of them has, so the words in common are
+    at most what that leaves, and no match is lost. Each line that is left is compared with
+    its earliest partner first, which settles nearly all; only the others meet the rest.
     """
     ends = pairs.select("doc", "at").unionByName(pairs.select(F.col("a_doc").alias("doc"), F.col("a_at").alias("at")))
     sets = written(_sets(rows, _line_filter(ends)))
+    pairs = written(_sifted(pairs, sets, threshold))
     earliest = pairs.groupBy("doc", "at").agg(F.min(F.struct("a_doc", "a_at")).alias("a")).select("doc", "at", "a.*")
     found = written(_matching(earliest, sets, threshold))
     others = pairs.join(found, ["doc", "at"], "left_anti").select("a_doc", "a_at", "doc", "at")
     return found.unionByName(written(_matching(others, sets, threshold)))
 
 
+def _sifted(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that may match by the parities of their sets."""
+    narrow = sets.select("doc", "at", F.size("words").alias("n"), "odd")
+    earlier = narrow.select(*(F.col(c).alias(f"_a_{c}") for c in narrow.columns))
+    later = narrow.select(*(F.col(c).alias(f"_b_{c}") for c in narrow.columns))
+    both = pairs.join(later, (F.col("doc") == F.col("_b_doc")) & (F.col("at") == F.col("_b_at"))).join(
+        earlier, (F.col("a_doc") == F.col("_a_doc")) & (F.col("a_at") == F.col("_a_at"))
+    )
+    apart = sum(F.bit_count(F.col("_a_odd")[k].bitwiseXOR(F.col("_b_odd")[k])) for k in range(LANES))
+    whole = F.col("_a_n") + F.col("_b_n")
+    return both.filter((whole - apart) / 2 >= whole * (threshold / (1 + threshold)) - 1e-6).select(
+        "a_doc", "a_at", "doc", "at"
+    )
+
+
 def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``doc, at`` of the later lines of the pairs whose sets match."""
     earlier = sets.select(F.col("doc").alias("_a_doc"), F.col("at").alias("_a_at"), F.col("words").alias("_a"))

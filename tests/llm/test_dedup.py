@@ -243,6 +243,18 @@ def test_filters_let_every_match_through():
         assert met[0] and (all(met) if leads[0] != leads[1] else not any(met[1:]))
 
 
+def test_parities_never_understate_the_words_in_common():
+    pick = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    lines = [" ".join(pick.choices(words, k=pick.randint(1, 300))) for _ in range(60)]
+    sets = linededup.LineSets("\n".join(lines).encode(), np.zeros(1 << linededup.BUCKET_BITS, dtype=np.uint8))
+    odd, own = sets.parities().view(np.uint64), [set(line.split()) for line in lines]
+    for a in range(60):
+        for b in range(a):
+            apart = int(np.bitwise_count(odd[a] ^ odd[b]).sum())
+            assert len(own[a] & own[b]) <= (len(own[a]) + len(own[b]) - apart) / 2
+
+
 def test_words_are_hashed_alike_wherever_they_stand():
     data = "The cat\n\n  a CAT the\tdog\x0bthe\r\nété Cat".encode()
     hashes, lines = linededup.word_hashes(data)
