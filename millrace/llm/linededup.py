@@ -334,21 +334,27 @@ PREFIX_SCHEMA = (
 )
 
 
-def _blocks(firsts: DataFrame) -> np.ndarray:
-    """For each bucket of words, in how many blocks the lines of one of its words are dealt."""
+def _prefix_counts(firsts: DataFrame) -> np.ndarray:
+    """For each bucket of words, in how many prefixes its words are."""
 
     def words(batch: pd.DataFrame) -> Iterator[np.ndarray]:
         if len(batch):
             yield np.concatenate(batch["tokens"].tolist()).astype(np.int64).view(np.uint64)
 
-    return np.maximum(1, -(-_bucket_counts(firsts.select("tokens"), words) // BLOCK))
+    return _bucket_counts(firsts.select("tokens"), words)
 
 
-def _prefixes(firsts: DataFrame, blocks: np.ndarray) -> DataFrame:
+def _blocks(firsts: DataFrame) -> np.ndarray:
+    """For each bucket of words, in how many blocks the lines of one of its words are dealt."""
+    return np.maximum(1, -(-_prefix_counts(firsts) // BLOCK))
+
+
+def _prefixes(firsts: DataFrame, blocks: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
     """A row per prefix word of each line and pair of blocks that it is in; ``firsts`` has ``every``.
 
     ``shape`` is the size of the set and the place of the word, ``lead`` the rarest word
     of the line, ``bits`` the parities of the words, ``left`` and ``right`` the blocks.
+    With ``wanted``, only words of those buckets enter.
     """
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,7 +365,12 @@ def _prefixes(firsts: DataFrame, blocks: np.ndarray) -> DataFrame:
             token = np.concatenate(batch["tokens"].tolist()).astype(np.int64)
             row = np.repeat(np.arange(len(batch)), k)
             begin = np.cumsum(k) - k
-            place = np.arange(len(row)) - begin[row]
+            place, leads = np.arange(len(row)) - begin[row], token[begin]
+            if wanted is not None:
+                enters = np.flatnonzero(wanted[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)])
+                if not len(enters):
+                    continue
+                token, row, place = token[enters], row[enters], place[enters]
             doc, at = batch["doc"].to_numpy(), batch["at"].to_numpy()
             many = blocks[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             own = _block(doc[row], at[row], many)
@@ -378,7 +389,7 @@ def _prefixes(firsts: DataFrame, blocks: np.ndarray) -> DataFrame:
                         "doc": doc[r],
                         "at": at[r],
                         "shape": (batch["size"].to_numpy()[r] << 32) | place[each],
-                        "lead": token[begin[r]],
+                        "lead": leads[r],
                         "bits": batch["bits"].to_numpy()[r],
                         "every": batch["every"].to_numpy(dtype=bool)[r],
                     }
@@ -615,7 +626,9 @@ def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
             (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l")),
             "left",
         ).withColumn("every", F.coalesce("_every", F.lit(False)))
-        again = _candidates(_prefixes(marked, blocks), threshold, blocks).select("a_doc", "a_at", "doc", "at").distinct()
+        # Only words of lines that get all their partners can bring them together.
+        wanted = _prefix_counts(marked.filter("every")) > 0
+        again = _candidates(_prefixes(marked, blocks, wanted), threshold, blocks).select("a_doc", "a_at", "doc", "at").distinct()
         of_rest = written(again.join(rest, ["doc", "at"], "left_semi").select("a_doc", "a_at", "doc", "at"))
         found = found.unionByName(_verified(rows, of_rest, threshold))
     return written(sure.unionByName(found).distinct())
