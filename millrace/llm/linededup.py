@@ -25,7 +25,8 @@ A word that many different lines have in their prefixes is dealt in blocks of ab
 all lines of a word. How many blocks is told by sums over buckets of words.
 
 A line that many earlier ones may match is first checked against the ``FIRST`` earliest of
-them at each word; only if none of these matches, against all.
+them at each word; only if none of these matches, against all at the words that have more.
+Into that second round a line enters only the words at which such a line of a like size is met.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ BLOCK = 4096
 FILTER_BITS = 23
 # Integers of parities by which pairs are sifted before their sets meet.
 LANES = 8
+# Pairs of lines whose parities are compared at once.
+TILE = 1 << 16
 NO_ID = -(1 << 63)
 
 # Odd, so that it has an inverse modulo 2**64.
@@ -349,15 +352,43 @@ def _blocks(firsts: DataFrame) -> np.ndarray:
     return np.maximum(1, -(-_prefix_counts(firsts) // BLOCK))
 
 
-def _prefixes(firsts: DataFrame, blocks: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+def _size_class(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Sizes of lines that match are in one class or in adjacent ones, at any threshold above zero."""
+    return np.floor(np.log(size) / -np.log(threshold) + 1e-9).astype(np.int64) if threshold < 1 else size
+
+
+def _met(token: np.ndarray, size_class: np.ndarray) -> np.ndarray:
+    """The bit of a word among lines of a size class."""
+    return _bit(token, size_class).astype(np.int64)
+
+
+def _met_filter(marked: DataFrame, threshold: float) -> bytes:
+    """A bitmap of fixed size that knows the words of ``again`` with the size classes that may match there."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                n = batch["again"].map(len).to_numpy()
+                token = np.concatenate(batch["again"].tolist()).astype(np.int64)
+                near = np.repeat(_size_class(batch["size"].to_numpy(), threshold), n)
+                yield pd.DataFrame({"doc": np.tile(token, 3), "at": np.r_[near - 1, near, near + 1]})
+
+    return _line_filter(marked.filter("size(again) > 0").select("size", "again").mapInPandas(mark, "doc long, at long"))
+
+
+def _prefixes(
+    firsts: DataFrame, blocks: np.ndarray, wanted: bytes | None = None, threshold: float = 0.8
+) -> DataFrame:
     """A row per prefix word of each line and pair of blocks that it is in; ``firsts`` has ``every``.
 
     ``shape`` is the size of the set and the place of the word, ``lead`` the rarest word
     of the line, ``bits`` the parities of the words, ``left`` and ``right`` the blocks.
-    With ``wanted``, only words of those buckets enter.
+    With ``wanted``, a filter of words and size classes, only what it lets through enters,
+    and ``firsts`` has ``again`` instead: the words at which a line gets all its partners.
     """
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passes = None if wanted is None else np.unpackbits(np.frombuffer(wanted, dtype=np.uint8)).view(bool)
         for batch in batches:
             if not len(batch):
                 continue
@@ -366,11 +397,16 @@ def _prefixes(firsts: DataFrame, blocks: np.ndarray, wanted: np.ndarray | None =
             row = np.repeat(np.arange(len(batch)), k)
             begin = np.cumsum(k) - k
             place, leads = np.arange(len(row)) - begin[row], token[begin]
-            if wanted is not None:
-                enters = np.flatnonzero(wanted[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)])
+            if passes is None:
+                every = batch["every"].to_numpy(dtype=bool)[row]
+            else:
+                enters = np.flatnonzero(passes[_met(token, _size_class(batch["size"].to_numpy(), threshold)[row])])
                 if not len(enters):
                     continue
                 token, row, place = token[enters], row[enters], place[enters]
+                again = batch["again"].map(len).to_numpy()
+                marks = _mixed(np.repeat(np.arange(len(batch)), again), np.concatenate(batch["again"].tolist()).astype(np.int64))
+                every = np.isin(_mixed(row, token), marks)
             doc, at = batch["doc"].to_numpy(), batch["at"].to_numpy()
             many = blocks[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             own = _block(doc[row], at[row], many)
@@ -391,11 +427,12 @@ def _prefixes(firsts: DataFrame, blocks: np.ndarray, wanted: np.ndarray | None =
                         "shape": (batch["size"].to_numpy()[r] << 32) | place[each],
                         "lead": leads[r],
                         "bits": batch["bits"].to_numpy()[r],
-                        "every": batch["every"].to_numpy(dtype=bool)[r],
+                        "every": every[each],
                     }
                 )
 
-    return firsts.select("doc", "at", "size", "bits", "tokens", "every").mapInPandas(enter, PREFIX_SCHEMA)
+    marks = "every" if wanted is None else "again"
+    return firsts.select("doc", "at", "size", "bits", "tokens", marks).mapInPandas(enter, PREFIX_SCHEMA)
 
 
 def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float):
@@ -414,39 +451,57 @@ def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float)
     return ok & (na + nb - apart >= 2 * needed)
 
 
-PAIR_SCHEMA = "a_doc long, a_at long, doc long, at long, more boolean"
+# ``more``: the line has further partners at the word ``token``; one of its pairs says so.
+PAIR_SCHEMA = "a_doc long, a_at long, doc long, at long, more boolean, token long"
 
 
-def _pairs(doc, at, a, b, more) -> pd.DataFrame:
+def _pairs(doc, at, a, b, more=False, token=0) -> pd.DataFrame:
     return pd.DataFrame(
-        {"a_doc": doc[a], "a_at": at[a], "doc": doc[b], "at": at[b], "more": np.broadcast_to(more, len(a))}
-    )
+        {
+            "a_doc": doc[a], "a_at": at[a], "doc": doc[b], "at": at[b],
+            "more": np.broadcast_to(more, len(a)), "token": np.where(more, np.int64(token), np.int64(0)) + np.zeros(len(a), dtype=np.int64),
+        }
+    )
 
 
-def _run_pairs(doc, at, shape, lead, bits, every, threshold, block=None) -> Iterator[pd.DataFrame]:
+def _run_pairs(
+    doc, at, shape, lead, bits, every, threshold, block=None, token=0, again=False
+) -> Iterator[pd.DataFrame]:
     """Pairs in a long run of one word, sorted by place in the corpus: the ``FIRST`` earliest of each line.
 
-    ``every`` marks the lines that get all of theirs. With ``block``, pairs of lines of two blocks.
+    ``every`` marks the lines that get all of theirs, and with ``again`` no others are asked for.
+    With ``block``, pairs of lines of two blocks. Lines are compared in the order of their
+    sizes with those whose sizes may match, by parities first, in tiles of fixed size.
     """
-    for start in range(1, len(doc), 256):
-        rows = np.arange(start, min(start + 256, len(doc)))
-        left = slice(0, rows[-1])
-        ok = _allowed(
-            shape[None, left], shape[rows][:, None], lead[None, left], lead[rows][:, None],
-            bits[None, left], bits[rows][:, None], threshold,
-        )
-        ok &= np.arange(rows[-1])[None] < rows[:, None]
-        ok &= (doc[None, left] != doc[rows][:, None]) | (at[None, left] != at[rows][:, None])
+    size = shape >> 32
+    by_size = np.argsort(size, kind="stable")
+    sorted_size = size[by_size]
+    # Of the words of both, at most this share may be in only one.
+    odd = size * ((1 - threshold) / (1 + threshold)) + 1e-6
+    asked = by_size[every[by_size]] if again else by_size
+    start = 0
+    while start < len(asked):
+        low = np.searchsorted(sorted_size, threshold * size[asked[start]] - 1e-6)
+        stop = min(len(asked), start + max(1, TILE // max(1, len(doc) - low)))
+        high = np.searchsorted(sorted_size, size[asked[stop - 1]] / threshold + 1e-6, side="right")
+        rows, left = asked[start:stop], np.sort(by_size[low:high])
+        start = stop
+        apart = np.bitwise_count((bits[left][None] ^ bits[rows][:, None]).view(np.uint64))
+        r, a = np.nonzero((odd[left][None] + odd[rows][:, None] >= apart) & (left[None] < rows[:, None]))
+        i, j = left[a], rows[r]
+        ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold)
+        ok &= (doc[i] != doc[j]) | (at[i] != at[j])
         if block is not None:
-            ok &= block[None, left] != block[rows][:, None]
-        if ok.any():
-            so_far = np.cumsum(ok, axis=1)
-            more = (so_far[:, -1] > FIRST) & ~every[rows]
-            r, a = np.nonzero(ok & ((so_far <= FIRST) | every[rows][:, None]))
-            yield _pairs(doc, at, a, rows[r], more[r])
+            ok &= block[i] != block[j]
+        r, i, j = r[ok], i[ok], j[ok]
+        if len(r):
+            nth = np.arange(len(r)) - np.searchsorted(r, r)
+            more = (np.bincount(r, minlength=len(rows)) > FIRST)[r] & ~every[j] & (nth == 0)
+            kept = (nth < FIRST) | every[j]
+            yield _pairs(doc, at, i[kept], j[kept], more[kept], token)
 
 
-def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray) -> pd.DataFrame:
+def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray, again: bool = False) -> pd.DataFrame:
     """Pairs within each run of one word and pair of blocks."""
     token, left, right, doc, at, shape, lead, bits = (
         frame[c].to_numpy() for c in ("token", "left", "right", "doc", "at", "shape", "lead", "bits")
@@ -454,7 +509,7 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray) ->
     every = frame["every"].to_numpy(dtype=bool)
     n = len(token)
     none = np.zeros(0, dtype=np.int64)
-    parts = [_pairs(doc, at, none, none, False)]
+    parts = [_pairs(doc, at, none, none)]
     if n > 1:
         many = blocks[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
         block = _block(doc, at, many)
@@ -474,16 +529,20 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray) ->
             ok &= (doc[i] != doc[j]) | (at[i] != at[j])
             # Lines of one block meet in its pair with itself.
             ok &= (left[i] == right[i]) | (block[i] != block[j])
-            parts.append(_pairs(doc, at, i[ok], j[ok], False))
+            if again:
+                ok &= every[j]
+            parts.append(_pairs(doc, at, i[ok], j[ok]))
         for run in np.flatnonzero(length > SHORT_RUN):
             part = slice(first[run], first[run] + length[run])
             two = None if left[first[run]] == right[first[run]] else block[part]
-            parts += _run_pairs(doc[part], at[part], shape[part], lead[part], bits[part], every[part], threshold, two)
+            parts += _run_pairs(
+                doc[part], at[part], shape[part], lead[part], bits[part], every[part], threshold, two, token[first[run]], again
+            )
     return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
 
 
-def _candidates(prefixes: DataFrame, threshold: float, blocks: np.ndarray) -> DataFrame:
-    """Pairs of an earlier and a later line that the filters let through."""
+def _candidates(prefixes: DataFrame, threshold: float, blocks: np.ndarray, again: bool = False) -> DataFrame:
+    """Pairs of an earlier and a later line that the filters let through; with ``again`` of lines that get every one."""
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -496,9 +555,9 @@ def _candidates(prefixes: DataFrame, threshold: float, blocks: np.ndarray) -> Da
             others = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
             cut = int(others[-1]) + 1 if len(others) else 0
             held, whole = frame.iloc[cut:], frame.iloc[:cut]
-            yield _bucket_pairs(whole, threshold, blocks)
+            yield _bucket_pairs(whole, threshold, blocks, again)
         if held is not None:
-            yield _bucket_pairs(held, threshold, blocks)
+            yield _bucket_pairs(held, threshold, blocks, again)
 
     met = prefixes.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "doc", "at")
     return met.mapInPandas(pair, PAIR_SCHEMA)
@@ -617,19 +676,23 @@ def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
     prefixes = _prefixes(firsts.withColumn("every", F.lit(False)), blocks)
     pairs = written(_candidates(prefixes, threshold, blocks).distinct())
     found = written(_verified(rows, pairs.select("a_doc", "a_at", "doc", "at").distinct(), threshold))
+    # The words at which a line has partners that it was not checked against.
     rest = written(
-        pairs.filter("more").select("doc", "at").distinct().join(found, ["doc", "at"], "left_anti")
+        pairs.filter("more").join(found, ["doc", "at"], "left_anti").groupBy("doc", "at").agg(
+            F.collect_set("token").alias("again")
+        )
     )
     if not rest.isEmpty():
-        marked = firsts.join(
-            rest.select(F.col("doc").alias("_d"), F.col("at").alias("_l"), F.lit(True).alias("_every")),
-            (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l")),
-            "left",
-        ).withColumn("every", F.coalesce("_every", F.lit(False)))
-        # Only words of lines that get all their partners can bring them together.
-        wanted = _prefix_counts(marked.filter("every")) > 0
-        again = _candidates(_prefixes(marked, blocks, wanted), threshold, blocks).select("a_doc", "a_at", "doc", "at").distinct()
-        of_rest = written(again.join(rest, ["doc", "at"], "left_semi").select("a_doc", "a_at", "doc", "at"))
+        named = rest.select(F.col("doc").alias("_d"), F.col("at").alias("_l"), "again")
+        marked = written(
+            firsts.join(named, (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l")), "left").select(
+                "doc", "at", "size", "bits", "tokens", F.coalesce("again", F.array().cast("array<long>")).alias("again")
+            )
+        )
+        entered = _prefixes(marked, blocks, _met_filter(marked, threshold), threshold)
+        of_rest = written(
+            _candidates(entered, threshold, blocks, True).select("a_doc", "a_at", "doc", "at").distinct()
+        )
         found = found.unionByName(_verified(rows, of_rest, threshold))
     return written(sure.unionByName(found).distinct())
 
