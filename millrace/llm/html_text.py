@@ -4,15 +4,25 @@ The markup is stripped so that each block element becomes a line. Every line has
 weight, the length of its text outside of links, and none if it stands in an element
 that holds no main text by its kind (navigation, scripts, ...) or by its name
 (sidebar, cookie notice, comments, ...). Sums of the weights over sliding windows of
-lines rise at a surge point and fall at a dive point, on every page; the stretches
-between the two that weigh enough beside the heaviest are the main text, from the first
-to the last, with all that lies between, lines of links included.
-
-Kinds and names are weights only. A line of an ``article`` or ``main`` that has at least
-half of the page's text weighs ``SURGE`` more, and beside it short lines weigh nothing.
+lines rise at a surge point and fall at a dive point, on every page; the text from the first
+surge to the last dive is the main text, with all that lies between, lines of links included.
+
+The body of the text is the innermost element, other than a paragraph, with ``MOST`` of the
+weight, unless it is the whole page. Lines of its own before the first surge and after the last
+dive are main text too, such as a short conclusion behind a list of links. A stretch between a
+surge and a dive outside of the body is left out if it has less than ``STRETCH_SHARE`` of the
+heaviest one's weight, as the small print of a page.
+
+Lines in silenced elements take no part in the windows. A line of an ``article`` or ``main``
+that has at least half of the page's text weighs ``SURGE`` more, and beside it short lines
+weigh nothing.
+A name is boilerplate if all of its words are of that kind or go with such words, or if its first or
+last word is ``SURE_WORDS``, whatever stands beside it, unless the name says the contrary
+(``no-sidebar``).
 An element silenced by kind or name is heard after all if the article text that it has is
 more than that outside of such elements and no less than half of all text there, or, if
-there is no article text outside, if it has ``MOST`` of the page's text.
+there is no article text outside, if it has ``MOST`` of the page's text; one named after reader
+comments only if next to nothing stands outside.
 In a form, short lines are the names of fields.
 """
 
@@ -58,6 +68,17 @@ NAME_WORDS = frozenset(
     "area bar block box btn button buttons col column container group icons item items links list panel row "
     "section slot text unit wrap wrapper header form posts articles stories content".split()
 )
+# Words that tell by themselves, at the beginning or the end of a name.
+SURE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist "
+    "disqus cookie cookies gdpr notice notices footer sidebar sidebars menu menus navbar navigation promo promos "
+    "promoted sponsor sponsored sponsors newsletter pagination pager masthead topbar toolbar popup".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+# Words that turn a name into its contrary.
+CONTRARY = frozenset("has no not with without hide hoc".split())
+# Blocks that hold a line or a few, and are no body of a text.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption address html".split())
 ARTICLE_WORDS = frozenset("entry post article content story section".split())
 # Names of their own that say text, whatever other names the element has.
 TEXT_NAMES = frozenset("entry post article content story".split())
@@ -70,7 +91,7 @@ STRUCTURE = frozenset(("html", "body", "article", "main"))
 WINDOW = 3
 # A window with so much text surges.
 SURGE = 60
-# A stretch of this share of the heaviest one's weight is main text too.
+# A stretch outside of the body with this share of the heaviest one's weight is main text too.
 STRETCH_SHARE = 0.05
 # An element with so much of the page's text is the page.
 MOST = 2 / 3
@@ -87,11 +108,12 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class _Silent:
     """An element that holds no main text, unless it proves to hold most of it."""
 
-    __slots__ = ("outer", "form", "mains", "size", "main", "heard")
+    __slots__ = ("outer", "form", "comments", "mains", "size", "main", "heard")
 
-    def __init__(self, outer: _Silent | None, form: bool, mains: int):
+    def __init__(self, outer: _Silent | None, form: bool, comments: bool, mains: int):
         self.outer = outer
         self.form = form
+        self.comments = comments
         # Articles around it, which are none that it holds.
         self.mains = mains
         self.size = self.main = 0
@@ -99,19 +121,31 @@ class _Silent:
 
 
 class _Line:
-    __slots__ = ("pieces", "linked", "silent", "mains")
+    __slots__ = ("pieces", "linked", "silent", "mains", "node")
 
-    def __init__(self, silent: _Silent | None, mains: int):
+    def __init__(self, silent: _Silent | None, mains: int, node: int):
         self.pieces: list[str] = []
         self.linked = 0
         self.silent = silent
         self.mains = mains
+        self.node = node
 
 
 def _boilerplate_name(name: str) -> bool:
-    """A whole name of boilerplate words and such that go with them, not one that has such a word in it."""
+    """A name of boilerplate words and such that go with them, or one that begins or ends with a sure one."""
     words = [w.lower() for w in _NAME_PART.findall(name)]
-    return any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in NAME_WORDS for w in words)
+    if any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in NAME_WORDS for w in words):
+        return True
+    return bool(words) and not CONTRARY.intersection(words) and not SURE_WORDS.isdisjoint((words[0], words[-1]))
+
+
+def _names(attributes: str) -> list[str]:
+    found = _ATTRIBUTE.findall(attributes)
+    return [each for name, *value in found if name.lower() in ("class", "id") for each in "".join(value).split()]
+
+
+def _names_comments(attributes: str) -> bool:
+    return any(w.lower() in COMMENT_WORDS for name in _names(attributes) for w in _NAME_PART.findall(name))
 
 
 def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
@@ -122,9 +156,7 @@ def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
     if not attributes or tag in STRUCTURE:
         return False
     found = _ATTRIBUTE.findall(attributes)
-    names = [
-        each for name, *value in found if name.lower() in ("class", "id") for each in "".join(value).split()
-    ]
+    names = _names(attributes)
     says_text = any(each.lower() in TEXT_NAMES for each in names)
     if not says_text and any(_boilerplate_name(each) for each in names):
         return True
@@ -145,22 +177,27 @@ def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines of a page: (text, characters in links, not in boilerplate, inside an article)."""
+def page_lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]:
+    """The lines of a page and its tree of blocks.
+
+    A line: (text, characters in links, not in boilerplate, inside an article, its block). Blocks are
+    numbered in the order in which they begin, paragraphs left out; the list has the one around each.
+    """
     lines: list[_Line] = []
-    # (tag, boilerplate, article) of each open element.
-    stack: list[tuple[str, bool, bool]] = []
+    # (tag, boilerplate, article, block around it) of each open element.
+    stack: list[tuple[str, bool, bool, int]] = []
+    parents, node = [0], 0
     silents: list[_Silent] = []
     silent: _Silent | None = None
     links = mains = 0
-    line = _Line(None, 0)
+    line = _Line(None, 0, 0)
     at, end = 0, len(page)
 
     def finish() -> None:
         nonlocal line
         if line.pieces:
             lines.append(line)
-        line = _Line(silent, mains)
+        line = _Line(silent, mains, node)
 
     def text(piece: str) -> None:
         if piece:
@@ -169,10 +206,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 line.linked += len(piece.strip())
 
     def pop_to(depth: int) -> None:
-        nonlocal silent, links, mains
+        nonlocal silent, links, mains, node
         block = False
         while len(stack) > depth:
-            tag, boilerplate, main = stack.pop()
+            tag, boilerplate, main, node = stack.pop()
             if boilerplate:
                 silent = silent.outer
             mains -= main
@@ -232,9 +269,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         main = tag in ("article", "main")
         boilerplate = _is_boilerplate(tag, attributes, bool(mains))
-        stack.append((tag, boilerplate, main))
+        stack.append((tag, boilerplate, main, node))
+        if tag not in INLINE and tag not in PARAGRAPHS:
+            parents.append(node)
+            node = len(parents) - 1
         if boilerplate:
-            silent = _Silent(silent, tag == "form", mains)
+            silent = _Silent(silent, tag == "form", _names_comments(attributes), mains)
             silents.append(silent)
         mains += main
         links += tag == "a"
@@ -251,8 +291,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         while around is not None and kept:
             kept = around.heard or (around.form and len(words) - each.linked >= SURGE)
             around = around.outer
-        out.append((words, each.linked, kept, bool(each.mains)))
-    return out
+        out.append((words, each.linked, kept, bool(each.mains), each.node))
+    return out, parents
 
 
 def _hear(lines: list[tuple[str, _Line]], silents: list[_Silent]) -> None:
@@ -271,25 +311,54 @@ def _hear(lines: list[tuple[str, _Line]], silents: list[_Silent]) -> None:
             around = around.outer
     for each in silents:
         each.heard = (each.main > articles and 2 * each.main >= outside) or (
-            not articles and total > 0 and each.size >= MOST * total
+            not articles and total > 0 and each.size >= MOST * total and (not each.comments or total - each.size < SURGE)
         )
 
 
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, one a line."""
-    lines = [(words, linked, main) for words, linked, kept, main in page_lines(page or "") if kept]
-    own = [max(0, len(words) - linked) for words, linked, _ in lines]
-    inside = sum(n for n, (_, _, main) in zip(own, lines) if main)
+    every, parents = page_lines(page or "")
+    lines = [(words, linked, main, node) for words, linked, kept, main, node in every if kept]
+    own = [max(0, len(words) - linked) for words, linked, _, _ in lines]
+    inside = sum(n for n, (_, _, main, _) in zip(own, lines) if main)
     if inside and 2 * inside >= sum(own):
-        weights = [n + SURGE if main else n * (n >= SURGE) for n, (_, _, main) in zip(own, lines)]
+        weights = [n + SURGE if main else n * (n >= SURGE) for n, (_, _, main, _) in zip(own, lines)]
     else:
         weights = own
-    first, last = _surge_and_dive(weights, max(1, min(SURGE, max(weights, default=0))))
-    return "\n".join(words for words, _, _ in lines[first:last])
-
-
-def _surge_and_dive(weights: list[int], surge: int) -> tuple[int, int]:
-    """From the first to the last of the stretches that weigh enough, each from a surge to a dive point.
+    body = _body(parents, [node for *_, node in lines], weights, [node for *_, node in every])
+    # Of a line of the body that is mostly links nothing is told.
+    held = [k for k, (words, _, _, node) in enumerate(lines) if body and node in body and 2 * own[k] >= len(words)]
+    found = _stretches(weights, max(1, min(SURGE, max(weights, default=0))))
+    enough = STRETCH_SHARE * max((weight for weight, _, _ in found), default=0)
+    chosen = [(k, k + 1) for k in held if found] + [
+        (first, last)
+        for weight, first, last in found
+        if body is None or weight >= enough or any(lines[k][3] in body for k in range(first, last))
+    ]
+    if not chosen:
+        return ""
+    return "\n".join(line[0] for line in lines[min(c[0] for c in chosen) : max(c[1] for c in chosen)])
+
+
+def _body(parents: list[int], nodes: list[int], weights: list[int], every: list[int]) -> range | None:
+    """The innermost block with ``MOST`` of the weight, as the range of blocks in it; None if it is the whole page."""
+    weight, count, last = [0] * len(parents), [0] * len(parents), list(range(len(parents)))
+    for node, n in zip(nodes, weights):
+        weight[node] += n
+    for node in every:
+        count[node] += 1
+    for node in range(len(parents) - 1, 0, -1):
+        around = parents[node]
+        weight[around] += weight[node]
+        count[around] += count[node]
+        last[around] = max(last[around], last[node])
+    # Those with so much of it lie in each other.
+    inmost = max((node for node, n in enumerate(weight) if n and n >= MOST * weight[0]), default=0)
+    return range(inmost, last[inmost] + 1) if count[inmost] < len(every) else None
+
+
+def _stretches(weights: list[int], surge: int) -> list[tuple[int, int, int]]:
+    """The stretches from a surge to a dive point: (weight, first line, line after the last).
 
     A window surges with ``surge``, at a line with weight; text dives where a whole window
     has no weight, and the stretch ends at the last line before with a window that still surges.
@@ -308,9 +377,7 @@ def _surge_and_dive(weights: list[int], surge: int) -> tuple[int, int]:
             last -= 1
         found.append((sum(weights[at:last]), at, last))
         at = dive
-    enough = STRETCH_SHARE * max((weight for weight, _, _ in found), default=0)
-    heavy = [(first, last) for weight, first, last in found if weight >= enough]
-    return (heavy[0][0], heavy[-1][1]) if heavy else (0, 0)
+    return found
 
 
 def extract_main_text(
