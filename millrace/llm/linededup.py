@@ -44,7 +44,8 @@ BUCKET_BITS = 18
 SLICES = 64
 # Bytes of text whose lines are worked on at once; a longer line is worked on whole.
 CHUNK_BYTES = 1 << 19
-SHORT_RUN = 6
+# Runs of so many lines are compared all at once, shift by shift.
+SHORT_RUN = 64
 FIRST = 4
 # Lines of one word that meet in one group; more are dealt to pairs of blocks.
 BLOCK = 4096
@@ -459,7 +460,7 @@ def _pairs(doc, at, a, b, more=False, token=0) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "a_doc": doc[a], "a_at": at[a], "doc": doc[b], "at": at[b],
-            "more": np.broadcast_to(more, len(a)), "token": np.where(more, np.int64(token), np.int64(0)) + np.zeros(len(a), dtype=np.int64),
+            "more": np.broadcast_to(more, len(a)), "token": np.where(np.broadcast_to(more, len(a)), token, np.int64(0)),
         }
     )
 
@@ -473,11 +474,9 @@ def _run_pairs(
     With ``block``, pairs of lines of two blocks. Lines are compared in the order of their
     sizes with those whose sizes may match, by parities first, in tiles of fixed size.
     """
-    size = shape >> 32
+    size, odd = shape >> 32, _odd(shape, threshold)
     by_size = np.argsort(size, kind="stable")
     sorted_size = size[by_size]
-    # Of the words of both, at most this share may be in only one.
-    odd = size * ((1 - threshold) / (1 + threshold)) + 1e-6
     asked = by_size[every[by_size]] if again else by_size
     start = 0
     while start < len(asked):
@@ -495,10 +494,24 @@ def _run_pairs(
             ok &= block[i] != block[j]
         r, i, j = r[ok], i[ok], j[ok]
         if len(r):
-            nth = np.arange(len(r)) - np.searchsorted(r, r)
-            more = (np.bincount(r, minlength=len(rows)) > FIRST)[r] & ~every[j] & (nth == 0)
-            kept = (nth < FIRST) | every[j]
-            yield _pairs(doc, at, i[kept], j[kept], more[kept], token)
+            kept, more = _earliest(r, every[j])
+            yield _pairs(doc, at, i[kept], j[kept], more, token)
+
+
+def _odd(shape: np.ndarray, threshold: float) -> np.ndarray:
+    """Of two lines that match, the sum of these is at least the number of words that only one has."""
+    return (shape >> 32) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def _earliest(line: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs stay, of each line the ``FIRST`` or every one, and which of those say that there are more.
+
+    The pairs are sorted by ``line``.
+    """
+    first = np.searchsorted(line, line)
+    nth, many = np.arange(len(line)) - first, np.searchsorted(line, line, side="right") - first > FIRST
+    kept = np.flatnonzero((nth < FIRST) | every)
+    return kept, (many & ~every & (nth == 0))[kept]
 
 
 def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray, again: bool = False) -> pd.DataFrame:
@@ -520,18 +533,28 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray, aga
         some = np.repeat((length > 1) & (length <= SHORT_RUN), length)
         short = np.flatnonzero(some)
         of = np.repeat(np.arange(len(length)), length)[short]
+        odd, found = _odd(shape, threshold), []
         for shift in range(1, min(SHORT_RUN, len(short))):
             at_left = np.flatnonzero(of[shift:] == of[:-shift])
             if not len(at_left):
                 break
             i, j = short[at_left], short[at_left + shift]
+            ok = odd[i] + odd[j] >= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64))
+            if again:
+                ok &= every[j]
+            i, j = i[ok], j[ok]
             ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold)
             ok &= (doc[i] != doc[j]) | (at[i] != at[j])
             # Lines of one block meet in its pair with itself.
             ok &= (left[i] == right[i]) | (block[i] != block[j])
-            if again:
-                ok &= every[j]
-            parts.append(_pairs(doc, at, i[ok], j[ok]))
+            found.append((i[ok], j[ok]))
+        if found:
+            i, j = (np.concatenate(side) for side in zip(*found))
+            order = np.lexsort((i, j))
+            i, j = i[order], j[order]
+            kept, more = _earliest(j, every[j])
+            i, j = i[kept], j[kept]
+            parts.append(_pairs(doc, at, i, j, more, token[j]))
         for run in np.flatnonzero(length > SHORT_RUN):
             part = slice(first[run], first[run] + length[run])
             two = None if left[first[run]] == right[first[run]] else block[part]
