@@ -61,12 +61,14 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3, weights: tuple[int, .
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"):
     """``doc_id``, ``source``, ``size`` in words, and the keys of the shuffled order."""
+    an_id, text = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(text_col).alias("size"),
-        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_order"),
-        F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"),
+        # Rows without an id, or of one, lie apart by their texts.
+        F.md5(F.concat(F.lit("mix:"), an_id, F.lit(":"), text)).alias("_order"),
+        text.alias("_text"),
     )
 
 
@@ -74,12 +76,18 @@ def schedule(sizes: DataFrame, targets: DataFrame, max_repeats: int = 3) -> Data
     """Each copy that may be taken with its finish time.
 
     ``sizes`` as from ``document_sizes``; rows without words are left out. Adds
-    ``source_size``, ``target``, ``copy`` from 0 and ``finish``. Documents of equal
-    id are ordered by their text; whole rows that repeat follow each other.
+    ``source_size``, ``target``, ``copy`` from 0 and ``finish``. Whole rows that repeat
+    follow each other; they are counted first, and are one row until the last step.
     """
     bucket = F.substring("_order", 1, BUCKET_DIGITS)
-    rows = sizes.filter("size > 0").withColumn("_bucket", bucket)
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"))
+    rows = (
+        sizes.filter("size > 0")
+        .groupBy("source", "doc_id", "size", "_order", "_text")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_bucket", bucket)
+        .withColumn("_all", F.col("size") * F.col("_rows"))
+    )
+    sums = rows.groupBy("source", "_bucket").agg(F.sum("_all").alias("_size"))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(
         F.col("source").alias("_source"),
@@ -91,10 +99,11 @@ def schedule(sizes: DataFrame, targets: DataFrame, max_repeats: int = 3) -> Data
         .orderBy("_order", F.col("doc_id").asc_nulls_first(), "_text")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    own = rows.withColumn("_inside", F.sum("size").over(inside))
+    own = rows.withColumn("_inside", F.sum("_all").over(inside) - F.col("_all"))
     placed = own.join(
         bases, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_base_bucket"))
-    ).withColumn("_sum", F.col("_base") + F.col("_inside"))
+    ).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    placed = placed.withColumn("_sum", F.col("_base") + F.col("_inside") + F.col("_row") * F.col("size"))
     named = targets.select(F.col("source").alias("_target_source"), "source_size", "target")
     copies = placed.join(named, F.col("source").eqNullSafe(F.col("_target_source"))).withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))

@@ -148,7 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 MIXING_SQL = r"""
 WITH sized AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-           md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord, md5(coalesce(text, '')) AS txt
+           md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS ord, md5(coalesce(text, '')) AS txt
     FROM documents),
 named AS (
     SELECT source, sum(size)::BIGINT AS source_size,

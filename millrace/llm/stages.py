@@ -6,7 +6,7 @@ that column is there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import langid, linededup, mixing as mixer, packing as packer, simhash
 from millrace.llm.queries import held_out
@@ -18,7 +18,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without any letter (``und``) go.
 
     The prediction does not overrule a label, and a low score is no reason to go:
-    short clean texts have one.
+    short clean texts have one. Null, empty and blank texts have no letter. Rows are judged one by
+    one, so rows that repeat stay or go together; null ids, sources and labels matter only to
+    the sample that the classifier learns from. Without any labelled text every row with a letter
+    stays. Empty tables give empty ones; extra columns are passed through.
     """
     ship_package(spark)
     model = langid.train(docs, ~held_out()).first()
@@ -28,9 +31,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that match earlier ones; no document goes."""
+    """Documents without the lines that match earlier ones; no document goes.
+
+    Null and empty texts stay as they are. Rows without an id come first in the order, ties of id go by
+    a hash of the text, rows that repeat id and text lose the same lines. Empty tables give empty ones;
+    extra columns are passed through, ``n_lines`` and ``n_removed`` of the documents' own too.
+    """
     ship_package(spark)
-    cleaned = linededup.dedup_lines(docs).select(*docs.columns)
+    own = dict(zip(("n_lines", "n_removed"), fresh(docs, "__lines", "__removed")))
+    aside = docs.withColumnsRenamed({c: n for c, n in own.items() if c in docs.columns})
+    cleaned = linededup.dedup_lines(aside).drop(*own)
+    cleaned = cleaned.withColumnsRenamed({n: c for c, n in own.items()}).select(*docs.columns)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
     return cleaned
@@ -78,10 +89,16 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in the order of its queue: a document taken n times is there n times."""
+    """The mix in the order of its queue: a document taken n times is there n times.
+
+    Null, empty and blank texts have no words and are never taken; a null source is one of its own,
+    rows without an id are told apart by their texts. Of rows that repeat id, source and text the one
+    whose other columns come first as JSON stands for all. Empty tables give empty ones; extra columns
+    are passed through. Reruns agree.
+    """
     _, taken = mixer.mix(docs)
-    digest, row, finish, an_id, a_source, a_digest = fresh(
-        docs, "__digest", "__row", "__finish", "__id", "__source", "__text"
+    digest, whole, finish, an_id, a_source, a_digest = fresh(
+        docs, "__digest", "__whole", "__finish", "__id", "__source", "__text"
     )
     copies = taken.select(
         F.col("doc_id").alias(an_id),
@@ -89,12 +106,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("_text").alias(a_digest),
         F.col("finish").alias(finish),
     )
-    own = Window.partitionBy("doc_id", "source", digest).orderBy(F.lit(0))
-    # Rows that repeat wholly are taken one after the other; one of them stands for all.
+    # Of rows that repeat id, source and text one stands for all, told by its other columns.
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
     one = (
         docs.withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
-        .withColumn(row, F.row_number().over(own))
-        .filter(F.col(row) == 1)
+        .groupBy("doc_id", "source", digest)
+        .agg(F.min_by(F.struct(*docs.columns), others).alias(whole))
+        .select(f"{whole}.*", digest)
     )
     joined = one.join(
         copies,
@@ -107,6 +125,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of the documents goes in the packed sequences."""
+    """Where each piece of the documents goes in the packed sequences.
+
+    Null and empty texts are documents of the end id alone; null ids, ties and rows that repeat are
+    packed each. An empty table gives an empty result; extra columns are not looked at.
+    """
     ship_package(spark)
     return packer.pack(docs)
