@@ -20,12 +20,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The prediction does not overrule a label, and a low score is no reason to go:
     short clean texts have one. Null, empty and blank texts have no letter. Rows are judged one by
     one, so rows that repeat stay or go together; null ids, sources and labels matter only to
-    the sample that the classifier learns from. Without any labelled text every row with a letter
-    stays. Empty tables give empty ones; extra columns are passed through.
+    the sample that the classifier learns from. Without any labelled text nothing is learned and
+    every row with a letter stays. Empty tables give empty ones; extra columns are passed through.
     """
     ship_package(spark)
     model = langid.train(docs, ~held_out()).first()
     (name,) = fresh(docs, "__found")
+    if model is None or not len(model["languages"]):
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = docs.withColumn(name, langid.predicted(model, F.col("text")))
     return found.filter(F.col(name)["lang_pred"] != langid.UNKNOWN).drop(name)
 

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ import corpus_pipeline
 from millrace.llm import mixing, packing, queries, tokenfile
 from millrace.llm.tables import table, written
 from millrace.llm.tokens import WordMemoEncoder, tokenizer_path
+from test_dedup import plain_line_dedup, plain_simhash_dedup
 
 ODD = ["", "a", "  ", "a  b", "a \nb", "\n a", "a ", "<|endoftext|> x", "a<|endoftext|>b c", " a b", "é ß 日本 語",
        "don't I'm it's  'tis", "a\t b", "x  y", "x  y\x1c z", "1 22 333", "w.\nW w", "😀".encode("utf-16", "surrogatepass").decode("utf-16")]
@@ -212,5 +214,56 @@ def test_pipeline_stages(spark, odd_docs, encoder):
     assert corpus_pipeline.STAGES[0][1](spark, odd_docs.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("given", ["odd", "table"])
+def test_pipeline_stages_row_by_row(spark, odd_docs, encoder, given):
+    """What each stage keeps of its own input, against plain versions."""
+    docs = odd_docs if given == "odd" else table(spark, "/root/testdata/sf0.001", "documents")
+    rows = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.collect())
+    stage = dict(corpus_pipeline.STAGES)
+    told = written(stage["language_id"](spark, docs, ""))
+    assert rows(told) == Counter({k: n for k, n in rows(docs).items() if any(c.isalpha() for c in k[1] or "")})
+    lines = written(stage["line_dedup"](spark, told, ""))
+    order = sorted({k[:2] for k in rows(told)}, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    kept = plain_line_dedup([(k, k[1]) for k in order])
+    want = Counter()
+    for (doc_id, text, source), n in rows(told).items():
+        want[doc_id, kept[doc_id, text], source] += n
+    assert rows(lines) == want
+    single = written(stage["simhash_dedup"](spark, lines, ""))
+    of = Counter((i, t) for i, t, _ in rows(single).elements())
+    assert of == Counter(plain_simhash_dedup([k[:2] for k in rows(lines)])) and not rows(single) - rows(lines)
+    mixed = written(stage["mixing"](spark, single, ""))
+    con = duckdb.connect()
+    con.register("given", single.select("doc_id", "text", "source").toPandas())
+    con.execute("CREATE VIEW documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text, source FROM given")
+    taken = con.sql(f"SELECT doc_id, sum(taken) FROM ({queries.oracle_sql()['op9_mixing']}) GROUP BY ALL HAVING sum(taken) > 0")
+    words = Counter()
+    for (doc_id, text, _), n in rows(mixed).items():
+        words[doc_id] += n * len(text.encode().split())
+    assert words == {i: int(n) for i, n in taken.fetchall()} and set(rows(mixed)) <= set(rows(single))
+    check_packing([k[:2] for k in rows(mixed).elements()], stage["packing"](spark, mixed, "").collect(), encoder)
+
+
+def test_pipeline_stages_of_empty_tables_and_without_labels(spark, odd_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd_docs.limit(0), "").count() == 0, name
+    bare = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    found = corpus_pipeline.STAGES[0][1](spark, bare, "")
+    assert {r.doc_id for r in found.collect()} == {1, 2, None, 7, 8}
+    aside = corpus_pipeline.STAGES[1][1](spark, odd_docs, "")
+    assert {(r.n_lines, r.fp) for r in aside.collect()} == {("x", "x")}
+
+
+def test_mixing_counts_rows_without_id_before_ranking(spark):
+    """A third of the rows has no id: their order is spread by their texts, and copies are one row of it."""
+    rows = [(None if i % 3 == 0 else i, f"text {i}", "a") for i in range(900)] + [(None, "copy of it", "b")] * 300
+    sizes = mixing.document_sizes(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING"))
+    order = [(r["_order"], r.source) for r in sizes.filter("doc_id IS NULL").collect()]
+    assert len({o[: mixing.BUCKET_DIGITS] for o, source in order if source == "a"}) > 250
+    taken = mixing.schedule(sizes, mixing.source_targets(sizes))
+    sums = sorted(r.finish * r.target for r in taken.filter("source = 'b'").collect())
+    assert sums == pytest.approx([3.0 * k for k in range(1, 901)])
+
+
 def test_pipeline_runs_over_a_table(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
