@@ -3,18 +3,18 @@
 A byte-level BPE encodes each pre-token on its own, and its pre-tokenizer always
 cuts between a character that is no white space and a blank, so a text may be
 cut there into units (a blank and what follows it) whose ids are simply put one
-after the other. Texts repeat their words, so units are kept in a dict of bounded
+after the other. Texts repeat their words, so units met more than once are kept in a dict of bounded
 size. Units at whose edges white space meets white space are not independent;
 a text that has one is encoded whole.
 """
 
 from __future__ import annotations
 
-import operator
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import compress, repeat
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ENCODERS: dict[tuple[str, int], "WordMemoEncoder"] = {}
 
@@ -58,53 +58,60 @@ class WordMemoEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        done: list[bytes | None] = [None] * len(texts)
-        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
-        missing: set[str] = set()
-        first_missing: set[str] = set()
-        for k, text in enumerate(texts):
-            if not text:
-                done[k] = b""
-                continue
-            units = text.split(" ")
-            ids = list(map(self.after_blank.get, units))
-            ids[0] = self.at_start.get(units[0])
-            try:
-                done[k] = b"".join(ids)
-            except TypeError:
-                if ids[0] is None:
-                    first_missing.add(units[0])
-                    ids[0] = b""
-                    missing.update(compress(units, map(operator.is_, ids, repeat(None))))
-                    ids[0] = None
-                else:
-                    missing.update(compress(units, map(operator.is_, ids, repeat(None))))
-                waiting.append((k, units, ids))
-        if waiting:
-            new, new_first = self._encode_units(missing), self._encode_first(first_missing)
-            for k, units, ids in waiting:
-                if ids[0] is None:
-                    ids[0] = new_first.get(units[0])
-                for i in [i for i, known in enumerate(ids) if known is None]:
-                    ids[i] = new.get(units[i]) if i else None
-                try:
-                    done[k] = b"".join(ids)
-                except TypeError:
-                    done[k] = self.whole(texts[k])
-            self._keep(self.after_blank, new)
-            self._keep(self.at_start, new_first)
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Arrow cuts the texts and numbers their different units, so the memo is asked once
+        for each of them; the ids are then gathered for all units at once.
+        """
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        cuts = lists.offsets.to_numpy()
+        numbered = lists.flatten().dictionary_encode()
+        order = numbered.indices.to_numpy().astype(np.int64)
+        units = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # A text opens with a unit without a blank before it, which has other ids.
+        opening, opens = np.unique(order[cuts[:-1]], return_inverse=True)
+        order[cuts[:-1]] = len(units) + opens
+        often = np.bincount(order, minlength=len(units) + len(opening)) > 1
+        coded = self._known(self.after_blank, units, often[: len(units)], self._encode_units)
+        starts = [units[k] for k in opening.tolist()]
+        coded += self._known(self.at_start, starts, often[len(units) :], self._encode_first)
+
+        lengths = np.fromiter((len(c) // 4 if c is not None else 0 for c in coded), dtype=np.int64, count=len(coded))
+        flat = np.frombuffer(b"".join(c for c in coded if c), dtype="<u4")
+        sizes = lengths[order]
+        ends = np.cumsum(sizes)
+        shift = (np.cumsum(lengths) - lengths)[order] - (ends - sizes)
+        ids = flat[np.repeat(shift, sizes) + np.arange(len(shift) and int(ends[-1]))]
+        upto = np.r_[0, ends][cuts].tolist()
+        done = [ids[a:b].tobytes() for a, b in zip(upto, upto[1:])]
+        odd = np.array([c is None for c in coded])[order]
+        if odd.any():
+            for k in np.unique(np.searchsorted(cuts, np.flatnonzero(odd), side="right") - 1).tolist():
+                done[k] = self.whole(texts[k]) if texts[k] else b""
         return done
 
-    def _keep(self, memo: dict[str, bytes], new: dict[str, bytes]) -> None:
-        if len(memo) + len(new) <= self.max_units:
-            memo.update(new)
+    def _known(
+        self, memo: dict[str, bytes], units: list[str], often: np.ndarray, encode: Callable[[list[str]], dict[str, bytes]]
+    ) -> list[bytes | None]:
+        """The ids of each unit, None where it is not independent. Units met more than once enter the memo."""
+        coded = list(map(memo.get, units))
+        missing = [k for k, c in enumerate(coded) if c is None]
+        found = encode([units[k] for k in missing])
+        for k in missing:
+            coded[k] = found.get(units[k])
+        kept = [k for k in missing if often[k] and coded[k] is not None][: self.max_units]
+        if len(memo) + len(kept) > self.max_units:
+            memo.clear()
+        memo.update((units[k], coded[k]) for k in kept)
+        return coded
 
     def _encode_units(self, units: Iterable[str]) -> dict[str, bytes]:
         regular = [u for u in units if u and not u[0].isspace() and not u[-1].isspace()]
         found: dict[str, bytes] = {}
-        for i in range(0, len(regular), 4096):
-            part = regular[i : i + 4096]
+        for i in range(0, len(regular), 128):
+            part = regular[i : i + 128]
             joined = " " + " ".join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             starts = np.flatnonzero(self._opens_unit[ids])
@@ -121,7 +128,7 @@ class WordMemoEncoder:
         return {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(regular, coded)}
 
 
-def text_chunks(texts: Iterable[str], max_chars: int = 2_000_000) -> Iterator[list[int]]:
+def text_chunks(texts: Iterable[str], max_chars: int = 6_000_000) -> Iterator[list[int]]:
     """Runs of positions whose texts hold about ``max_chars``, so that work in flight stays bounded."""
     run: list[int] = []
     chars = 0

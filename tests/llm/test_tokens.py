@@ -30,6 +30,11 @@ def test_memo_gives_the_tokenizers_ids(encoder):
     small = WordMemoEncoder(tokenizer_path(), max_units=5)
     for _ in range(2):
         assert encoder.encode(texts) == small.encode(texts) == [encoder.whole(t) for t in texts]
+    assert encoder.encode([]) == [] and encoder.encode(["", ""]) == [b"", b""]
+    # A memo that is full starts anew rather than keeping what it met first.
+    for n in range(4):
+        small.encode([f"w{n} x{n} " * 3, f"y{n} " * 4])
+        assert 0 < len(small.after_blank) <= 5 and f" y{n}"[1:] in small.after_blank
 
 
 def test_wavelet_queries():
