@@ -197,7 +197,8 @@ def write_shards(
 
     ``folder`` lies on storage that all executors reach, by any URI that Arrow's file
     systems know. Ids sort null first; rows of one id sort by their text. Null and
-    empty texts are documents of the end id alone. A shard ends with the document
+    empty texts are documents of the end id alone. Ranges are of ids and the first 64
+    characters, so rows of one id spread over tasks unless their texts begin alike. A shard ends with the document
     that fills it, so a very long text makes one long shard. A file appears under
     its name when it is whole; a repeated task puts the same bytes there again.
     Other columns are not looked at; an empty table writes nothing.
@@ -245,7 +246,8 @@ def write_shards(
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = plain.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # How texts begin deals out rows of one id, or without any, and agrees with the order.
+    ranged = plain.repartitionByRange(order[0], F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(*order)
     return written(ranged.mapInPandas(write, "shard long, path string, docs long, ids long"))
 
 

@@ -79,6 +79,23 @@ def test_token_files_of_odd_rows(spark, odd_docs, encoder, folder):
     assert empty.count() == 0
 
 
+def test_rows_without_id_spread_over_tasks(spark, folder):
+    docs = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.concat(F.md5(F.col("id").cast("string")), F.lit(" x")).alias("text")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are small
+    try:
+        manifest = tokenfile.write_shards(docs, folder).orderBy("shard").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) > 3 and max(r.docs for r in manifest) < 2000
+    found = tokenfile.read_documents(spark, spark.createDataFrame(manifest)).orderBy("start").collect()
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text) for r in docs.collect()))
+    assert [r.doc_id for r in found] == [i if named else None for named, i, _ in rows]
+    encode = WordMemoEncoder(tokenizer_path())
+    assert [bytes(r.ids)[:-4] for r in found] == encode.encode([text for _, _, text in rows])
+
+
 def check_packing(rows, found, encoder, capacity=2048, same_rows=False):
     pieces, sequences = {}, {}
     for r in found:
