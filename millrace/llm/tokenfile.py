@@ -24,6 +24,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -67,7 +69,9 @@ def encode_shard(ids: np.ndarray, ends: np.ndarray, doc_ids: np.ndarray, doc_nul
             add(f"{plane}.{k}", block.tobytes())
         add(f"{plane}.ones", np.array(before, dtype="<i8").tobytes())
         zeros.append(len(level) - total)
-        level = np.concatenate([np.compress(~ones, level), np.compress(ones, level)])
+        mask = pa.Array.from_buffers(pa.bool_(), len(level), [None, pa.py_buffer(packed)])
+        parted = [pc.filter(pa.array(level), bits_set).to_numpy() for bits_set in (pc.invert(mask), mask)]
+        level = np.concatenate(parted)
     header = json.dumps(
         {"n": len(ids), "bits": bits, "docs": len(doc_ids), "zeros": zeros, "id": ids.dtype.str, "sections": sections}
     ).encode()
@@ -197,7 +201,7 @@ def write_shards(
 
     ``folder`` lies on storage that all executors reach, by any URI that Arrow's file
     systems know. Ids sort null first; rows of one id sort by their text. Null and
-    empty texts are documents of the end id alone. Ranges are of ids and the first 64
+    empty texts are documents of the end id alone. Ranges are of ids and the first 16
     characters, so rows of one id spread over tasks unless their texts begin alike. A shard ends with the document
     that fills it, so a very long text makes one long shard. A file appears under
     its name when it is whole; a repeated task puts the same bytes there again.
@@ -247,7 +251,7 @@ def write_shards(
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     # How texts begin deals out rows of one id, or without any, and agrees with the order.
-    ranged = plain.repartitionByRange(order[0], F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(*order)
+    ranged = plain.repartitionByRange(order[0], F.substring("text", 1, 16).asc_nulls_first()).sortWithinPartitions(*order)
     return written(ranged.mapInPandas(write, "shard long, path string, docs long, ids long"))
 
 

@@ -128,7 +128,7 @@ class WordMemoEncoder:
         return {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(regular, coded)}
 
 
-def text_chunks(texts: Iterable[str], max_chars: int = 6_000_000) -> Iterator[list[int]]:
+def text_chunks(texts: Iterable[str], max_chars: int = 12_000_000) -> Iterator[list[int]]:
     """Runs of positions whose texts hold about ``max_chars``, so that work in flight stays bounded."""
     run: list[int] = []
     chars = 0
