@@ -18,16 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.llm.tables import written
-from millrace.llm.tokens import encoder, text_chunks, tokenizer_path
+from millrace.llm.tokens import chunks_of_lengths, encoder, tokenizer_path
 
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _class int, _bucket int"
 )
 # A class is dealt into so many buckets to be ranked.
 BUCKETS = 1024
+# Characters encoded at once; more would meet more words again, but take a worker more memory.
+CHUNK_CHARS = 3_000_000
 
 
 def document_pieces(
@@ -35,26 +39,30 @@ def document_pieces(
 ) -> DataFrame:
     """Tokenize and cut: full pieces of ``capacity`` ids, then the rest."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_class", "_bucket"]
+    types = [pa.int64()] * 5 + [pa.int32()] * 2
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, row = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in batches:
-            ids = batch["doc_id"].astype("Int64")
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for run in text_chunks(texts):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            for run in chunks_of_lengths(lengths, CHUNK_CHARS):
                 out: list[tuple] = []
-                for k, raw in zip(run, encode.encode([texts[k] for k in run])):
+                # Only the texts of this run leave Arrow.
+                own = [t or "" for t in texts.slice(run[0], len(run)).to_pylist()]
+                for k, raw in zip(run, encode.encode(own)):
                     raw += end
                     n = len(raw) // 4
                     row += 1
                     for start in range(0, n, capacity):
                         piece = raw[4 * start : 4 * (start + capacity)]
                         length = len(piece) // 4
-                        out.append((ids.iloc[k], start, length, zlib.crc32(piece), n, -(-length // unit), row % BUCKETS))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_class", "_bucket"]
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                        out.append((ids[k], start, length, zlib.crc32(piece), n, -(-length // unit), row % BUCKETS))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInPandas(cut, PIECE_SCHEMA)
+    return plain.mapInArrow(cut, PIECE_SCHEMA)
 
 
 def best_pattern(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

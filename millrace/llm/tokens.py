@@ -130,11 +130,15 @@ class WordMemoEncoder:
 
 def text_chunks(texts: Iterable[str], max_chars: int = 12_000_000) -> Iterator[list[int]]:
     """Runs of positions whose texts hold about ``max_chars``, so that work in flight stays bounded."""
+    return chunks_of_lengths(map(len, texts), max_chars)
+
+
+def chunks_of_lengths(lengths: Iterable[int], max_chars: int) -> Iterator[list[int]]:
     run: list[int] = []
     chars = 0
-    for k, text in enumerate(texts):
+    for k, length in enumerate(lengths):
         run.append(k)
-        chars += len(text)
+        chars += length
         if chars >= max_chars:
             yield run
             run, chars = [], 0

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,25 @@ def test_packing_pads_little(spark, encoder):
     assert sum(used) / sum(map(packing.padded_length, used)) > 0.98
 
 
+def test_packing_holds_few_texts_at_once(spark, monkeypatch):
+    """Ids are made for a bounded run of characters, so that a worker of a long chain of stages has room."""
+    encode, most = WordMemoEncoder.encode, []
+
+    def watched(self, texts):
+        most.append(sum(map(len, texts)))
+        return encode(self, texts)
+
+    monkeypatch.setattr(WordMemoEncoder, "encode", watched)
+    docs = spark.createDataFrame([(k, "word " * 200_000) for k in range(6)], "doc_id LONG, text STRING").coalesce(1)
+    cut = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, function, schema: cut.update(f=function) or self)
+    packing.document_pieces(docs, tokenizer_path(), 1, 2048, 16, "doc_id", "text")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(["word " * 200_000] * 6)], names=["doc_id", "text"])
+    pieces = pa.Table.from_batches(list(cut["f"](iter([batch])))).to_pandas()
+    assert max(most) <= 4_000_000 and sum(most) == 6_000_000
+    assert pieces.groupby("doc_id")["length"].sum().tolist() == pieces.groupby("doc_id")["doc_tokens"].first().tolist()
+
+
 def test_packed_sequences_hold_the_ids(spark, encoder):
     rows = [(i, " ".join(["word"] * n)) for i, n in enumerate([1, 5, 30, 70, 64, 0])]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
