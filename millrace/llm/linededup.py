@@ -15,7 +15,8 @@ Rarity is counted in 2**18 buckets of word hashes over all documents, a table of
 size for any corpus; words are ordered by the count of their bucket, then by hash.
 Sets are compared by 64-bit hashes of words. Each line also carries the parities of its
 words in 64 bit places: the places in which two lines differ are a lower bound of the
-words that only one of them has, which drops most pairs that only share a rare word.
+words that only one of them has, which drops most pairs that only share a rare word. Long
+lines would differ in half of 64 places at most, so those of more than ``WIDE`` words carry 128.
 Equal sets are told by 128-bit hashes and merged over the whole corpus before any word is
 entered: within chunks, within tasks, then by hash. So a line that a third of the corpus
 repeats is one row per task of a sum, and enters its words once.
@@ -53,14 +54,17 @@ BLOCK = 4096
 FILTER_BITS = 23
 # Integers of parities by which pairs are sifted before their sets meet.
 LANES = 8
+# Lines of more words carry parities in twice as many places.
+WIDE = 72
 # Pairs of lines whose parities are compared at once.
 TILE = 1 << 16
 NO_ID = -(1 << 63)
 
 # Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C55
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+# The byte's lower case, and one.
+_LOWER = np.arange(1, 257, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: list[np.ndarray] = []
@@ -90,12 +94,16 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     bytes, so words are hashed together and not one by one.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(np.r_[True, space, True].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    space = np.ones(len(raw) + 2, dtype=bool)
+    np.take(_SPACE, raw, out=space[1:-1])
+    # Words begin and end by turns.
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
     powers, inverse = _powers(max(1, len(raw)))
-    sums = np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers)
-    sums = np.r_[np.uint64(0), sums]
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    values = _LOWER[raw]
+    values *= powers[: len(raw)]
+    np.cumsum(values, out=sums[1:])
     length = (ends - starts).astype(np.uint64)
     hashes = (sums[ends] - sums[starts]) * inverse[starts]
     hashes = _scramble(hashes ^ (length * np.uint64(0xA0761D6478BD642F)))
@@ -142,6 +150,19 @@ class LineSets:
         bits = np.bitwise_xor.reduceat(np.uint64(1) << (self.words & np.uint64(63)), self.start)
         return one, two, bits
 
+    def wide(self) -> np.ndarray:
+        """For each line of more than ``WIDE`` words the parities of half of them in 64 places, else none.
+
+        Those of the other half differ from ``bits`` of ``digests`` by these.
+        """
+        out = np.zeros(len(self.start), dtype=np.uint64)
+        long = np.flatnonzero(self.size > WIDE)
+        if len(long):
+            own = self.words[np.repeat(self.size > WIDE, self.size)]
+            ends = np.cumsum(self.size[long])
+            half = np.where(own >> np.uint64(6) & np.uint64(1) == 1, np.uint64(1) << (own & np.uint64(63)), np.uint64(0))
+            out[long] = np.bitwise_xor.reduceat(half, ends - self.size[long])
+        return out.view(np.int64)
 
     def parities(self) -> np.ndarray:
         """For each line the parities of its words in ``LANES`` times 64 places, a row of integers."""
@@ -259,7 +280,7 @@ def prefix_length(n, threshold: float):
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-HEAD_SCHEMA = "one long, two long, doc long, at long, size long, bits long, tokens array<long>"
+HEAD_SCHEMA = "one long, two long, doc long, at long, size long, bits long, wide long, tokens array<long>"
 
 
 def _first_of_equal(sets: LineSets, doc: np.ndarray, at: np.ndarray):
@@ -291,12 +312,12 @@ def _firsts(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "one": one[kept], "two": two[kept], "doc": doc[kept], "at": at[kept], "size": sets.size[kept],
-                        "bits": bits[kept], "tokens": [words[i : i + n] for i, n in zip(start.tolist(), k.tolist())],
+                        "bits": bits[kept], "wide": sets.wide()[kept], "tokens": [words[i : i + n] for i, n in zip(start.tolist(), k.tolist())],
                     }
                 )
 
     heads = rows.mapInPandas(enter, HEAD_SCHEMA)
-    first = F.min(F.struct("doc", "at", "size", "bits", "tokens")).alias("first")
+    first = F.min(F.struct("doc", "at", "size", "bits", "wide", "tokens")).alias("first")
     return heads.groupBy("one", "two").agg(first, F.count(F.lit(1)).alias("n")).select("one", "two", "first.*", "n")
 
 
@@ -334,7 +355,7 @@ def _equal_lines(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 PREFIX_SCHEMA = (
-    "token long, left int, right int, doc long, at long, shape long, lead long, bits long, every boolean"
+    "token long, left int, right int, doc long, at long, shape long, lead long, bits long, wide long, every boolean"
 )
 
 
@@ -366,15 +387,12 @@ def _met(token: np.ndarray, size_class: np.ndarray) -> np.ndarray:
 def _met_filter(marked: DataFrame, threshold: float) -> bytes:
     """A bitmap of fixed size that knows the words of ``again`` with the size classes that may match there."""
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                n = batch["again"].map(len).to_numpy()
-                token = np.concatenate(batch["again"].tolist()).astype(np.int64)
-                near = np.repeat(_size_class(batch["size"].to_numpy(), threshold), n)
-                yield pd.DataFrame({"doc": np.tile(token, 3), "at": np.r_[near - 1, near, near + 1]})
+    def words(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        token = np.concatenate(batch["again"].tolist()).astype(np.int64)
+        near = np.repeat(_size_class(batch["size"].to_numpy(), threshold), batch["again"].map(len).to_numpy())
+        return np.tile(token, 3), np.r_[near - 1, near, near + 1]
 
-    return _line_filter(marked.filter("size(again) > 0").select("size", "again").mapInPandas(mark, "doc long, at long"))
+    return _bitmap(marked.filter("size(again) > 0").select("size", "again"), words)
 
 
 def _prefixes(
@@ -383,7 +401,7 @@ def _prefixes(
     """A row per prefix word of each line and pair of blocks that it is in; ``firsts`` has ``every``.
 
     ``shape`` is the size of the set and the place of the word, ``lead`` the rarest word
-    of the line, ``bits`` the parities of the words, ``left`` and ``right`` the blocks.
+    of the line, ``bits`` and ``wide`` the parities of the words, ``left`` and ``right`` the blocks.
     With ``wanted``, a filter of words and size classes, only what it lets through enters,
     and ``firsts`` has ``again`` instead: the words at which a line gets all its partners.
     """
@@ -428,15 +446,16 @@ def _prefixes(
                         "shape": (batch["size"].to_numpy()[r] << 32) | place[each],
                         "lead": leads[r],
                         "bits": batch["bits"].to_numpy()[r],
+                        "wide": batch["wide"].to_numpy()[r],
                         "every": every[each],
                     }
                 )
 
     marks = "every" if wanted is None else "again"
-    return firsts.select("doc", "at", "size", "bits", "tokens", marks).mapInPandas(enter, PREFIX_SCHEMA)
+    return firsts.select("doc", "at", "size", "bits", "wide", "tokens", marks).mapInPandas(enter, PREFIX_SCHEMA)
 
 
-def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float):
+def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float, wide_a=None, wide_b=None):
     """Length, positional and parity filters on pairs of lines with a word in common.
 
     Lines with one rarest word meet there, and not once more at their other words.
@@ -448,7 +467,12 @@ def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float)
     ok &= (lead_a != lead_b) | (i + j == 0)
     ok &= np.minimum(i, j) + np.minimum(na - i, nb - j) >= needed
     # Unsigned, or the count would be that of the absolute value.
-    apart = np.bitwise_count((bits_a ^ bits_b).view(np.uint64))
+    differ = (bits_a ^ bits_b).view(np.uint64)
+    if wide_a is None:
+        apart = np.bitwise_count(differ)
+    else:
+        half = np.where((na > WIDE) & (nb > WIDE), wide_a ^ wide_b, 0).view(np.uint64)
+        apart = np.bitwise_count(half) + np.bitwise_count(differ ^ half)
     return ok & (na + nb - apart >= 2 * needed)
 
 
@@ -466,7 +490,7 @@ def _pairs(doc, at, a, b, more=False, token=0) -> pd.DataFrame:
 
 
 def _run_pairs(
-    doc, at, shape, lead, bits, every, threshold, block=None, token=0, again=False
+    doc, at, shape, lead, bits, every, threshold, block=None, token=0, again=False, wide=None
 ) -> Iterator[pd.DataFrame]:
     """Pairs in a long run of one word, sorted by place in the corpus: the ``FIRST`` earliest of each line.
 
@@ -488,7 +512,8 @@ def _run_pairs(
         apart = np.bitwise_count((bits[left][None] ^ bits[rows][:, None]).view(np.uint64))
         r, a = np.nonzero((odd[left][None] + odd[rows][:, None] >= apart) & (left[None] < rows[:, None]))
         i, j = left[a], rows[r]
-        ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold)
+        wides = () if wide is None else (wide[i], wide[j])
+        ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold, *wides)
         ok &= (doc[i] != doc[j]) | (at[i] != at[j])
         if block is not None:
             ok &= block[i] != block[j]
@@ -516,8 +541,8 @@ def _earliest(line: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray, again: bool = False) -> pd.DataFrame:
     """Pairs within each run of one word and pair of blocks."""
-    token, left, right, doc, at, shape, lead, bits = (
-        frame[c].to_numpy() for c in ("token", "left", "right", "doc", "at", "shape", "lead", "bits")
+    token, left, right, doc, at, shape, lead, bits, wide = (
+        frame[c].to_numpy() for c in ("token", "left", "right", "doc", "at", "shape", "lead", "bits", "wide")
     )
     every = frame["every"].to_numpy(dtype=bool)
     n = len(token)
@@ -543,7 +568,7 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray, aga
             if again:
                 ok &= every[j]
             i, j = i[ok], j[ok]
-            ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold)
+            ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold, wide[i], wide[j])
             ok &= (doc[i] != doc[j]) | (at[i] != at[j])
             # Lines of one block meet in its pair with itself.
             ok &= (left[i] == right[i]) | (block[i] != block[j])
@@ -559,7 +584,8 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray, aga
             part = slice(first[run], first[run] + length[run])
             two = None if left[first[run]] == right[first[run]] else block[part]
             parts += _run_pairs(
-                doc[part], at[part], shape[part], lead[part], bits[part], every[part], threshold, two, token[first[run]], again
+                doc[part], at[part], shape[part], lead[part], bits[part], every[part], threshold, two, token[first[run]], again,
+                wide[part],
             )
     return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
 
@@ -604,11 +630,17 @@ def _bit(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _line_filter(lines: DataFrame) -> bytes:
     """A bitmap of fixed size that knows all lines of ``doc, at``; others may pass it too."""
+    return _bitmap(lines.select("doc", "at"), lambda batch: (batch["doc"].to_numpy(), batch["at"].to_numpy()))
+
+
+def _bitmap(rows: DataFrame, keys: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """A bitmap of fixed size of all pairs of numbers that the batches of ``rows`` have."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(1 << FILTER_BITS, dtype=bool)
         for batch in batches:
-            bits[_bit(batch["doc"].to_numpy(), batch["at"].to_numpy()).astype(np.int64)] = True
+            if len(batch):
+                bits[_bit(*keys(batch)).astype(np.int64)] = True
         parts = np.packbits(bits).reshape(SLICES, -1)
         yield pd.DataFrame({"slice": np.arange(SLICES), "bits": [zlib.compress(p.tobytes(), 1) for p in parts]})
 
@@ -618,7 +650,7 @@ def _line_filter(lines: DataFrame) -> bytes:
             total |= np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
         return pd.DataFrame({"slice": [key[0]], "bits": [total.tobytes()]})
 
-    marked = lines.mapInPandas(mark, "slice int, bits binary").groupBy("slice")
+    marked = rows.mapInPandas(mark, "slice int, bits binary").groupBy("slice")
     found = {r["slice"]: r["bits"] for r in marked.applyInPandas(join, "slice int, bits binary").collect()}
     empty = bytes((1 << FILTER_BITS) // 8 // SLICES)
     return b"".join(found.get(k, empty) for k in range(SLICES))
@@ -709,7 +741,7 @@ def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
         named = rest.select(F.col("doc").alias("_d"), F.col("at").alias("_l"), "again")
         marked = written(
             firsts.join(named, (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l")), "left").select(
-                "doc", "at", "size", "bits", "tokens", F.coalesce("again", F.array().cast("array<long>")).alias("again")
+                "doc", "at", "size", "bits", "wide", "tokens", F.coalesce("again", F.array().cast("array<long>")).alias("again")
             )
         )
         entered = _prefixes(marked, blocks, _met_filter(marked, threshold), threshold)

@@ -255,6 +255,37 @@ def test_parities_never_understate_the_words_in_common():
             assert len(own[a] & own[b]) <= (len(own[a]) + len(own[b]) - apart) / 2
 
 
+def test_long_lines_without_common_words_are_no_candidates():
+    """64 places tell no pair of lines of 150 words apart, 128 do; pairs that match pass."""
+    pick = random.Random(5)
+    lines = [" ".join(f"w{k}" for k in pick.sample(range(100_000), 150)) for _ in range(60)]
+    lines += [" ".join([*line.split()[:140], "x", "y"]) for line in lines[:20]]
+    sets = linededup.LineSets("\n".join(lines).encode(), np.zeros(1 << linededup.BUCKET_BITS, dtype=np.uint8))
+    bits, n = sets.digests()[2].view(np.int64), len(lines)
+    every, zero = np.full(n, True), np.zeros(n, dtype=np.int64)
+    frame = pd.DataFrame(
+        {"token": 1, "left": 0, "right": 0, "doc": np.arange(n), "at": 0, "shape": sets.size << 32, "lead": 0, "bits": bits, "every": every}
+    )
+    found = [linededup._bucket_pairs(frame.assign(wide=wide), 0.8, np.ones(1 << linededup.BUCKET_BITS, dtype=np.int64)) for wide in (sets.wide(), zero)]
+    pairs = [set(zip(f["a_doc"], f["doc"])) for f in found]
+    assert pairs[0] == {(k, 60 + k) for k in range(20)} and len(pairs[1]) > 10 * len(pairs[0])
+
+
+def test_words_met_again_make_no_rows(spark, monkeypatch):
+    """The filter of the second round is made where its words are, from a row for each line, whatever its words."""
+    bitmap, made = linededup._bitmap, []
+    monkeypatch.setattr(linededup, "_bitmap", lambda rows, keys: made.append(rows.count()) or bitmap(rows, keys))
+    rows = [(10 + i, [i * 7919 * (1 << 40), i]) for i in range(50)] + [(3, [])]
+    marked = spark.createDataFrame(rows, "size LONG, again ARRAY<LONG>").repartition(3)
+    bits = np.unpackbits(np.frombuffer(linededup._met_filter(marked, 0.8), dtype=np.uint8)).view(bool)
+    assert made == [50]
+    for size, again in rows[:-1]:
+        near = linededup._size_class(np.array([size]), 0.8)
+        for token in again:
+            assert all(bits[linededup._met(np.array([token]), near + k)].all() for k in (-1, 0, 1))
+    assert bits.sum() <= 300
+
+
 def test_words_are_hashed_alike_wherever_they_stand():
     data = "The cat\n\n  a CAT the\tdog\x0bthe\r\nété Cat".encode()
     hashes, lines = linededup.word_hashes(data)
