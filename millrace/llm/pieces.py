@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,9 @@ class PieceCodec:
                 self._bytes[int(model.id_to_piece(i)[3:-1], 16)] = i
         self._unknown = model.unk_id()
         self._splits = all(BLANK not in piece.lstrip(BLANK) for piece in self._ids)
+        # Characters that no piece has are never merged with others.
+        inside = set().union(*self._ids)
+        self._apart = re.compile(f"([^{re.escape(''.join(sorted(inside)))}]+)") if inside <= self._ids.keys() else None
         # Units by what follows their one blank mark, in two generations: when the younger is full, the
         # older is dropped, so units that come again stay and units seen once go.
         self._memo: dict[str, bytes] = {}
@@ -182,11 +186,26 @@ class PieceCodec:
         known = [(unit, self._older.get(unit)) for unit in new]
         self._memo.update((unit, ids) for unit, ids in known if ids is not None)
         new = [unit for unit, ids in known if ids is None]
-        plain = [unit for unit in new if all(map(self._ids.__contains__, unit))]
-        self._memo.update(zip(plain, self.merge_many([BLANK + unit for unit in plain])))
+        if self._apart is None:
+            self._memo.update((unit, self._unit(BLANK + unit)) for unit in new)
+            return
+        plain, odd = [], []
         for unit in new:
-            if unit not in self._memo:
-                self._memo[unit] = self._unit(BLANK + unit)
+            (odd if self._apart.search(unit) else plain).append(unit)
+        # The others are stretches of pieces' characters, a blank mark first at least, and of other characters by turns.
+        cut = [self._apart.split(BLANK + unit) for unit in odd]
+        stretches = list({part for parts in cut for part in parts[::2] if part})
+        coded = self.merge_many([BLANK + unit for unit in plain] + stretches)
+        self._memo.update(zip(plain, coded))
+        ids = dict(zip(stretches, coded[len(plain) :]))
+        for unit, parts in zip(odd, cut):
+            self._memo[unit] = b"".join(self._unlisted(part) if k % 2 else ids.get(part, b"") for k, part in enumerate(parts))
+
+    def _unlisted(self, text: str) -> bytes:
+        """The ids of characters that no piece has."""
+        if not self._bytes:
+            return array("I", [self._unknown] * len(text)).tobytes()
+        return array("I", [self._bytes[b] for b in text.encode("utf-8", "surrogatepass")]).tobytes()
 
     def _unit(self, text: str) -> bytes:
         ids: list[int] = []
@@ -233,7 +252,7 @@ class PieceCodec:
         # One thread: the task's core is the only one it has.
         expected = self.library.encode(texts, add_bos=True, add_eos=True, enable_sampling=False, num_threads=1)
         for text, ids, wanted in zip(texts, coded, expected):
-            if np.array(wanted, dtype="<u4").tobytes() != ids:
+            if array("I", wanted).tobytes() != ids:
                 raise ValueError(f"the agenda and the library differ on a text that begins with {text[:80]!r}")
         return list(zip(coded, expected))
 

@@ -246,6 +246,15 @@ def test_many_agendas_at_once_give_what_one_gives(codec):
     assert codec.merge_many([]) == [] and "".join(codec.merge("▁thing")) == "▁thing"
 
 
+def test_units_with_unlisted_characters_are_merged_with_the_others(codec, monkeypatch):
+    """Line feeds and rare characters part a unit; its stretches need no agenda of their own."""
+    own = pieces.PieceCodec(tokenizer_path("piece_bpe_32k.model"))
+    monkeypatch.setattr(own, "_unit", lambda text: pytest.fail(f"one by one: {text!r}"))
+    texts = ["one line.\nanother line\n\nthe 𐍈x third", "a \n\nb", "x\ny \U000F0000z"]
+    expected = codec.library.encode(texts, add_bos=True, add_eos=True)
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in own.encode(texts)] == expected
+
+
 def test_a_wrong_id_is_an_error(codec, monkeypatch):
     monkeypatch.setattr(codec, "encode", lambda texts: [b"\0\0\0\0" for _ in texts])
     with pytest.raises(ValueError):
