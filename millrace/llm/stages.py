@@ -6,7 +6,7 @@ that column is there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm import langid, linededup, mixing as mixer, packing as packer, simhash
 from millrace.llm.queries import held_out
@@ -99,33 +99,29 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are passed through. Reruns agree.
     """
     _, taken = mixer.mix(docs)
-    digest, whole, finish, an_id, a_source, a_digest = fresh(
-        docs, "__digest", "__whole", "__finish", "__id", "__source", "__text"
-    )
+    digest, whole, finish, *keys = fresh(docs, "__digest", "__whole", "__finish", "__id", "__source", "__text")
+    # Keys without nulls: the join then meets the groups where they are, and the texts are not dealt anew for it.
     copies = taken.select(
-        F.col("doc_id").alias(an_id),
-        F.col("source").alias(a_source),
-        F.col("_text").alias(a_digest),
-        F.col("finish").alias(finish),
+        *[c.alias(k) for c, k in zip(_never_null("doc_id", "source", "_text"), keys)], F.col("finish").alias(finish)
     )
     # Of rows that repeat id, source and text one stands for all, told by its other columns.
     others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
     one = (
         docs.withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
-        .groupBy("doc_id", "source", digest)
+        .groupBy(*[c.alias(k) for c, k in zip(_never_null("doc_id", "source", digest), keys)])
         .agg(F.min_by(F.struct(*docs.columns), others).alias(whole))
-        .select(f"{whole}.*", digest)
-    )
-    joined = one.join(
-        copies,
-        F.col("doc_id").eqNullSafe(F.col(an_id))
-        & F.col("source").eqNullSafe(F.col(a_source))
-        & (F.col(digest) == F.col(a_digest)),
+        .select(f"{whole}.*", *keys)
     )
+    joined = one.join(copies, keys)
     queued = joined.repartitionByRange(finish, "source", "doc_id").sortWithinPartitions(finish, "source", "doc_id")
     return queued.select(*docs.columns)
 
 
+def _never_null(*names: str) -> list[Column]:
+    """The columns as strings that tell null from any value."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("")) for n in names]
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of the documents goes in the packed sequences.
 

@@ -307,5 +307,23 @@ def test_mixing_counts_rows_without_id_before_ranking(spark):
     assert sums == pytest.approx([3.0 * k for k in range(1, 901)])
 
 
+def test_mixing_stage_deals_texts_twice(spark, odd_docs, conf):
+    """Once to count rows that repeat, once to order the queue, and not a third time to meet the copies taken."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = dict(corpus_pipeline.STAGES)["mixing"](spark, odd_docs, "")._jdf.queryExecution().executedPlan().toString()
+    # The groups of documents, and the copies, which hold no text.
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange rangepartitioning") == 1
+
+
+def test_mixing_stage_tells_null_from_empty(spark):
+    rows = [(1, "a b c", None), (1, "a b c", ""), (1, "a b c", "="), (None, "a b c", None), (None, "a b c", "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id LONG, text STRING, source STRING, k INT")
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "").collect()
+    assert {(r.doc_id, r.text, r.source) for r in mixed} <= set(rows) and all(rows[r.k] == (r.doc_id, r.text, r.source) for r in mixed)
+    _, taken = mixing.mix(docs)
+    want = Counter((r.doc_id, r.source) for r in taken.collect())
+    assert Counter((r.doc_id, r.source) for r in mixed) == want and None in {i for i, _ in want}
+
+
 def test_pipeline_runs_over_a_table(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
