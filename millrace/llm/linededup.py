@@ -18,8 +18,8 @@ words in 64 bit places: the places in which two lines differ are a lower bound o
 words that only one of them has, which drops most pairs that only share a rare word. Long
 lines would differ in half of 64 places at most, so those of more than ``WIDE`` words carry 128.
 Equal sets are told by 128-bit hashes and merged over the whole corpus before any word is
-entered: within chunks, within tasks, then by hash. So a line that a third of the corpus
-repeats is one row per task of a sum, and enters its words once.
+entered: within tasks, then by hash. So a line that a third of the corpus repeats is sent
+by each task a few times, and enters its words once.
 
 A word that many different lines have in their prefixes is dealt in blocks of about
 ``BLOCK`` lines; each pair of blocks is a group of its own, so no task holds or compares
@@ -32,6 +32,7 @@ Into that second round a line enters only the words at which such a line of a li
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -48,6 +49,10 @@ CHUNK_BYTES = 1 << 19
 # Runs of so many lines are compared all at once, shift by shift.
 SHORT_RUN = 64
 FIRST = 4
+# Lines, or prefix words, that a task deals to groups at once.
+HELD = 1 << 17
+# Words of text whose lines meet in one group to be merged, and prefix words that meet in one to be paired.
+GROUP_WORDS, GROUP_ENTRIES = 1 << 19, 1 << 16
 # Lines of one word that meet in one group; more are dealt to pairs of blocks.
 BLOCK = 4096
 # Bits of the filter that says which lines to fetch for verification.
@@ -57,27 +62,13 @@ LANES = 8
 # Lines of more words carry parities in twice as many places.
 WIDE = 72
 # Pairs of lines whose parities are compared at once.
-TILE = 1 << 16
+TILE = 1 << 13
 NO_ID = -(1 << 63)
 
-# Odd, so that it has an inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C55
-# The byte's lower case, and one.
-_LOWER = np.arange(1, 257, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [
-            np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, dtype=np.uint64)])
-            for base in (_BASE, pow(_BASE, -1, 1 << 64))
-        ]
-    return _POWERS[0][:n], _POWERS[1][:n]
+# Words of more bytes are hashed one by one.
+LONG_WORD = 64
+# The bytes of a word in its last eight: the lowest come first.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -90,25 +81,34 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word and the number of its line.
 
-    A word's hash is a polynomial of its bytes, taken from running sums over all
-    bytes, so words are hashed together and not one by one.
+    A word's hash is taken from its bytes, eight at a time, of all words together.
     """
+    data = data.lower()
     raw = np.frombuffer(data, dtype=np.uint8)
     space = np.ones(len(raw) + 2, dtype=bool)
-    np.take(_SPACE, raw, out=space[1:-1])
+    np.logical_or(raw - np.uint8(9) < 5, raw == 32, out=space[1:-1])
     # Words begin and end by turns.
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[::2], edges[1::2]
-    powers, inverse = _powers(max(1, len(raw)))
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    values = _LOWER[raw]
-    values *= powers[: len(raw)]
-    np.cumsum(values, out=sums[1:])
-    length = (ends - starts).astype(np.uint64)
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
-    hashes = _scramble(hashes ^ (length * np.uint64(0xA0761D6478BD642F)))
-    breaks = np.flatnonzero(raw == 10)
-    return hashes, np.searchsorted(breaks, starts)
+    length = ends - starts
+    eights = np.frombuffer(data + bytes(16 - len(data) % 8), dtype="<u8")
+    hashes = length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    own, at, left = None, starts, length
+    while len(at):
+        low, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        part = (eights[low] >> shift) | ((eights[low + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        part &= _MASKS[np.minimum(left, 8)]
+        if own is None:
+            hashes = _scramble(hashes ^ part)
+        else:
+            hashes[own] = _scramble(hashes[own] ^ part)
+        more = np.flatnonzero((left > 8) & (left <= LONG_WORD) if own is None else left > 8)
+        own, at, left = more if own is None else own[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest()
+        hashes[k] = int.from_bytes(digest, "little")
+    before = np.searchsorted(starts, np.flatnonzero(raw == 10))
+    return hashes, np.repeat(np.arange(len(before) + 1), np.diff(np.r_[0, before, len(starts)]))
 
 
 class LineSets:
@@ -185,7 +185,7 @@ def _chunks(batch: pd.DataFrame) -> Iterator[tuple[bytes, np.ndarray, np.ndarray
         return b"\n".join(pieces), np.concatenate(docs), np.concatenate(ats)
 
     for doc, part, text in zip(batch["doc"].tolist(), batch["part"].tolist(), batch["text"]):
-        rest, number = text.encode("utf-8", "surrogatepass"), 0
+        rest, number = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text, 0
         while True:
             cut = rest.find(b"\n", CHUNK_BYTES) if len(rest) > CHUNK_BYTES else -1
             head = rest if cut < 0 else rest[:cut]
@@ -236,7 +236,9 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, doc: Column, part: Column, text_col: str) -> DataFrame:
-    return docs.select(doc.alias("doc"), part.alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # As bytes, which workers take as they are.
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return docs.select(doc.alias("doc"), part.alias("part"), text.alias("text"))
 
 
 def word_ranks(rows: DataFrame) -> np.ndarray:
@@ -254,10 +256,19 @@ def _bucket_counts(rows: DataFrame, words: Callable[[pd.DataFrame], Iterator[np.
     per_slice = size // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(size, dtype=np.int64)
+        counts, held = np.zeros(size, dtype=np.int64), []
+
+        def counted() -> np.ndarray:
+            found = np.concatenate(held) if held else np.zeros(0, dtype=np.int64)
+            return np.bincount(found, minlength=size)
+
         for batch in batches:
             for hashes in words(batch):
-                counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
+                held.append((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+                if sum(map(len, held)) > 2 * size:
+                    counts += counted()
+                    held = []
+        counts += counted()
         parts = counts.reshape(SLICES, per_slice)
         yield pd.DataFrame({"slice": np.arange(SLICES), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
 
@@ -280,78 +291,112 @@ def prefix_length(n, threshold: float):
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-HEAD_SCHEMA = "one long, two long, doc long, at long, size long, bits long, wide long, tokens array<long>"
+# What a line takes to where it meets those of its set, beside the words of its prefix, ``k`` of them.
+LINE = np.dtype([(c, "<i8") for c in ("one", "two", "doc", "at", "size", "bits", "wide", "k")])
+PLACE = np.dtype([("doc", "<i8"), ("at", "<i8")])
+MERGED_SCHEMA = "one long, two long, doc long, at long, size long, bits long, wide long, tokens binary"
+
 
+def _dealt(group: np.ndarray, records: np.ndarray, words: np.ndarray | None = None) -> pd.DataFrame:
+    """A row per group that ``records`` go to, with these as bytes; ``words``, of lines, go with them."""
+    order = np.argsort(group, kind="stable")
+    group, records = group[order], records[order]
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
+    ends = np.r_[cuts[1:], len(group)] if len(group) else cuts
+    out = {"group": group[cuts], "rows": [records[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist())]}
+    if words is not None:
+        k = records["k"]
+        upto = np.r_[0, np.cumsum(k)]
+        start = np.empty(len(k), dtype=np.int64)
+        start[order] = k
+        start = (np.cumsum(start) - start)[order]
+        words = words[_spans(start, k)]
+        out["words"] = [words[a:b].tobytes() for a, b in zip(upto[cuts].tolist(), upto[ends].tolist())]
+    return pd.DataFrame(out)
 
-def _first_of_equal(sets: LineSets, doc: np.ndarray, at: np.ndarray):
-    """Digests and parities of the lines of a chunk, and for each the earliest line with an equal set."""
-    one, two, bits = sets.digests()
+
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``n`` of them, one span after the other."""
+    upto = np.cumsum(n)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - (upto - n), n)
+
+
+def _first_of_equal(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are the earliest of their sets, one each, and which have an earlier one.
+
+    A row that repeats id and text is merged with itself; its lines are in neither.
+    """
+    one, two, doc, at = (np.ascontiguousarray(lines[c]) for c in ("one", "two", "doc", "at"))
     order = np.lexsort((at, doc, two, one))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
     head = np.empty(len(order), dtype=np.int64)
     head[order] = order[new][np.cumsum(new) - 1]
-    return one.view(np.int64), two.view(np.int64), bits.view(np.int64), head
+    return np.flatnonzero(head == np.arange(len(head))), np.flatnonzero((doc != doc[head]) | (at != at[head]))
 
 
-def _firsts(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
-    """A row per distinct set: its earliest line, size, parities, prefix words, and how many chunks have it.
+def _merged(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+    """A row per distinct set, and one without words for each line with an earlier one of an equal set.
 
-    ``at`` is the part and the number of the line. Equal sets have equal prefixes.
+    That of a set has its earliest line, size, parities and prefix words; equal sets have equal
+    prefixes. ``at`` is the part and the number of the line. Lines are merged by ``HELD`` of a task
+    at once, and then where all of one hash meet, dealt in groups of about ``GROUP_WORDS`` words of text.
     """
+    groups = 1 + int(np.exp2(ranks / 6).sum()) // GROUP_WORDS
+
+    def merged(lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, later = _first_of_equal(lines)
+        kept, k = lines[first], lines["k"]
+        gone = np.empty(len(later), dtype=PLACE)
+        gone["doc"], gone["at"] = lines["doc"][later], lines["at"][later]
+        return kept, words[_spans((np.cumsum(k) - k)[first], kept["k"])], gone
+
+    def deal(lines: list[np.ndarray], words: list[np.ndarray]) -> pd.DataFrame:
+        kept, own, gone = merged(np.concatenate(lines), np.concatenate(words))
+        there = _dealt((kept["one"].view(np.uint64) % np.uint64(groups)).astype(np.int64), kept, own)
+        aside = _dealt((_mixed(gone["doc"], gone["at"]) % np.uint64(groups)).astype(np.int64), gone)
+        sent = pd.concat([there.assign(gone=b""), aside.rename(columns={"rows": "gone"}).assign(rows=b"", words=b"")])
+        return sent[["group", "rows", "words", "gone"]]
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines, words = [], []
         for batch in batches:
             for data, docs, ats in _chunks(batch):
                 sets = LineSets(data, ranks)
-                doc, at = docs[sets.line], ats[sets.line]
-                one, two, bits, head = _first_of_equal(sets, doc, at)
-                kept = np.flatnonzero(head == np.arange(len(head)))
-                start, k = sets.start[kept], prefix_length(sets.size[kept], threshold)
-                words = sets.words.view(np.int64)
-                yield pd.DataFrame(
-                    {
-                        "one": one[kept], "two": two[kept], "doc": doc[kept], "at": at[kept], "size": sets.size[kept],
-                        "bits": bits[kept], "wide": sets.wide()[kept], "tokens": [words[i : i + n] for i, n in zip(start.tolist(), k.tolist())],
-                    }
-                )
-
-    heads = rows.mapInPandas(enter, HEAD_SCHEMA)
-    first = F.min(F.struct("doc", "at", "size", "bits", "wide", "tokens")).alias("first")
-    return heads.groupBy("one", "two").agg(first, F.count(F.lit(1)).alias("n")).select("one", "two", "first.*", "n")
-
-
-def _equal_lines(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``doc, at`` of every line with an earlier one of an equal set.
-
-    Those that have one in their chunk are told at once. The others are looked up, if a
-    filter of fixed size lets them through; the join has few columns, and Spark can split it.
-    """
-    repeated = firsts.filter("n > 1")
-    wanted = _line_filter(repeated.select(F.col("one").alias("doc"), F.col("two").alias("at")))
+                one, two, bits = sets.digests()
+                own = np.empty(len(sets.line), dtype=LINE)
+                own["doc"], own["at"], own["size"], own["wide"] = docs[sets.line], ats[sets.line], sets.size, sets.wide()
+                own["one"], own["two"], own["bits"] = one.view(np.int64), two.view(np.int64), bits.view(np.int64)
+                own["k"] = prefix_length(sets.size, threshold)
+                lines.append(own)
+                words.append(sets.words[_spans(sets.start, own["k"])].view(np.int64))
+                if sum(map(len, lines)) >= HELD:
+                    yield deal(lines, words)
+                    lines, words = [], []
+        if lines:
+            yield deal(lines, words)
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        lines = np.frombuffer(b"".join(frame["rows"]), dtype=LINE)
+        kept, words, gone = merged(lines, np.frombuffer(b"".join(frame["words"]), dtype=np.int64))
+        gone = np.r_[gone, np.frombuffer(b"".join(frame["gone"]), dtype=PLACE)]
+        upto = np.r_[0, 8 * np.cumsum(kept["k"])].tolist()
+        whole = words.tobytes()
+        out = {c: np.r_[kept[c], gone[c] if c in PLACE.names else np.zeros(len(gone), dtype=np.int64)] for c in LINE.names[:-1]}
+        return pd.DataFrame({**out, "tokens": [whole[a:b] for a, b in zip(upto[:-1], upto[1:])] + [None] * len(gone)})
+
+    sent = rows.mapInPandas(enter, "group long, rows binary, words binary, gone binary")
+    return sent.groupBy("group").applyInPandas(meet, MERGED_SCHEMA)
 
-    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(np.frombuffer(wanted, dtype=np.uint8)).view(bool)
-        # Digests hang on sets, not on the order of words.
-        plain = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
-        for batch in batches:
-            for data, docs, ats in _chunks(batch):
-                sets = LineSets(data, plain)
-                doc, at = docs[sets.line], ats[sets.line]
-                one, two, _, head = _first_of_equal(sets, doc, at)
-                # A row that repeats id and text is merged with itself; its lines stay.
-                sure = (doc != doc[head]) | (at != at[head])
-                own = head == np.arange(len(head))
-                out = np.flatnonzero(sure | (own & bits[_bit(one, two).astype(np.int64)]))
-                yield pd.DataFrame({"one": one[out], "two": two[out], "doc": doc[out], "at": at[out], "sure": sure[out]})
-
-    met = written(rows.mapInPandas(enter, "one long, two long, doc long, at long, sure boolean"))
-    named = repeated.select(
-        F.col("one").alias("_one"), F.col("two").alias("_two"), F.col("doc").alias("_doc"), F.col("at").alias("_at")
-    )
-    later = met.filter("NOT sure").join(named, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")))
-    gone = later.filter((F.col("doc") != F.col("_doc")) | (F.col("at") != F.col("_at")))
-    return met.filter("sure").select("doc", "at").unionByName(gone.select("doc", "at")).distinct()
+
+def _firsts(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+    """A row per distinct set: its earliest line, size, parities and prefix words."""
+    return _merged(rows, ranks, threshold).filter("tokens IS NOT NULL")
+
+
+def _tokens(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix words of all lines, one line after the other, and how many each has."""
+    return np.frombuffer(b"".join(batch["tokens"]), dtype=np.int64), batch["tokens"].map(len).to_numpy() // 8
 
 
 PREFIX_SCHEMA = (
@@ -364,14 +409,18 @@ def _prefix_counts(firsts: DataFrame) -> np.ndarray:
 
     def words(batch: pd.DataFrame) -> Iterator[np.ndarray]:
         if len(batch):
-            yield np.concatenate(batch["tokens"].tolist()).astype(np.int64).view(np.uint64)
+            yield _tokens(batch)[0].view(np.uint64)
 
     return _bucket_counts(firsts.select("tokens"), words)
 
 
 def _blocks(firsts: DataFrame) -> np.ndarray:
     """For each bucket of words, in how many blocks the lines of one of its words are dealt."""
-    return np.maximum(1, -(-_prefix_counts(firsts) // BLOCK))
+    return _block_counts(_prefix_counts(firsts))
+
+
+def _block_counts(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(1, -(-counts // BLOCK))
 
 
 def _size_class(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -395,64 +444,106 @@ def _met_filter(marked: DataFrame, threshold: float) -> bytes:
     return _bitmap(marked.filter("size(again) > 0").select("size", "again"), words)
 
 
-def _prefixes(
-    firsts: DataFrame, blocks: np.ndarray, wanted: bytes | None = None, threshold: float = 0.8
-) -> DataFrame:
+def _entries(batch: pd.DataFrame, blocks: np.ndarray, wanted: np.ndarray | None, threshold: float) -> Iterator[dict]:
+    """What the lines of a batch enter at each prefix word and pair of blocks, see ``_prefixes``."""
+    token, k = _tokens(batch)
+    row = np.repeat(np.arange(len(batch)), k)
+    begin = np.cumsum(k) - k
+    place, leads = np.arange(len(row)) - begin[row], token[begin]
+    if wanted is not None:
+        enters = np.flatnonzero(wanted[_met(token, _size_class(batch["size"].to_numpy(), threshold)[row])])
+        if not len(enters):
+            return
+        token, row, place = token[enters], row[enters], place[enters]
+    if "every" in batch:
+        every = batch["every"].to_numpy(dtype=bool)[row]
+    else:
+        again = batch["again"].map(len).to_numpy()
+        marks = _mixed(np.repeat(np.arange(len(batch)), again), np.concatenate(batch["again"].tolist()).astype(np.int64))
+        every = np.isin(_mixed(row, token), marks)
+    doc, at = batch["doc"].to_numpy(), batch["at"].to_numpy()
+    size, bits, wide = batch["size"].to_numpy(), batch["bits"].to_numpy(), batch["wide"].to_numpy()
+    many = blocks[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    own = _block(doc[row], at[row], many)
+    # Lines are short rows; a batch of hot words is given out in pieces.
+    upto = np.cumsum(many)
+    cuts = np.r_[0, np.flatnonzero(np.diff(upto >> 18)) + 1, len(row)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        each = np.repeat(np.arange(a, b), many[a:b])
+        other = np.arange(len(each)) - np.repeat(upto[a:b] - many[a:b] - (upto[a] - many[a]), many[a:b])
+        r = row[each]
+        yield {
+            "token": token[each],
+            "left": np.minimum(own[each], other).astype(np.int32),
+            "right": np.maximum(own[each], other).astype(np.int32),
+            "doc": doc[r],
+            "at": at[r],
+            "shape": (size[r] << 32) | place[each],
+            "lead": leads[r],
+            "bits": bits[r],
+            "wide": wide[r],
+            "every": every[each],
+        }
+
+
+def _prefixes(firsts: DataFrame, blocks: np.ndarray) -> DataFrame:
     """A row per prefix word of each line and pair of blocks that it is in; ``firsts`` has ``every``.
 
     ``shape`` is the size of the set and the place of the word, ``lead`` the rarest word
     of the line, ``bits`` and ``wide`` the parities of the words, ``left`` and ``right`` the blocks.
-    With ``wanted``, a filter of words and size classes, only what it lets through enters,
-    and ``firsts`` has ``again`` instead: the words at which a line gets all its partners.
     """
 
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield from map(pd.DataFrame, _entries(batch, blocks, None, 1.0))
+
+    return firsts.select("doc", "at", "size", "bits", "wide", "tokens", "every").mapInPandas(enter, PREFIX_SCHEMA)
+
+
+# A row of ``_prefixes``, a line that gets all its partners with the lowest ``shape`` added; what is mostly zero lies together.
+ENTRY = np.dtype(
+    [(c, "<i8") for c in ("token", "lead", "bits", "at", "doc", "shape")]
+    + [("left", "<i4"), ("right", "<i4"), ("wide", "<i8")]
+)
+EVERY = np.int64(-(1 << 63))
+
+
+def _dealt_entries(
+    lines: DataFrame, blocks: np.ndarray, groups: int, threshold: float, wanted: bytes | None = None
+) -> DataFrame:
+    """The rows of ``_prefixes`` as bytes, dealt to groups by word and pair of blocks.
+
+    With ``wanted``, a filter of words and size classes, only what it lets through enters. Where ``lines``
+    has ``again`` and not ``every``, these are the words at which a line gets all its partners.
+    """
+
+    def deal(held: list[np.ndarray]) -> pd.DataFrame:
+        entries = np.concatenate(held)
+        pair = (entries["left"].astype(np.int64) << 32) | entries["right"]
+        key = _mixed(np.ascontiguousarray(entries["token"]), pair) >> np.uint64(20)
+        return _dealt((key % np.uint64(groups)).astype(np.int64), entries)
+
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passes = None if wanted is None else np.unpackbits(np.frombuffer(wanted, dtype=np.uint8)).view(bool)
+        held = []
         for batch in batches:
             if not len(batch):
                 continue
-            k = batch["tokens"].map(len).to_numpy()
-            token = np.concatenate(batch["tokens"].tolist()).astype(np.int64)
-            row = np.repeat(np.arange(len(batch)), k)
-            begin = np.cumsum(k) - k
-            place, leads = np.arange(len(row)) - begin[row], token[begin]
-            if passes is None:
-                every = batch["every"].to_numpy(dtype=bool)[row]
-            else:
-                enters = np.flatnonzero(passes[_met(token, _size_class(batch["size"].to_numpy(), threshold)[row])])
-                if not len(enters):
-                    continue
-                token, row, place = token[enters], row[enters], place[enters]
-                again = batch["again"].map(len).to_numpy()
-                marks = _mixed(np.repeat(np.arange(len(batch)), again), np.concatenate(batch["again"].tolist()).astype(np.int64))
-                every = np.isin(_mixed(row, token), marks)
-            doc, at = batch["doc"].to_numpy(), batch["at"].to_numpy()
-            many = blocks[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-            own = _block(doc[row], at[row], many)
-            # Lines are short rows; a batch of hot words is given out in pieces.
-            upto = np.cumsum(many)
-            cuts = np.r_[0, np.flatnonzero(np.diff(upto >> 18)) + 1, len(row)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                each = np.repeat(np.arange(a, b), many[a:b])
-                other = np.arange(len(each)) - np.repeat(upto[a:b] - many[a:b] - (upto[a] - many[a]), many[a:b])
-                r = row[each]
-                yield pd.DataFrame(
-                    {
-                        "token": token[each],
-                        "left": np.minimum(own[each], other).astype(np.int32),
-                        "right": np.maximum(own[each], other).astype(np.int32),
-                        "doc": doc[r],
-                        "at": at[r],
-                        "shape": (batch["size"].to_numpy()[r] << 32) | place[each],
-                        "lead": leads[r],
-                        "bits": batch["bits"].to_numpy()[r],
-                        "wide": batch["wide"].to_numpy()[r],
-                        "every": every[each],
-                    }
-                )
-
-    marks = "every" if wanted is None else "again"
-    return firsts.select("doc", "at", "size", "bits", "wide", "tokens", marks).mapInPandas(enter, PREFIX_SCHEMA)
+            for found in _entries(batch, blocks, passes, threshold):
+                entries = np.empty(len(found["token"]), dtype=ENTRY)
+                for c in ENTRY.names:
+                    entries[c] = found[c]
+                entries["shape"][found["every"]] |= EVERY
+                held.append(entries)
+                if sum(map(len, held)) >= 4 * HELD:
+                    yield deal(held)
+                    held = []
+        if held:
+            yield deal(held)
+
+    marks = "again" if "again" in lines.columns else "every"
+    return lines.select("doc", "at", "size", "bits", "wide", "tokens", marks).mapInPandas(enter, "group long, rows binary")
 
 
 def _allowed(shape_a, shape_b, lead_a, lead_b, bits_a, bits_b, threshold: float, wide_a=None, wide_b=None):
@@ -489,38 +580,59 @@ def _pairs(doc, at, a, b, more=False, token=0) -> pd.DataFrame:
     )
 
 
-def _run_pairs(
-    doc, at, shape, lead, bits, every, threshold, block=None, token=0, again=False, wide=None
-) -> Iterator[pd.DataFrame]:
-    """Pairs in a long run of one word, sorted by place in the corpus: the ``FIRST`` earliest of each line.
+def _near(shape, bits, every, threshold, again=False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of an earlier and a later line of a long run that parities let through; a later line has all of its in one piece.
 
-    ``every`` marks the lines that get all of theirs, and with ``again`` no others are asked for.
-    With ``block``, pairs of lines of two blocks. Lines are compared in the order of their
-    sizes with those whose sizes may match, by parities first, in tiles of fixed size.
+    Lines are compared in the order of their sizes with those whose sizes may match, in tiles
+    of fixed size. With ``again`` only lines that ``every`` marks ask.
     """
-    size, odd = shape >> 32, _odd(shape, threshold)
+    size, odd, bits = shape >> 32, _odd(shape, threshold), bits.view(np.uint64)
     by_size = np.argsort(size, kind="stable")
     sorted_size = size[by_size]
     asked = by_size[every[by_size]] if again else by_size
     start = 0
     while start < len(asked):
         low = np.searchsorted(sorted_size, threshold * size[asked[start]] - 1e-6)
-        stop = min(len(asked), start + max(1, TILE // max(1, len(doc) - low)))
+        stop = min(len(asked), start + max(1, TILE // max(1, len(size) - low)))
         high = np.searchsorted(sorted_size, size[asked[stop - 1]] / threshold + 1e-6, side="right")
-        rows, left = asked[start:stop], np.sort(by_size[low:high])
+        rows, left = asked[start:stop], by_size[low:high]
         start = stop
-        apart = np.bitwise_count((bits[left][None] ^ bits[rows][:, None]).view(np.uint64))
-        r, a = np.nonzero((odd[left][None] + odd[rows][:, None] >= apart) & (left[None] < rows[:, None]))
+        # First the same bound for all of the tile, that of its longest lines.
+        apart = np.bitwise_count(bits[left][None] ^ bits[rows][:, None])
+        r, a = np.divmod(np.flatnonzero(apart <= min(64, int(odd[rows[-1]] + odd[left[-1]]))), len(left))
         i, j = left[a], rows[r]
-        wides = () if wide is None else (wide[i], wide[j])
-        ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold, *wides)
-        ok &= (doc[i] != doc[j]) | (at[i] != at[j])
-        if block is not None:
-            ok &= block[i] != block[j]
-        r, i, j = r[ok], i[ok], j[ok]
-        if len(r):
-            kept, more = _earliest(r, every[j])
-            yield _pairs(doc, at, i[kept], j[kept], more, token)
+        ok = (i < j) & (odd[i] + odd[j] >= apart[r, a])
+        yield i[ok], j[ok]
+
+
+def _settled(doc, at, shape, lead, bits, every, threshold, block, wide, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that all filters let through: the ``FIRST`` earliest of each line or every one, and what ``more`` says.
+
+    With ``block``, pairs of lines of two blocks, where it is not below zero.
+    """
+    wides = () if wide is None else (wide[i], wide[j])
+    ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold, *wides)
+    ok &= (doc[i] != doc[j]) | (at[i] != at[j])
+    if block is not None:
+        ok &= (block[i] != block[j]) | (block[i] < 0)
+    i, j = i[ok], j[ok]
+    order = np.lexsort((i, j))
+    i, j = i[order], j[order]
+    kept, more = _earliest(j, every[j])
+    return i[kept], j[kept], more
+
+
+def _run_pairs(
+    doc, at, shape, lead, bits, every, threshold, block=None, token=0, again=False, wide=None
+) -> Iterator[pd.DataFrame]:
+    """Pairs in a long run of one word, sorted by place in the corpus: the ``FIRST`` earliest of each line.
+
+    ``every`` marks the lines that get all of theirs, and with ``again`` no others are asked for.
+    """
+    for i, j in _near(shape, bits, every, threshold, again):
+        i, j, more = _settled(doc, at, shape, lead, bits, every, threshold, block, wide, i, j)
+        if len(i):
+            yield _pairs(doc, at, i, j, more, token)
 
 
 def _odd(shape: np.ndarray, threshold: float) -> np.ndarray:
@@ -546,19 +658,18 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray, aga
     )
     every = frame["every"].to_numpy(dtype=bool)
     n = len(token)
-    none = np.zeros(0, dtype=np.int64)
-    parts = [_pairs(doc, at, none, none)]
+    found: list[tuple[np.ndarray, ...]] = []
     if n > 1:
         many = blocks[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-        block = _block(doc, at, many)
+        # Lines of one block meet in its pair with itself.
+        block = np.where(left == right, -1, _block(doc, at, many))
         new = (token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
         first = np.flatnonzero(np.r_[True, new])
         length = np.diff(np.r_[first, n])
-        # Words of one line only are most of them.
         some = np.repeat((length > 1) & (length <= SHORT_RUN), length)
         short = np.flatnonzero(some)
         of = np.repeat(np.arange(len(length)), length)[short]
-        odd, found = _odd(shape, threshold), []
+        odd, near, held = _odd(shape, threshold), [], 0
         for shift in range(1, min(SHORT_RUN, len(short))):
             at_left = np.flatnonzero(of[shift:] == of[:-shift])
             if not len(at_left):
@@ -567,49 +678,48 @@ def _bucket_pairs(frame: pd.DataFrame, threshold: float, blocks: np.ndarray, aga
             ok = odd[i] + odd[j] >= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64))
             if again:
                 ok &= every[j]
-            i, j = i[ok], j[ok]
-            ok = _allowed(shape[i], shape[j], lead[i], lead[j], bits[i], bits[j], threshold, wide[i], wide[j])
-            ok &= (doc[i] != doc[j]) | (at[i] != at[j])
-            # Lines of one block meet in its pair with itself.
-            ok &= (left[i] == right[i]) | (block[i] != block[j])
-            found.append((i[ok], j[ok]))
-        if found:
-            i, j = (np.concatenate(side) for side in zip(*found))
-            order = np.lexsort((i, j))
-            i, j = i[order], j[order]
-            kept, more = _earliest(j, every[j])
-            i, j = i[kept], j[kept]
-            parts.append(_pairs(doc, at, i, j, more, token[j]))
+            near.append((i[ok], j[ok]))
+
+        def settle() -> None:
+            i, j = (np.concatenate(side) for side in zip(*near))
+            found.append(_settled(doc, at, shape, lead, bits, every, threshold, block, wide, i, j))
+
         for run in np.flatnonzero(length > SHORT_RUN):
-            part = slice(first[run], first[run] + length[run])
-            two = None if left[first[run]] == right[first[run]] else block[part]
-            parts += _run_pairs(
-                doc[part], at[part], shape[part], lead[part], bits[part], every[part], threshold, two, token[first[run]], again,
-                wide[part],
-            )
-    return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+            start, part = first[run], slice(first[run], first[run] + length[run])
+            for i, j in _near(shape[part], bits[part], every[part], threshold, again):
+                near.append((i + start, j + start))
+                held += len(i)
+                if held > HELD:
+                    settle()
+                    near, held = [], 0
+        if near:
+            settle()
+    none = np.zeros(0, dtype=np.int64)
+    i, j, more = (np.concatenate(side) for side in zip(*found)) if found else (none, none, none.astype(bool))
+    return _pairs(doc, at, i, j, more, token[j])
 
 
-def _candidates(prefixes: DataFrame, threshold: float, blocks: np.ndarray, again: bool = False) -> DataFrame:
-    """Pairs of an earlier and a later line that the filters let through; with ``again`` of lines that get every one."""
+def _candidates(dealt: DataFrame, threshold: float, blocks: np.ndarray, again: bool = False) -> DataFrame:
+    """Pairs of an earlier and a later line that the filters let through; with ``again`` of lines that get every one.
 
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(frame):
-                continue
-            # Rows of the last group may go on in the next batch.
-            keys = [frame[c].to_numpy() for c in ("token", "left", "right")]
-            others = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
-            cut = int(others[-1]) + 1 if len(others) else 0
-            held, whole = frame.iloc[cut:], frame.iloc[:cut]
-            yield _bucket_pairs(whole, threshold, blocks, again)
-        if held is not None:
-            yield _bucket_pairs(held, threshold, blocks, again)
+    ``dealt`` is as from ``_dealt_entries``.
+    """
 
-    met = prefixes.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "doc", "at")
-    return met.mapInPandas(pair, PAIR_SCHEMA)
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        entries = np.frombuffer(b"".join(frame["rows"]), dtype=ENTRY)
+        token = np.ascontiguousarray(entries["token"])
+        order = np.argsort(token)
+        # Words of one line only.
+        same = token[order][1:] == token[order][:-1]
+        entries = entries[order[np.r_[same, False] | np.r_[False, same]]]
+        columns = {c: np.ascontiguousarray(entries[c]) for c in ENTRY.names}
+        keys = [columns[c] for c in ("at", "doc", "right", "left", "token") if c not in ("left", "right") or columns[c].any()]
+        order = np.lexsort(keys)
+        met = pd.DataFrame({c: v[order] for c, v in columns.items()})
+        every = met["shape"] < 0
+        return _bucket_pairs(met.assign(every=every, shape=met["shape"] & ~EVERY), threshold, blocks, again)
+
+    return dealt.groupBy("group").applyInPandas(meet, PAIR_SCHEMA)
 
 
 def _block(doc: np.ndarray, at: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -629,8 +739,13 @@ def _bit(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _line_filter(lines: DataFrame) -> bytes:
-    """A bitmap of fixed size that knows all lines of ``doc, at``; others may pass it too."""
-    return _bitmap(lines.select("doc", "at"), lambda batch: (batch["doc"].to_numpy(), batch["at"].to_numpy()))
+    """A bitmap of fixed size that knows all lines of ``doc, at``, and their documents; others may pass it too."""
+
+    def keys(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        doc, at = batch["doc"].to_numpy(), batch["at"].to_numpy()
+        return np.r_[doc, doc], np.r_[at, ~(at >> 32)]
+
+    return _bitmap(lines.select("doc", "at"), keys)
 
 
 def _bitmap(rows: DataFrame, keys: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> bytes:
@@ -663,6 +778,7 @@ def _sets(rows: DataFrame, wanted: bytes) -> DataFrame:
         bits = np.unpackbits(np.frombuffer(wanted, dtype=np.uint8)).view(bool)
         plain = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
         for batch in batches:
+            batch = batch[bits[_bit(batch["doc"].to_numpy(), ~batch["part"].to_numpy()).astype(np.int64)]]
             for data, docs, ats in _chunks(batch):
                 hit = bits[_bit(docs, ats).astype(np.int64)]
                 if not hit.any():
@@ -725,11 +841,13 @@ def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
     """``doc, at`` of every line to be removed, each once."""
-    firsts = written(_firsts(rows, word_ranks(rows), threshold))
-    sure = written(_equal_lines(rows, firsts))
-    blocks = _blocks(firsts)
-    prefixes = _prefixes(firsts.withColumn("every", F.lit(False)), blocks)
-    pairs = written(_candidates(prefixes, threshold, blocks).distinct())
+    merged = written(_merged(rows, word_ranks(rows), threshold))
+    firsts, sure = merged.filter("tokens IS NOT NULL"), merged.filter("tokens IS NULL").select("doc", "at")
+    counts = _prefix_counts(firsts)
+    blocks = _block_counts(counts)
+    groups = 1 + int((counts * blocks).sum()) // GROUP_ENTRIES
+    entered = _dealt_entries(firsts.withColumn("every", F.lit(False)), blocks, groups, threshold)
+    pairs = written(_candidates(entered, threshold, blocks).distinct())
     found = written(_verified(rows, pairs.select("a_doc", "a_at", "doc", "at").distinct(), threshold))
     # The words at which a line has partners that it was not checked against.
     rest = written(
@@ -740,11 +858,15 @@ def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
     if not rest.isEmpty():
         named = rest.select(F.col("doc").alias("_d"), F.col("at").alias("_l"), "again")
         marked = written(
-            firsts.join(named, (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l")), "left").select(
-                "doc", "at", "size", "bits", "wide", "tokens", F.coalesce("again", F.array().cast("array<long>")).alias("again")
+            firsts.join(named, (F.col("doc") == F.col("_d")) & (F.col("at") == F.col("_l"))).select(
+                "doc", "at", "size", "bits", "wide", "tokens", "again"
             )
         )
-        entered = _prefixes(marked, blocks, _met_filter(marked, threshold), threshold)
+        # A line of the rest enters twice, to ask and to be met; a pair of it twice is made one.
+        wanted = _met_filter(marked, threshold)
+        entered = _dealt_entries(firsts.withColumn("every", F.lit(False)), blocks, groups, threshold, wanted).unionByName(
+            _dealt_entries(marked, blocks, groups, threshold, wanted)
+        )
         of_rest = written(
             _candidates(entered, threshold, blocks, True).select("a_doc", "a_at", "doc", "at").distinct()
         )
@@ -772,7 +894,8 @@ def dedup_lines(
         F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(numbers)
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(lists, (key == F.col(doc)) & (within == F.col(part)), "left")
+    # The lists of a partition are small; the texts need no sort.
+    joined = docs.join(lists.hint("shuffle_hash"), (key == F.col(doc)) & (within == F.col(part)), "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, numbered: pd.Series) -> pd.Series:
@@ -788,6 +911,6 @@ def dedup_lines(
     )
     return joined.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in own],
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.when(F.col(numbers).isNull(), 0).otherwise(F.size(numbers)).cast("long").alias("n_removed"),
     )

@@ -340,3 +340,35 @@ def test_line_dedup_of_odd_rows(spark, odd_docs):
     changed = {k: (t if t != (k[1] or "") else k[1]) for k, t in want.items()}
     assert texts == sorted((str(r.doc_id), str(changed[r.doc_id, r.text]), r.n_chars) for r in rows)
     assert lines_of(odd_docs.limit(0)).count() == 0
+
+
+def test_equal_lines_are_told_where_sets_are_merged(spark):
+    """The texts are not read once more for lines with an equal earlier one."""
+    rows = [(1, "a b c\na b c\nc b a d"), (2, "A b c"), (2, "A b c"), (3, None), (4, "x y\n\nc a b")]
+    df = linededup._identified(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3), "doc_id", "text")
+    merged = linededup._merged(df, linededup.word_ranks(df), 0.8).collect()
+    firsts = {(r.doc, r.at & 0xFFFFFFFF): len(r.tokens) // 8 for r in merged if r.tokens is not None}
+    assert firsts == {(1, 0): 1, (1, 2): 1, (4, 0): 1}
+    # The row that repeats is one line, once or twice.
+    assert {(r.doc, r.at & 0xFFFFFFFF) for r in merged if r.tokens is None} == {(1, 1), (2, 0), (4, 2)}
+
+
+def test_entries_travel_together(spark):
+    """One row per group and task, not one per word; the pairs are those of the words that two lines share."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50)) + f"\nu{i // 2} v{i // 2} {'z' * (i % 2)}") for i in range(200)]
+    df = linededup._identified(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4), "doc_id", "text")
+    firsts = written(linededup._firsts(df, linededup.word_ranks(df), 0.6)).withColumn("every", F.lit(False))
+    blocks = linededup._blocks(firsts)
+    dealt = written(linededup._dealt_entries(firsts, blocks, 3, 0.6))
+    assert dealt.count() <= 3 * firsts.rdd.getNumPartitions() < linededup._prefixes(firsts, blocks).count() / 100
+    found = {(r.a_doc, r.doc) for r in linededup._candidates(dealt, 0.6, blocks).collect()}
+    assert found == {(i, i + 1) for i in range(0, 200, 2)}
+
+
+def test_words_of_any_length_are_told_apart():
+    """Words that differ in one byte, wherever it is, and in length, at any place in memory."""
+    base = [bytes([97 + n % 26]) * n for n in range(1, 150)]
+    words = base + [w[:k] + b"0" + w[k + 1 :] for w in base for k in {0, len(w) // 2, len(w) - 1}]
+    hashes = [int(linededup.word_hashes(b" " * shift + w.upper() + b"\n")[0][0]) for w in words for shift in (0, 3, 8)]
+    assert len(set(hashes)) == len(set(words)) and len(hashes) == 3 * len(words)
+    assert all(len(set(hashes[k : k + 3])) == 1 for k in range(0, len(hashes), 3))
