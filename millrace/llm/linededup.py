@@ -247,7 +247,9 @@ def word_ranks(rows: DataFrame) -> np.ndarray:
         for data, _, _ in _chunks(batch):
             yield word_hashes(data)[0]
 
-    return np.minimum(255, np.round(6 * np.log2(_bucket_counts(rows, words) + 1))).astype(np.uint8)
+    # Only the texts are read, without the hashes that tell rows apart.
+    texts = rows.select(F.lit(0).alias("doc"), F.lit(0).alias("part"), "text")
+    return np.minimum(255, np.round(6 * np.log2(_bucket_counts(texts, words) + 1))).astype(np.uint8)
 
 
 def _bucket_counts(rows: DataFrame, words: Callable[[pd.DataFrame], Iterator[np.ndarray]]) -> np.ndarray:
@@ -294,7 +296,7 @@ def prefix_length(n, threshold: float):
 # What a line takes to where it meets those of its set, beside the words of its prefix, ``k`` of them.
 LINE = np.dtype([(c, "<i8") for c in ("one", "two", "doc", "at", "size", "bits", "wide", "k")])
 PLACE = np.dtype([("doc", "<i8"), ("at", "<i8")])
-MERGED_SCHEMA = "one long, two long, doc long, at long, size long, bits long, wide long, tokens binary"
+MERGED_SCHEMA = "doc long, at long, size long, bits long, wide long, tokens binary"
 
 
 def _dealt(group: np.ndarray, records: np.ndarray, words: np.ndarray | None = None) -> pd.DataFrame:
@@ -382,7 +384,8 @@ def _merged(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
         gone = np.r_[gone, np.frombuffer(b"".join(frame["gone"]), dtype=PLACE)]
         upto = np.r_[0, 8 * np.cumsum(kept["k"])].tolist()
         whole = words.tobytes()
-        out = {c: np.r_[kept[c], gone[c] if c in PLACE.names else np.zeros(len(gone), dtype=np.int64)] for c in LINE.names[:-1]}
+        none = np.zeros(len(gone), dtype=np.int64)
+        out = {c: np.r_[kept[c], gone[c] if c in PLACE.names else none] for c in ("doc", "at", "size", "bits", "wide")}
         return pd.DataFrame({**out, "tokens": [whole[a:b] for a, b in zip(upto[:-1], upto[1:])] + [None] * len(gone)})
 
     sent = rows.mapInPandas(enter, "group long, rows binary, words binary, gone binary")
@@ -469,8 +472,10 @@ def _entries(batch: pd.DataFrame, blocks: np.ndarray, wanted: np.ndarray | None,
     upto = np.cumsum(many)
     cuts = np.r_[0, np.flatnonzero(np.diff(upto >> 18)) + 1, len(row)]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        each = np.repeat(np.arange(a, b), many[a:b])
-        other = np.arange(len(each)) - np.repeat(upto[a:b] - many[a:b] - (upto[a] - many[a]), many[a:b])
+        each, other = slice(a, b), 0
+        if (many[a:b] > 1).any():
+            each = np.repeat(np.arange(a, b), many[a:b])
+            other = np.arange(len(each)) - np.repeat(upto[a:b] - many[a:b] - (upto[a] - many[a]), many[a:b])
         r = row[each]
         yield {
             "token": token[each],
