@@ -541,7 +541,7 @@ def _dealt_entries(
                     entries[c] = found[c]
                 entries["shape"][found["every"]] |= EVERY
                 held.append(entries)
-                if sum(map(len, held)) >= 4 * HELD:
+                if sum(map(len, held)) >= 2 * HELD:
                     yield deal(held)
                     held = []
         if held:
